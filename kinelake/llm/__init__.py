@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "mixing")
+MODULES = ("chat", "exact_dedup", "minhash", "mixing")
 
 
 def queries() -> dict:

@@ -23,16 +23,14 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches, table
+from .shared import bloom_filter, in_filter, materialise, small_batches, table
 
 FILTER_BITS = 1 << 25  # 4 MB packed, whatever the input
 MEMTABLE_BYTES = 16 << 20
-_M64 = (1 << 64) - 1
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
@@ -45,12 +43,6 @@ def _digest(data: bytes, bits: int) -> int:
     return whole if bits >= 64 else whole & ((1 << bits) - 1)
 
 
-def _slots(digest: int, bits: int) -> list[int]:
-    d = digest & _M64
-    a, b = d * 0x9E3779B97F4A7C15 & _M64, (d ^ d >> 29) * 0xBF58476D1CE4E5B9 & _M64
-    return [(a + i * b & _M64) >> 20 & bits - 1 for i in range(3)]
-
-
 def _write_runs(digest_bits: int):
     def flush(memtable: dict[bytes, int]) -> pa.RecordBatch:
         run = sorted((_digest(data, digest_bits), n) for data, n in memtable.items())
@@ -75,25 +67,11 @@ def _write_runs(digest_bits: int):
     return task
 
 
-def _shared_filter(hits: DataFrame, bits: int) -> np.ndarray:
-    """The filter over the shared digests as 64-bit words; at most bits / 64 rows reach the driver."""
-
-    def words(batches):
-        for batch in batches:
-            pos = np.array(sorted({s for d in batch.column(0).to_pylist() for s in _slots(d, bits)}), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pos >> 6), pa.array((np.uint64(1) << (pos & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
-
-    packed = hits.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[packed["word"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 _MEMBER_COLUMNS = "doc_id long, uid long, head_uid long, text_sha256 string, n_here long, bytes binary"
 _MEMBER_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
 
 
-def _read_members(shared, digest_bits: int, filter_bits: int, largest: bool):
+def _read_members(shared, digest_bits: int, largest: bool):
     """Singles pass through; texts that the filter holds are gathered in a memtable.
 
     The best row of a text in a memtable is its head: it alone carries the bytes.
@@ -120,7 +98,7 @@ def _read_members(shared, digest_bits: int, filter_bits: int, largest: bool):
         for batch in batches:
             singles = []
             for doc, uid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2)), strict=True):
-                if not all(int(words[s >> 6]) >> (s & 63) & 1 for s in _slots(_digest(data, digest_bits), filter_bits)):
+                if not in_filter(words, _digest(data, digest_bits)):
                     singles.append((doc, uid, uid, hashlib.sha256(data).hexdigest(), 1, None))
                     continue
                 if data not in memtable:
@@ -153,9 +131,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
     runs = docs.select(text).mapInArrow(_write_runs(digest_bits), "digest long, n long")
     hits = runs.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
-    shared = spark.sparkContext.broadcast(_shared_filter(hits, filter_bits))
+    shared = spark.sparkContext.broadcast(bloom_filter(hits, filter_bits))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), uid.alias("uid"), text)
-    members = materialise(rows.mapInArrow(_read_members(shared, digest_bits, filter_bits, largest), _MEMBER_COLUMNS), "exact-members")
+    members = materialise(rows.mapInArrow(_read_members(shared, digest_bits, largest), _MEMBER_COLUMNS), "exact-members")
     heads = members.where("bytes is not null")
     worst = F.lit(-(1 << 63) if largest else (1 << 63) - 1)
     best = (F.max if largest else F.min)(F.struct(F.coalesce("doc_id", worst).alias("rank"), "uid", "doc_id"))

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -65,3 +66,32 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def binary(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+_M64 = (1 << 64) - 1
+
+
+def filter_slots(key: int, bits: int) -> list[int]:
+    """Three places of a Bloom filter of ``bits`` (a power of two) for a 64-bit key."""
+    d = key & _M64
+    a, b = d * 0x9E3779B97F4A7C15 & _M64, (d ^ d >> 29) * 0xBF58476D1CE4E5B9 & _M64
+    return [(a + i * b & _M64) >> 20 & bits - 1 for i in range(3)]
+
+
+def in_filter(words: np.ndarray, key: int) -> bool:
+    bits = len(words) * 64
+    return all(int(words[s >> 6]) >> (s & 63) & 1 for s in filter_slots(key, bits))
+
+
+def bloom_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter over the first column (long) as 64-bit words; at most bits / 64 rows reach the driver."""
+
+    def words(batches):
+        for batch in batches:
+            pos = np.array(sorted({s for d in batch.column(0).to_pylist() for s in filter_slots(d, bits)}), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pos >> 6), pa.array((np.uint64(1) << (pos & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    packed = keys.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[packed["word"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
