@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat", "exact_dedup", "minhash", "mixing")
+MODULES = ("chat", "bpe", "exact_dedup", "minhash", "token_shards", "mixing")
 
 
 def queries() -> dict:
