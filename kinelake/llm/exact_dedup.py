@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bloom_filter, in_filter, materialise, small_batches, table
+from .shared import bloom_filter, free_name, in_filter, materialise, small_batches, table
 
 FILTER_BITS = 1 << 25  # 4 MB packed, whatever the input
 MEMTABLE_BYTES = 16 << 20
@@ -154,16 +154,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows that stay, with every column of ``docs``.
 
-    Only the doomed (doc_id, copies to drop) pairs are joined back, so texts are not
-    shuffled when they fit the broadcast limit; otherwise Spark sorts and merges.
+    Only the doomed (identifier, digest) pairs are joined back, so texts are not shuffled
+    when those fit the broadcast limit; otherwise Spark sorts and merges. A pair that both
+    stays and goes is a repeated row: one of its rows stays.
     """
-    groups = exact_groups(docs, id_col, text_col, keep)
-    verdicts = materialise(groups.select("doc_id", "kept"), "exact-verdicts")
-    gone = verdicts.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    stay_too = verdicts.where("kept and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    repeated = gone.join(stay_too, "__gone", "left_semi")
-    out = docs.join(gone.join(repeated, "__gone", "left_anti"), docs[id_col] == F.col("__gone"), "left_anti")
-    return out.dropDuplicates([id_col, text_col]) if repeated.take(1) else out
+    verdicts = materialise(exact_groups(docs, id_col, text_col, keep).select("doc_id", "text_sha256", "kept"), "exact-verdicts")
+    gone = verdicts.where("not kept").select("doc_id", "text_sha256").distinct()
+    stay = verdicts.where("kept").select("doc_id", "text_sha256")
+    same = [gone["doc_id"].eqNullSafe(stay["doc_id"]), gone["text_sha256"] == stay["text_sha256"]]
+    sha, of, doc = (free_name(x, docs.columns) for x in ("text_digest", "gone_digest", "gone_id"))
+    lower = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    keyed = docs.withColumn(sha, F.sha2(lower, 256))
+
+    def pick(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.toDF(doc, of)
+        return rows.join(keys, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(sha) == F.col(of)), how)
+
+    out = pick(keyed, gone.join(stay, same, "left_anti"), "left_anti")
+    repeated = gone.join(stay, same, "left_semi")
+    if repeated.take(1):
+        out = pick(out, repeated, "left_anti").union(pick(out, repeated, "left_semi").dropDuplicates([id_col, sha]))
+    return out.drop(sha)
 
 
 NAME = "op5_exact_dedup"

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bloom_filter, in_filter, materialise, small_batches, table, utf8
+from .shared import bloom_filter, free_name, in_filter, materialise, small_batches, table, utf8
 from .textvec import shingle_sets
 
 SKETCH = 128
@@ -242,9 +242,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near copies, all columns kept."""
-    gone = near_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each group of near copies, all columns kept.
+
+    Rows that share an identifier are one document; rows without one stay.
+    """
+    gone_id = free_name("gone_id", docs.columns)
+    verdicts = near_groups(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = verdicts.where("not kept").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
 
 
 NAME = "op6_minhash_near_dedup"

@@ -11,9 +11,9 @@ document never need each other.
 Defined cases: a null source is a source of its own; a source without a target
 weight (where weights are given) or with weight 0 or less contributes nothing;
 a null identifier or text is allowed (null identifiers share one uniform
-number); repeated rows share their count; an empty table gives an empty result;
-clashing column names are the caller's: the operator adds ``copy_no``,
-``n_copies`` and ``shuffle_key`` under names that it checks for clashes.
+number); repeated rows share their count; an empty table gives an empty result; a name
+that ``docs`` has already is never reused: ``copy_no``, ``n_copies`` and
+``shuffle_key`` become ``copy_no_1`` and so on.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import free_name, table
 
 #: Above so many sources the rates are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 20_000
@@ -68,19 +68,20 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, te
 
 def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = SEED, max_rate: float = 500.0) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, globally shuffled, plus copy_no, n_copies and shuffle_key."""
-    clash = {"copy_no", "n_copies", "shuffle_key", "mix_source", "rate", "cdf"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are added by this operator; rename them first")
-    known = rates(docs, source_col, weights, temperature, max_rate).withColumn("cdf", poisson_cdf(F.col("rate")))
+    own = docs.columns
+    origin, table_name, n, no, place = (free_name(x, own) for x in ("mix_source", "mix_cdf", "n_copies", "copy_no", "shuffle_key"))
+    known = rates(docs, source_col, weights, temperature, max_rate)
+    known = known.select(F.col("mix_source").alias(origin), poisson_cdf(F.col("rate")).alias(table_name))
     if known.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    rows = docs.join(known, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
-    u = uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed)
-    n = F.size(F.filter("cdf", lambda c: c <= u))
-    copies = rows.withColumn("n_copies", n).where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    key = F.md5(F.concat_ws("|", F.lit(f"place {seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string")))
-    copies = copies.withColumn("shuffle_key", key).drop("mix_source", "rate", "cdf")
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    rows = docs.join(known, F.col(source_col).cast("string").eqNullSafe(F.col(origin)))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    u = uniform(name, seed)
+    rows = rows.withColumn(n, F.size(F.filter(table_name, lambda c: c <= u))).where(F.col(n) > 0)
+    copies = rows.withColumn(no, F.explode(F.sequence(F.lit(1), F.col(n))))
+    key = F.md5(F.concat_ws("|", F.lit(f"place {seed}"), name, F.col(no).cast("string")))
+    copies = copies.withColumn(place, key).drop(origin, table_name)
+    return copies.repartition(place).sortWithinPartitions(place)
 
 
 NAME = "op9_mix_sources"

@@ -51,6 +51,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column has (Spark compares without case)."""
+    have, out, i = {c.lower() for c in taken}, name, 0
+    while out.lower() in have:
+        i += 1
+        out = f"{name}_{i}"
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; null counts as empty. No copy of the text."""
     if isinstance(column, pa.ChunkedArray):

@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .labels import FIT_ROWS, labelled_sample, remainder
-from .shared import materialise, small_batches, table
+from .shared import free_name, materialise, small_batches, table
 
 # What signs may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "[": "c", "€": "e", "£": "l", "¡": "i"}
@@ -238,29 +239,28 @@ def fit_logistic(rows: list[tuple[int, list[int]]], width: int, ridge: float = 0
     return w
 
 
-def _score(model, weights):
-    """A token's marked features are looked up once a worker task and remembered."""
+def _scorer(model, weights):
+    """Scores of a list of texts. A token's marked features are looked up once a worker task and remembered."""
+    lm, (index, bias) = model.value, weights.value
+    memo: dict[str, tuple] = {}
 
-    def task(batches):
-        lm, (index, bias) = model.value, weights.value
-        memo: dict[str, tuple] = {}
-        for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                found: set = set()
-                for t in tokens(text or ""):
-                    hit = memo.get(t)
-                    if hit is None:
-                        if len(memo) >= MEMO_TOKENS:
-                            memo.clear()
-                        hit = memo[t] = tuple(f for f in features(restored(t, lm)) if f in index)
-                    if hit:
-                        found.update(hit)
-                z = bias + math.fsum(index[f] for f in found)
-                scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+    def scores(texts: list[str | None]) -> pa.Array:
+        out = []
+        for text in texts:
+            found: set = set()
+            for t in tokens(text or ""):
+                hit = memo.get(t)
+                if hit is None:
+                    if len(memo) >= MEMO_TOKENS:
+                        memo.clear()
+                    hit = memo[t] = tuple(f for f in features(restored(t, lm)) if f in index)
+                if hit:
+                    found.update(hit)
+            z = bias + math.fsum(index[f] for f in found)
+            out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
+        return pa.array(out, pa.float64())
 
-    return task
+    return scores
 
 
 class ToxicityModel:
@@ -288,23 +288,33 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, score) of every row."""
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(self._model, self._weights), "doc_id long, score double")
+        model, weights = self._model, self._weights
+
+        def task(batches):
+            scores = _scorer(model, weights)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), scores(batch.column(1).to_pylist())], ["doc_id", "score"])
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id long, score double")
 
     def with_score(self, docs: DataFrame, column: str = "toxic_score") -> DataFrame:
-        """``docs`` with the score of each row as one more column."""
+        """``docs`` with the score of each row as one more column, its last; see ``free_name`` for a name that is taken."""
         names, model, weights = docs.columns, self._model, self._weights
-        if column in names:
-            raise ValueError(f"there is a column {column} already")
-        inner = _score(model, weights)
+        column, at = free_name(column, names), names.index("text")
 
         def task(batches):
+            scores = _scorer(model, weights)
             for batch in batches:
-                pair = pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), batch.column(names.index("text"))], ["doc_id", "text"])
-                scored = next(inner(iter([pair])))
-                yield pa.RecordBatch.from_arrays([*batch.columns, scored.column(1)], [*names, column])
+                texts = batch.column(at).cast(pa.string()).to_pylist()
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores(texts)], [*names, column])
+
+        return docs.mapInArrow(task, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(task, f"{schema}, `{column}` double")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns kept."""
+    scored = fit_on(docs, labels).with_score(docs)
+    return scored.where(F.col(scored.columns[-1]) < threshold).drop(scored.columns[-1])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
