@@ -7,9 +7,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
+import numpy as np
 import regex
 
+from .textvec import point_hashes
+
 # The tokenizer file's pattern and special strings, and Unicode's White_Space characters.
 SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -43,3 +47,92 @@ def words(text: str) -> list[str]:
         elif part:
             out += _plain(part)
     return out
+
+
+# Whole batches at once: the same pattern as numpy operations on code points. Texts with
+# others than these, or with a special string, take ``words``.
+_WHITE_CLASS, _LETTER_CLASS, _NUMBER_CLASS, _OTHER_CLASS, _SLOW_CLASS = range(5)
+_LATIN_END = 0x250
+
+
+@cache
+def _latin_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(class, lower case) of each code point below U+0250, and of all others at its place."""
+    kind = np.full(_LATIN_END + 1, _OTHER_CLASS, np.uint8)
+    low = np.arange(_LATIN_END + 1, dtype=np.uint32)
+    for i in range(_LATIN_END):
+        c = chr(i)
+        kind[i] = {"L": _LETTER_CLASS, "N": _NUMBER_CLASS}.get(unicodedata.category(c)[0], _OTHER_CLASS)
+        if c.isspace() and not 0x1C <= i <= 0x1F:
+            kind[i] = _WHITE_CLASS
+        if len(c.lower()) == 1 and ord(c.lower()) < _LATIN_END:
+            low[i] = ord(c.lower())
+        else:
+            kind[i] = _SLOW_CLASS
+    kind[_LATIN_END] = _SLOW_CLASS
+    return kind, low
+
+
+def _join_contractions(points: np.ndarray, kind: np.ndarray, start: np.ndarray, edge: np.ndarray) -> None:
+    """A lone apostrophe takes s, t, m, d, re, ve or ll with it, and the letters after those begin a word."""
+    at = np.flatnonzero(start & (points == 39))
+    at = at[at + 1 < len(points)]
+    at = at[(kind[at + 1] == _LETTER_CLASS) & ~edge[at + 1]]
+    if not len(at):
+        return
+    one = points[at + 1]
+    two = np.where(at + 2 < len(points), at + 2, at)
+    follows = (two > at) & (kind[two] == _LETTER_CLASS) & ~edge[two]
+    pair = np.where(follows, one.astype(np.uint64) << np.uint64(32) | points[two], np.uint64(0))
+    single = np.isin(one, [ord(c) for c in "stmd"])
+    double = np.isin(pair, [ord(a) << 32 | ord(b) for a, b in ("re", "ve", "ll")])
+    start[at[single | double] + 1] = False
+    for hit, n in ((at[single], 2), (at[double & ~single], 3)):
+        after = hit[hit + n < len(points)] + n
+        start[after[kind[after] == _LETTER_CLASS]] = True
+
+
+def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(points, starts, ends, hashes, first, last): the words of a batch as spans of one array of lower-case
+    code points, a 64-bit hash each, and each text's first and last word."""
+    table, low = _latin_tables()
+    joined = "".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    kind = table[np.minimum(points, _LATIN_END)]
+    points = low[np.minimum(points, _LATIN_END)]
+    odd = np.flatnonzero(kind == _SLOW_CLASS)
+    slow = set(np.unique(np.searchsorted(offs, odd, "right") - 1).tolist())
+    if "<|" in joined:
+        slow |= {i for i, t in enumerate(texts) if "<|" in t}
+    for i in slow:
+        kind[offs[i] : offs[i + 1]] = _WHITE_CLASS
+    n = len(points)
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    start = np.ones(n, bool)
+    start[1:] = kind[1:] != kind[:-1]
+    start = (start | edge[:-1] | (kind == _NUMBER_CLASS)) & (kind != _WHITE_CLASS)
+    _join_contractions(points, kind, start, edge)
+    stop = np.ones(n, bool)
+    stop[:-1] = start[1:] | (kind[1:] == _WHITE_CLASS)
+    starts, ends = np.flatnonzero(start), np.flatnonzero((stop | edge[1:]) & (kind != _WHITE_CLASS)) + 1
+    cut = np.searchsorted(starts, offs)
+    first, last = cut[:-1].copy(), cut[1:].copy()
+    more, spans, base, count = [], [], n, len(starts)
+    for i in sorted(slow):
+        own = words(texts[i])
+        more.append(np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32))
+        sizes = np.array([len(w) for w in own], np.int64)
+        spans.append((base + np.cumsum(sizes) - sizes, base + np.cumsum(sizes)))
+        base += int(sizes.sum())
+        first[i], last[i] = count, count + len(own)
+        count += len(own)
+    if more:
+        points = np.concatenate([points, *more])
+        starts, ends = (np.concatenate([a, *[s[k] for s in spans]]) for k, a in enumerate((starts, ends)))
+    return points, starts, ends, point_hashes(points, starts, ends), first, last
+
+
+def word_at(points: np.ndarray, start: int, end: int) -> str:
+    return points[start:end].tobytes().decode("utf-32-le", "surrogatepass")

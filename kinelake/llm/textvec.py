@@ -60,7 +60,17 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash a word, in segments of about a megabyte."""
+    """One 64-bit hash a word of lower-cased bytes."""
+    return _span_hashes(lambda low, high: _VALUE[data[low:high]], starts, ends)
+
+
+def point_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit hash a span of code points."""
+    return _span_hashes(lambda low, high: (points[low:high].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), starts, ends)
+
+
+def _span_hashes(values, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ascending spans, in segments of about a megabyte."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -69,7 +79,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         high = int(ends[j - 1])
         up, down = _power_tables(high - low + 1)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_VALUE[data[low:high]] * up[: high - low], out=sums[1:])
+        np.cumsum(values(low, high) * up[: high - low], out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
         out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j

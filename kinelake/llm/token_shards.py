@@ -22,18 +22,20 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_LETTERS, MEMO_WORDS, vocabulary_path
-from .pretoken import words
+from .bpe import MEMO_LETTERS, vocabulary_path
+from .pretoken import SPECIAL, batch_words, word_at
 from .shared import materialise, small_batches, table
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 _MAGIC = b"WVMX"
 _BLOCK = 512
+MEMO_WORDS = 600_000
 
 
 class WaveletMatrix:
@@ -141,7 +143,7 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _library(path: str | None):
-    """(tokenizer, memo of words) of this worker."""
+    """(tokenizer, whether an id ends a word, memo of words' ids by their hash) of this worker."""
     where = vocabulary_path(path)
     if where not in _TOKENIZERS:
         import os
@@ -152,45 +154,81 @@ def _library(path: str | None):
         made = Tokenizer.from_file(where)
         made.no_truncation()
         made.no_padding()
-        _TOKENIZERS[where] = (made, {})
+        size = made.get_vocab_size()
+        final = np.array([t.endswith("</w>") or t in SPECIAL for t in map(made.id_to_token, range(size))])
+        _TOKENIZERS[where] = (made, final, {})
     return _TOKENIZERS[where]
 
 
+def _encode_words(tokenizer, final: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Ids of each word (a span of code points) by the library: many words a call, parted again after each id that ends a word."""
+    out: list[bytes] = []
+    for i in range(0, len(starts), 4000):
+        s, size = starts[i : i + 4000], (ends - starts)[i : i + 4000]
+        upto = np.cumsum(size + 1)
+        spaced = np.full(int(upto[-1]), 32, np.uint32)
+        letters = np.arange(int(size.sum())) + np.repeat(s - np.cumsum(size) + size, size)
+        spaced[np.arange(len(letters)) + np.repeat(np.arange(len(s)), size)] = points[letters]
+        ids = np.array(tokenizer.encode_batch_fast([spaced.tobytes().decode("utf-32-le", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(final[ids]) + 1
+        if len(cut) == len(s):
+            raw, at = ids.tobytes(), [0, *(cut * 4).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        else:  # some word is more than one to the library
+            part = [word_at(points, a, a + n) for a, n in zip(s.tolist(), size.tolist(), strict=True)]
+            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+    return out
+
+
 def encode_batch(texts: list[str], path: str | None = None) -> list[np.ndarray]:
-    """Ids of each text by the library. Its pattern keeps words apart, so each new word is encoded once a batch."""
-    tokenizer, memo = _library(path)
-    parts = [words(t) for t in texts]
-    new = list({w for p in parts for w in p if w not in memo})
+    """Ids of each text by the library.
+
+    Its pattern keeps words apart, so a word that this worker has met is not encoded
+    again. Words are told apart by 64-bit hashes: among the MEMO_WORDS of a worker two
+    share one with a probability under one in ten million.
+    """
+    tokenizer, final, memo = _library(path)
+    points, starts, ends, hashes, first, last = batch_words(texts)
+    of, distinct = pd.factorize(hashes)
+    example = np.empty(len(distinct), np.int64)
+    example[of[::-1]] = np.arange(len(of))[::-1]
+    keys = distinct.tolist()
+    new = [i for i, k in enumerate(keys) if k not in memo]
     if len(memo) + len(new) > MEMO_WORDS:
         memo.clear()
-        new = list({w for p in parts for w in p})
-    fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-    memo.update(fresh)
-    out = [np.frombuffer(b"".join([memo[w] for w in p]), "<u4") for p in parts]
-    for w in fresh:
-        if len(w) > MEMO_LETTERS:
-            del memo[w]
-    return out
+        new = list(range(len(keys)))
+    s, e = starts[example[new]], ends[example[new]]
+    memo.update(zip([keys[i] for i in new], _encode_words(tokenizer, final, points, s, e), strict=True))
+    parts = [memo[k] for k in keys]
+    pool = np.frombuffer(b"".join(parts), "<u4")
+    size = np.array([len(p) for p in parts], np.int64) >> 2
+    begin = np.cumsum(size) - size
+    each = size[of]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    ids = pool[np.repeat(begin[of] - upto[:-1], each) + np.arange(upto[-1])]
+    for i in np.flatnonzero(e - s > MEMO_LETTERS).tolist():
+        del memo[keys[new[i]]]
+    return [ids[a:b] for a, b in zip(upto[first].tolist(), upto[last].tolist(), strict=True)]
 
 
-_SHARD = "part int, seq int, doc_ids array<long>, lengths array<long>, n_tokens long, file binary"
+_SHARD = "part int, seq int, inside long, doc_ids array<long>, lengths array<long>, n_tokens long, file binary"
 
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, levels: int = 16) -> DataFrame:
-    """The table of shards (part, seq, doc_ids, lengths, n_tokens, file), in ascending doc_id by (part, seq)."""
+    """The table of shards (part, seq, inside: tokens of the part before it, doc_ids, lengths, n_tokens, file), in ascending doc_id by (part, seq)."""
     small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def task(batches):
-        part, seq, ids, docs_here, lengths, held = 0, 0, [], [], [], 0
+        part, seq, before, ids, docs_here, lengths, held = 0, 0, 0, [], [], [], 0
 
         def shard():
             flat = np.concatenate(ids)
             if len(flat) and int(flat.max()) >> levels:
                 raise ValueError("an id needs more bit-planes")
             file = WaveletMatrix.build(flat, levels)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([docs_here], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "doc_ids", "lengths", "n_tokens", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([docs_here], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "inside", "doc_ids", "lengths", "n_tokens", "file"])
 
         for batch in batches:
             for doc, part, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encode_batch([t or "" for t in batch.column(1).to_pylist()], vocab), strict=True):
@@ -200,7 +238,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 held += len(found) + 1
                 if held >= shard_tokens:
                     yield shard()
-                    seq, ids, docs_here, lengths, held = seq + 1, [], [], [], 0
+                    seq, before, ids, docs_here, lengths, held = seq + 1, before + held, [], [], [], 0
         if docs_here:
             yield shard()
 
@@ -216,9 +254,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
         starts.append((r["part"], at))
         at += r["n"]
     offsets = spark.createDataFrame(starts, "part int, part_start long")
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    placed = shards.select("part", "seq", inside.alias("inside"), "n_tokens").join(offsets, "part").select("part", "seq", (F.col("inside") + F.col("part_start")).alias("shard_start"))
-    rows = shards.join(placed, ["part", "seq"]).select("doc_ids", "lengths", "file", "shard_start")
+    placed = shards.join(F.broadcast(offsets), "part")  # a row a partition
+    rows = placed.select("doc_ids", "lengths", "file", (F.col("inside") + F.col("part_start")).alias("shard_start"))
 
     def task(batches):
         for batch in batches:
