@@ -31,7 +31,6 @@ from .shared import materialise, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 _B = "\\"
-MAX_DOUBLINGS = 40  # paths of up to 2**40 messages: beyond that there can only be cycles
 
 
 def escape(text: Column) -> Column:
@@ -78,32 +77,31 @@ def chosen_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     ids = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     jump = base.select("tree", "node", "parent", "score").join(ids, ["tree", "parent"], "left")
     jump = materialise(jump.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("anc"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "chat-jump")
-    jumps = [jump]
-    for _ in range(MAX_DOUBLINGS):
-        if not jumps[-1].where("anc is not null").take(1) or _stalled(jumps):
-            break
-        far = jumps[-1].select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        near = jumps[-1].join(far, ["tree", "anc"], "left")
-        jumps.append(materialise(near.select("tree", "node", F.col("anc2").alias("anc"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "chat-jump"))
-    rooted = jumps[-1].where("anc is null")
-    parents = jumps[0].where("anc is not null").select("tree", F.col("anc").alias("node"))
+    parents = jump.where("anc is not null").select("tree", F.col("anc").alias("node"))
+    most = base.count()  # a path has no more messages: what is open beyond is on or under a cycle
+    hops, rooted = [], jump.where("anc is null")
+    open_rows = jump.where("anc is not null")
+    while open_rows.take(1) and 2 ** len(hops) <= most:
+        hops.append(open_rows.select("tree", "node", "anc"))
+        # Only messages that have not reached their root go on, and they look into their own trees alone.
+        here = rooted.join(open_rows.select("tree").distinct(), "tree", "left_semi")
+        far = here.unionByName(open_rows).select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        near = open_rows.join(far, ["tree", "anc"])
+        jump = materialise(near.select("tree", "node", F.col("anc2").alias("anc"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), "chat-jump")
+        rooted = rooted.unionByName(jump.where("anc is null"))
+        open_rows = jump.where("anc is not null")
     leaves = rooted.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.col("total").alias("branch_score"))
     if top is not None:
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
         leaves = leaves.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
     path = materialise(leaves.select("tree", "leaf", "branch_score", F.col("leaf").alias("node")), "chat-path")
-    for jump in reversed(jumps[:-1]):
-        hop = jump.where("anc is not null").select("tree", "node", "anc")
-        path = path.unionByName(path.join(hop, ["tree", "node"]).select("tree", "leaf", "branch_score", F.col("anc").alias("node")))
+    for hop in reversed(hops):
+        onward = path.join(hop, ["tree", "node"]).select("tree", "leaf", "branch_score", F.col("anc").alias("node"))
+        path = path.unionByName(materialise(onward, "chat-path"))
     depth = rooted.select("tree", "node", "depth")
     return path.join(depth, ["tree", "node"]).join(base.drop("parent", "score"), ["tree", "node"]).drop("node")
 
 
-def _stalled(jumps: list[DataFrame]) -> bool:
-    """Only cycles are left once as many doublings were made as the number of messages allows."""
-    return len(jumps) > 2 and 2 ** (len(jumps) - 2) > jumps[0].count()
-
-
 def format_paths(paths: DataFrame) -> DataFrame:
     """One row a path: conv_id, leaf, branch_score, formatted, spans (start and length of each assistant text, in code points)."""
     piece = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(f"{END}\n"))
