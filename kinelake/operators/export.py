@@ -56,7 +56,7 @@ def manifest(files: DataFrame, levels: Sequence[str] = ("dataset", "subject", "a
     """One JSON text: dataset, then subject, then activity, then the sorted files. ``files`` is a listing, not data."""
     rows = files.groupBy(*levels).agg(F.sort_array(F.collect_list(name)).alias("v"))
     for i in reversed(range(len(levels))):
-        rows = rows.groupBy(*levels[:i]).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(levels[i]), F.col("v"))))).alias("v"))
+        rows = rows.groupBy(*levels[:i]).agg(F.map_from_entries(F.collect_list(F.struct(F.col(levels[i]), F.col("v")))).alias("v"))
     return rows.select(F.to_json("v").alias("json"))
 
 

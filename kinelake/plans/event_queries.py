@@ -139,7 +139,7 @@ STEPS: dict[str, str] = {
     exp(list_avg(list_transform(list_filter([completeness, staleness, temporal, sanity, synchrony, placement], lambda v: v IS NOT NULL), lambda v: ln(greatest(v, 1e-9))))) AS geometric_mean_sub_score
   FROM judged""",
     "verdicts": """
-  SELECT *, state <> 'HEALTHY' AS flagged, CASE state WHEN 'HEALTHY' THEN 1.0 WHEN 'DEGRADED' THEN 0.6 WHEN 'UNRELIABLE' THEN 0.25 ELSE 0.0 END AS trust_weight FROM (
+  SELECT *, state <> 'HEALTHY' AS flagged, CAST(CASE state WHEN 'HEALTHY' THEN 1.0 WHEN 'DEGRADED' THEN 0.6 WHEN 'UNRELIABLE' THEN 0.25 ELSE 0.0 END AS DOUBLE) AS trust_weight FROM (
     SELECT *, CASE WHEN min_sub_score > 0.9 THEN 'HEALTHY' WHEN min_sub_score > 0.6 THEN 'DEGRADED' WHEN min_sub_score > 0.2 THEN 'UNRELIABLE' ELSE 'OFFLINE' END AS state,
       CASE WHEN nan_fraction > 0.02 AND nan_terminal AND nan_trailing_run / n_frames > 0.10 THEN 'dropout' WHEN nan_fraction > 0.02 THEN 'packet_loss'
         WHEN repeat_fraction >= 0.20 OR (unique_value_ratio < 0.75 AND max_repeat_run >= 3) THEN 'rate_degradation' WHEN abs(cross_node_offset_ms) > 25 THEN 'clock_desync'
