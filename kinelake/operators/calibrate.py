@@ -22,9 +22,19 @@ def first_windows(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= n).drop("rank")
 
 
+def means_of_signals(signals: DataFrame) -> DataFrame:
+    """``window_means`` from signals that are there already: direction times length."""
+    there = signals.where("n_valid > 0")
+    return there.select(*WINDOW_KEY, "node", "start", *[(F.coalesce(f"gravity_{a}", F.lit(0.0)) * F.col("gravity_magnitude_g")).alias(m) for a, m in zip("xyz", ("mx", "my", "mz"), strict=True)])
+
+
 def calibrate(frames: DataFrame, max_windows: int | None = 60) -> DataFrame:
     """(dataset, node): unit reference, and mean, 95th percentile (exact) and maximum of the angles against it."""
-    means = window_means(frames)
+    return calibrate_means(window_means(frames), max_windows)
+
+
+def calibrate_means(means: DataFrame, max_windows: int | None = 60) -> DataFrame:
+    """As ``calibrate``, from the mean vectors of windows."""
     if max_windows is not None:
         means = first_windows(means, max_windows, "dataset")
     centre = means.groupBy("dataset", "node").agg(*[F.avg(m).alias(c) for m, c in zip(("mx", "my", "mz"), ("cx", "cy", "cz"), strict=True)])

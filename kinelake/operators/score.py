@@ -127,12 +127,11 @@ def desync_by_clock(rows: DataFrame) -> DataFrame:
 def detection_latency(rows: DataFrame, per_second: float = 1.0) -> DataFrame:
     """For each (stream, failure, severity, target) with an onset: the end of its first flagged window from the onset on."""
     keys = ["dataset", "subject", "true_failure", "severity", "node"]
-    known = rows.where("is_target and onset is not null")
-    onset = known.groupBy(*keys).agg(F.min("onset").alias("onset"))
-    seen = known.select(*keys, "end", "flagged").join(onset, keys).where(F.col("flagged") & (F.col("end") >= F.col("onset")))
-    first = seen.groupBy(*keys).agg(F.min("end").alias("detected_by"))
+    known = rows.where("is_target and onset is not null").withColumn("onset", F.min("onset").over(Window.partitionBy(*keys)))
+    seen = F.min(F.when(F.col("flagged") & (F.col("end") >= F.col("onset")), F.col("end")))
+    first = known.groupBy(*keys).agg(F.first("onset").alias("onset"), seen.alias("detected_by"))
     late = F.greatest(F.lit(0.0), F.col("detected_by") - F.col("onset")) / per_second
-    return onset.join(first, keys, "left").withColumn("latency_sec", F.when(F.col("detected_by").isNotNull(), late))
+    return first.withColumn("latency_sec", F.when(F.col("detected_by").isNotNull(), late))
 
 
 def class_confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:

@@ -259,9 +259,9 @@ _signal_query("cross_node_offset", (), ("cross_node_offset_ms",), "offsets")
 
 
 def event_verdicts(spark: SparkSession, sf_dir: str, frames: DataFrame | None = None) -> DataFrame:
-    frames = blind(frames if frames is not None else event_frames(spark, sf_dir))
-    calibration = C.calibrate(blind(event_frames(spark, sf_dir)), max_windows=None)
-    return D.diagnose(Si.window_signals(frames, per_second=DAY_US), C.references(calibration))
+    signals = event_signals(spark, sf_dir, frames)
+    clean = signals if frames is None else event_signals(spark, sf_dir)
+    return D.diagnose(signals, C.references(C.calibrate_means(C.means_of_signals(clean), max_windows=None)))
 
 
 @query("calibrate_gravity", sql_with(last=f"SELECT dataset, node, n_windows, {r6('ref_x', 'ref_y', 'ref_z', 'mean_angle', 'p95', 'max_angle')} FROM calibration"))
