@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import ACCEL, GYRO, MOUNT_AXIS, NAN, all_nan, along_axis, angle, any_nan, known, norm
+from ..session import ship
 from . import NODE_KEY, WINDOW_KEY
 
 # What each severity from 1 to 4 means.
@@ -164,6 +165,41 @@ class PacketLoss(Strategy):
         return burst_stats(after, all_nan())
 
 
+def numpy_draws(target: DataFrame, seed: int) -> DataFrame:
+    """``target`` with ``u``: the numbers that one numpy generator with this seed draws when it walks all
+    windows in stream order, one before each window and one after each sample.
+
+    Every window finds its own place in the generator's sequence (the samples and windows
+    before it, summed by subject and then inside a subject), so the work is not ordered.
+    """
+    ship(target.sparkSession)
+    per = target.groupBy(*WINDOW_KEY).agg((F.count(F.lit(1)) + 1).alias("used"))
+    subjects = per.groupBy("dataset", "subject").agg(F.sum("used").alias("all_used"))
+    before_subject = F.sum("all_used").over(Window.partitionBy("dataset").orderBy("subject")) - F.col("all_used")  # a row a subject
+    subjects = subjects.select("dataset", "subject", before_subject.alias("base"))
+    inside = F.sum("used").over(Window.partitionBy("dataset", "subject").orderBy("seg", "win")) - F.col("used")
+    places = per.withColumn("inside", inside).join(subjects, ["dataset", "subject"]).select(*WINDOW_KEY, (F.col("base") + F.col("inside")).alias("offset"), "used")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in places.schema.fields if f.name in WINDOW_KEY)
+
+    def task(batches):
+        import numpy as np
+
+        for pdf in batches:
+            draws = [np.random.Generator(np.random.PCG64(seed).advance(int(o))).random(int(n)) for o, n in zip(pdf["offset"], pdf["used"], strict=True)]
+            yield pdf[list(WINDOW_KEY)].assign(draws=draws)
+
+    drawn = places.mapInPandas(task, f"{kinds}, draws array<double>")
+    return target.join(drawn, list(WINDOW_KEY)).withColumn("u", F.element_at("draws", F.col("idx"))).drop("draws")
+
+
+class NumpyPacketLoss(PacketLoss):
+    """Packet loss with numpy's numbers, for results that must equal a sequential run's bit for bit."""
+
+    def change(self, target, severity, seed):
+        rows = numpy_draws(target, seed)
+        return bursty_loss(rows, *LOSS_AND_BURST[severity - 1], F.col("u")).withColumns(blanked(F.col("lost") == 1)).drop("lost", "u")
+
+
 class RateDegradation(Strategy):
     """Sample and hold: a value is taken over once a period has passed since the last one, in between it repeats."""
 

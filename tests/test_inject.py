@@ -123,6 +123,20 @@ def test_loss_rates_and_bursts_are_calibrated(spark):
         assert abs(row[0] - loss) < 0.02 and abs(row[1] / burst - 1) < 0.15
 
 
+def test_numpys_numbers_are_those_of_a_sequential_walk(spark, clean):
+    after, _ = I.inject(clean, I.NumpyPacketLoss(), 3, "ankle", seed=20)
+    got = {w: [math.isnan(r["ax"]) for r in after.where(f"node = 'ankle' and win = {w}").orderBy("idx").collect()] for w in range(3)}
+    rng, (loss, burst) = np.random.default_rng(20), I.LOSS_AND_BURST[2]
+    p, r = I.transition_probabilities(loss, burst)
+    for w in range(3):
+        bad, lost = rng.random() < loss, []
+        for _ in range(100):
+            lost.append(bool(bad))
+            u = rng.random()
+            bad = u >= r if bad else u < p
+        assert got[w] == lost
+
+
 def test_failures_compose(spark, clean):
     once, t1 = I.inject(clean, "displacement", 2, "ankle")
     twice, t2 = I.inject(once, "dropout", 1, "ankle")
