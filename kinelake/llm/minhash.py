@@ -4,23 +4,26 @@
    keeps its k smallest (all, when it has no more) as its sketch. Equal sets
    become one node, so copies cost one row each from here on.
 2. Inverted lists of retained values generate the overlaps. A pair at or above
-   the threshold shares at least ``t`` retained values, so it must meet in the
-   lists of the ``len - t + 1`` values that come first in *any* order all sets
-   agree on. The order is by frequency, counted in a table of fixed size over
-   all retained values: values that thousands of sets share come last, and so
-   most lists of common passages are never entered.
+   the threshold shares at least t of its retained values (``shared_at_least``),
+   so it must meet in the lists of the ``len - t + 1`` values that come first in
+   *any* order all sets agree on, and at places that leave room for t. The order
+   puts values that many sets hold last, the more the later; those are counted
+   exactly and their levels kept in a table of fixed size.
 3. Each list first links its members to its most typical member (a star, as
    many pairs as members). Pairs pass the union-sketch estimate, then exact
    Jaccard on the full sets. Links are merged into components. Lists that still
    hold several components pair their members *across* components, which is the
-   exact way for whatever the stars did not reach.
+   exact way for whatever the stars did not reach. A pair must first pass its
+   sizes, its places in the list, and a parity bitmap: bits in which two bitmaps
+   differ are no more than the values in which the sets differ, and those are
+   bounded by the threshold.
 
 No list, set or component is gathered in one task or on the driver; nothing is
 capped.
 
-With k = 128 a pair at 0.75 shares 96 retained values on average when one set
-holds the other and more otherwise; t = 70 is over five standard deviations
-below that, and for sets of at most 96 shingles the bound is certain.
+With k = 128, sets of at most 128 shingles are held whole and all bounds are
+certain; for larger ones t lies six standard deviations below the overlap that
+a pair at the threshold has on average, the parity limit six above.
 
 Defined cases: null or empty text, or text without words, has an empty set and
 is linked with nothing; a text of fewer than five words has its whole sequence
@@ -39,76 +42,158 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, joined_components
 from .shared import bloom_filter, free_name, in_filter, materialise, small_batches, table, utf8
 from .textvec import shingle_sets
 
 SKETCH = 128
 THRESHOLD = (75, 100)
-COUNT_SLOTS = 1 << 18
+COUNT_SLOTS = 1 << 20
+#: A value in more sets than this is put behind all others.
+HEAVY = 32
 FILTER_BITS = 1 << 25
 #: Standard deviations below the threshold at which the estimate still lets a pair through.
 SLACK = 4.5
+PARITY_WORDS = 8
+#: Sets above this size are sampled by halves for their parity bitmap.
+PARITY_SET = 512
 
 
-def shared_at_least(n: int, k: int = SKETCH) -> int:
-    """Retained values that a set of n shingles shares with any partner at the threshold."""
+def shared_at_least(a: int, b: int, k: int = SKETCH) -> int:
+    """Retained values that sets of ``a`` and ``b`` shingles, a <= b, share if they are linked."""
     num, den = THRESHOLD
-    return max(1, ceil(n * num / den) if n * den <= k * num else int(0.55 * k))
+    both = ceil((a + b) * num / (num + den))
+    if b <= k:
+        return max(1, both)
+    p = min(1.0, both / b)
+    return max(1, int(k * p - 6 * sqrt(k * p * (1 - p) * (b - k) / (b - 1))))
+
+
+def shared_with_any(n: int, k: int = SKETCH) -> int:
+    """The least of that over all sizes that a linked set can have."""
+    num, den = THRESHOLD
+    low, high = -(-n * num // den), n * den // num
+    sizes = {low + (high - low) * i // 8 for i in range(9)} | {n, min(max(k, low), high), min(max(k + 1, low), high)}
+    return max(1, min(shared_at_least(min(n, m), max(n, m), k) for m in sizes) - 1)
+
+
+def shared_sql(a: str, b: str, k: int) -> str:
+    """``shared_at_least`` as an expression over two size columns."""
+    num, den = THRESHOLD
+    big, both = f"greatest({a}, {b})", f"ceil(({a} + {b}) * {num} / {num + den}D)"
+    p = f"least(1D, {both} / {big})"
+    return f"CASE WHEN {big} <= {k} THEN {both} ELSE floor({k} * {p} - 6 * sqrt({k} * {p} * (1 - {p}) * ({big} - {k}) / ({big} - 1))) END"
+
+
+def parity_class(n: int) -> int:
+    """How often a set of n is halved for its bitmap."""
+    return max(0, (n - 1).bit_length() - PARITY_SET.bit_length() + 1) if n > PARITY_SET else 0
+
+
+def parity(values: np.ndarray, halved: int) -> np.ndarray:
+    """A bitmap of the values whose last ``halved`` bits are zero: each flips one bit."""
+    if halved:
+        values = values[values & np.uint64((1 << halved) - 1) == 0]
+    bit = (values >> np.uint64(20)) & np.uint64(PARITY_WORDS * 64 - 1)
+    flips = np.bincount(bit.astype(np.int64), minlength=PARITY_WORDS * 64) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def parity_sql(x: str, y: str) -> str:
+    """Whether two sets' bitmaps allow a link: they are compared at the larger set's class, which is the other's or the next."""
+    num, den = THRESHOLD
+
+    def differ(of_x: str, of_y: str) -> str:
+        return " + ".join(f"bit_count({x}.{of_x}{i} ^ {y}.{of_y}{i})" for i in range(PARITY_WORDS))
+
+    most = f"({x}.n + {y}.n) * {(den - num) / (den + num)!r}D"
+    # {x}.spare is 0 for a set that is held whole, else six deviations of what its class leaves.
+    room = f"({most} / greatest({x}.halves, {y}.halves) + greatest({x}.spare, {y}.spare) + 1e-6D)"
+    return (
+        f"(({x}.halved = {y}.halved and {differ('p', 'p')} <= {room}) or ({x}.halved < {y}.halved and {differ('q', 'p')} <= {room})"
+        f" or ({x}.halved > {y}.halved and {differ('p', 'q')} <= {room}))"
+    )
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(7)) & np.uint64(COUNT_SLOTS - 1)
 
 
+_PARITY = [f"{c}{i}" for c in "pq" for i in range(PARITY_WORDS)]
+_SKETCH_SCHEMA = "doc_id long, uid long, n long, key binary, sketch binary, halved int, " + ", ".join(f"{c} long" for c in _PARITY)
+
+
 def _sketches(words_per_shingle: int, k: int):
     def task(batches):
         for batch in batches:
             data, offs = utf8(batch.column(2))
-            n, keys, sketches = [], [], []
+            n, keys, sketches, halved, maps = [], [], [], [], []
             for values in shingle_sets(data, offs, words_per_shingle):
+                c = parity_class(len(values))
                 n.append(len(values))
                 keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
                 sketches.append(values[:k].tobytes() if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "uid", "n", "key", "sketch"])
+                halved.append(c)
+                maps.append(np.concatenate([parity(values, c), parity(values, c + 1)]))
+            bits = np.array(maps, np.int64).reshape(-1, len(_PARITY)).T
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(halved, pa.int32()), *map(pa.array, np.ascontiguousarray(bits))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "n", "key", "sketch", "halved", *_PARITY])
 
     return task
 
 
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """How often retained values fall in each of a fixed number of slots, over all sets."""
+def _value_counts(batches):
+    """(value, n): retained values, counted as far as a batch goes."""
+    for batch in batches:
+        raw = [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
+        if raw:
+            values, n = np.unique(np.concatenate(raw), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["value", "n"])
 
-    def task(batches):
-        counts = np.zeros(COUNT_SLOTS, np.int64)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                counts[_slot(np.frombuffer(raw, np.uint64)).astype(np.int64)] += 1
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["slot", "n"])
 
-    found = sets.select("sketch").mapInArrow(task, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+def _levels(sets: DataFrame) -> np.ndarray:
+    """For each slot the level (binary logarithm of the number of sets) of the heaviest value in it, 0 where all are light.
+
+    All retained values are counted; of the heavy ones, the heaviest COUNT_SLOTS / 4 at most get a level.
+    """
+    counted = sets.select("sketch").mapInArrow(_value_counts, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
+    heavy = materialise(counted.select("value", F.floor(F.log2("n")).cast("int").alias("level")), "near-heavy")
+    held, least = 0, 64
+    for r in heavy.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # a row a level
+        held += r["n"]
+        if held > COUNT_SLOTS // 4:
+            break
+        least = r["level"]
+    slot = F.shiftrightunsigned("value", 7).bitwiseAND(COUNT_SLOTS - 1)
+    found = heavy.where(F.col("level") >= least).groupBy(slot.alias("slot")).agg(F.max("level").alias("level")).toPandas()
     out = np.zeros(COUNT_SLOTS, np.int64)
-    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[found["slot"].to_numpy(np.int64)] = found["level"].to_numpy(np.int64)
     return out
 
 
-def _list_entries(counts, k: int):
-    """(value, sid, n, typical): the retained values of a set that come first, rarest first."""
+_ENTRY = "value long, sid long, n long, held int, place int, typical double"
+
+
+def _list_entries(levels, k: int):
+    """The retained values of a set that come first, light ones and then heavy ones by level."""
 
     def task(batches):
-        often = counts.value
+        table = levels.value
+        least: dict[int, int] = {}
         for batch in batches:
-            out_v, out_i, out_n, out_t = [], [], [], []
+            cols: list[list] = [[] for _ in range(6)]
             for sid, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 values = np.frombuffer(raw, np.uint64)
-                freq = often[_slot(values).astype(np.int64)]
-                first = np.lexsort((values, freq))[: len(values) - shared_at_least(n, k) + 1]
-                out_v.append(values[first].view(np.int64))
-                out_i.append(np.full(len(first), sid))
-                out_n.append(np.full(len(first), n))
-                out_t.append(np.full(len(first), np.log1p(freq).mean()))
-            if out_v:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_v, out_i, out_n, out_t)], ["value", "sid", "n", "typical"])
+                level = table[_slot(values).astype(np.int64)]
+                if n not in least:
+                    least[n] = shared_with_any(n, k)
+                first = np.lexsort((values, level))[: max(0, len(values) - least[n] + 1)]
+                m = len(first)
+                row = (values[first].view(np.int64), np.full(m, sid), np.full(m, n), np.full(m, len(values), np.int32), np.arange(m, dtype=np.int32), np.full(m, float(level.mean())))
+                for col, v in zip(cols, row, strict=True):
+                    col.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["value", "sid", "n", "held", "place", "typical"])
 
     return task
 
@@ -199,9 +284,19 @@ class _Linker:
         return passed.where("sure").select("a", "b").union(sure)
 
 
-def _sizes_fit(a: str, b: str) -> str:
+def _room(n: str, held: str, place: str, n2: str, held2: str, place2: str, k: int) -> str:
+    """Sizes that can link, and places from which as many values as a link shares can follow."""
     num, den = THRESHOLD
-    return f"{a} * {den} >= {b} * {num} and {b} * {den} >= {a} * {num}"
+    t = shared_sql(n, n2, k)
+    return f"{n} * {den} >= {n2} * {num} and {n2} * {den} >= {n} * {num} and {held} - {place} >= {t} and {held2} - {place2} >= {t}"
+
+
+def _room_in_list(k: int) -> str:
+    """Whether a member's place leaves room for a link with any size between the list's ``least`` and ``most``."""
+    num, den = THRESHOLD
+    low, high = f"greatest(least, ceil(n * {num} / {den}D))", f"least(most, floor(n * {den} / {num}D))"
+    t = f"least({shared_sql('n', low, k)}, {shared_sql('n', high, k)})"
+    return f"held - place >= {t} - 1"
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, k: int = SKETCH) -> DataFrame:
@@ -210,29 +305,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
-    sketched = materialise(rows.mapInArrow(_sketches(words, k), "doc_id long, uid long, n long, key binary, sketch binary"), "near-sketches")
+    sketched = materialise(rows.mapInArrow(_sketches(words, k), _SKETCH_SCHEMA), "near-sketches")
     some = sketched.where("n > 0")
-    sets = some.groupBy("key").agg(F.min("uid").alias("sid"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = some.groupBy("key").agg(F.min("uid").alias("sid"), F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", "halved", *_PARITY)])
     sets = materialise(sets, "near-sets")
     linker = _Linker(docs, sets, k, words)
 
-    counts = spark.sparkContext.broadcast(_frequencies(sets))
-    entries = sets.select("sid", "n", "sketch").mapInArrow(_list_entries(counts, k), "value long, sid long, n long, typical double")
-    heads = entries.groupBy("value").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("typical", "sid", "n")).alias("c")).where("held > 1")
-    lists = materialise(entries.select("value", "sid", "n").join(heads.select("value", F.col("c.sid").alias("center"), F.col("c.n").alias("center_n")), "value"), "near-lists")
-    stars = lists.where("sid <> center").where(_sizes_fit("n", "center_n")).select(F.least("sid", "center").alias("a"), F.greatest("sid", "center").alias("b")).distinct()
+    levels = spark.sparkContext.broadcast(_levels(sets))
+    entries = sets.select("sid", "n", "sketch").mapInArrow(_list_entries(levels, k), _ENTRY)
+    heads = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("typical", "sid", "n", "held", "place")).alias("c")).where("members > 1")
+    heads = heads.select("value", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("sid", "n", "held", "place")])
+    lists = materialise(entries.drop("typical").join(heads, "value"), "near-lists")
+    stars = lists.where("sid <> c_sid").where(_room("n", "held", "place", "c_n", "c_held", "c_place", k)).select(F.least("sid", "c_sid").alias("a"), F.greatest("sid", "c_sid").alias("b")).distinct()
     links = materialise(linker.links(stars), "near-links")
     comps = materialise(connected_components(links), "near-components")
 
-    # What the stars left: lists whose members are not all in one component.
-    placed = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("value", "sid", "n", "center", F.coalesce("component", "sid").alias("component"))
-    split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
-    rest = materialise(placed.join(split, "value"), "near-rest")
-    other = rest.select("value", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    across = rest.join(other, "value").where("sid < sid2 and component <> component2 and sid <> center and sid2 <> center").where(_sizes_fit("n", "n2"))
-    more = materialise(linker.links(materialise(across.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct(), "near-across")), "near-links")
+    # What the stars left: lists whose members are not all in one component, and of those the
+    # members whose place leaves room for a link with the sizes that the list has.
+    halves = F.pow(F.lit(2.0), F.col("halved"))
+    spare = F.when(F.col("halved") == 0, 0.0).otherwise(6 * F.sqrt(F.col("n") * (8.0 / 21) / halves) + 6)
+    bits = sets.select("sid", "halved", halves.alias("halves"), spare.alias("spare"), *_PARITY)
+    placed = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("value", "sid", "n", "held", "place", "c_sid", F.coalesce("component", "sid").alias("component"))
+    split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo <> hi")
+    near = placed.where("sid <> c_sid").join(split, "value").where(_room_in_list(k)).select("value", "sid", "n", "component")
+    rest = materialise(near.join(bits, "sid"), "near-rest").alias("x")
+    num, den = THRESHOLD
+    fits = f"x.value = y.value and x.sid < y.sid and x.component <> y.component and x.n * {den} >= y.n * {num} and y.n * {den} >= x.n * {num}"
+    across = rest.join(rest.alias("y"), F.expr(f"{fits} and {parity_sql('x', 'y')}"))
+    across = across.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    more = materialise(linker.links(materialise(across, "near-across")), "near-links")
     if more.take(1):
-        comps = materialise(connected_components(links.union(more)), "near-components")
+        comps = materialise(joined_components(comps, more), "near-components")
 
     mapped = sketched.select("doc_id", "uid", "n", "key").join(sets.select("key", "sid"), "key", "left").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     mapped = materialise(mapped.select("doc_id", "uid", "n", F.coalesce("component", "sid", "uid").alias("component"), F.coalesce("component", "sid").isNotNull().alias("linked")), "near-mapped")
