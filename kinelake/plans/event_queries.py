@@ -664,3 +664,85 @@ def blanked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_samples(spark, sf_dir).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(all_nan().cast("long")).alias("n_blank"), F.sum(any_nan().cast("long")).alias("n_missing"), F.count("gx").alias("n_gyro"))
 
 
+
+
+# --- further breakdowns -------------------------------------------------------------------------
+
+
+@query(
+    "displacement_by_activity",
+    sql_with(
+        rows="""
+  SELECT v.* EXCLUDE (alignment), CASE WHEN seg % 2 = 0 THEN 'even' ELSE 'odd' END AS activity, 10.0::DOUBLE * (win + 1) AS realised_magnitude, 1.0::DOUBLE / (win + 2) AS alignment FROM verdicts v WHERE node = 'ankle' AND (subject + win) % 3 = 1""",
+        last="""SELECT node, activity, count(*) AS n, sum(flagged::INT)::BIGINT AS detected, sum((diagnosis = 'displacement')::INT)::BIGINT AS diagnosed, NEAR(avg(realised_magnitude), 6) AS mean_realised, NEAR(avg(alignment), 6) AS mean_alignment,
+  NEAR(avg(flagged::INT), 6) AS recall, NEAR(avg((diagnosis = 'displacement')::INT), 6) AS diagnosis_accuracy, avg(flagged::INT) < 0.5 AS undetectable FROM rows GROUP BY node, activity""",
+    ),
+)
+def displacement_by_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = event_verdicts(spark, sf_dir)
+    windows = G.sliding_windows(segmented(spark, sf_dir), WIDTH)
+    effects = F.create_map(F.lit("realised_angle_deg"), 10.0 * (F.col("win") + 1), F.lit("gravity_axis_alignment"), 1.0 / (F.col("win") + 2))
+    truth = windows.where((F.col("subject") + F.col("win")) % 3 == 1).select(*WINDOW_KEY, F.lit(TARGET).alias("target_node"), F.lit("displacement").alias("failure"), F.lit(1).alias("severity"), effects.alias("realised"))
+    labels = windows.select(*WINDOW_KEY, F.when(F.col("seg") % 2 == 0, "even").otherwise("odd").alias("label"))
+    return rounded(S.displacement_by_activity(S.tally(verdicts, truth, labels)))
+
+
+@query(
+    "temporal_fpr",
+    sql_with(
+        stream=_STREAM,
+        based="SELECT *, avg(gx) OVER w AS vx, avg(gy) OVER w AS vy, avg(gz) OVER w AS vz, count(gx) OVER w AS held FROM stream WHERE gx IS NOT NULL WINDOW w AS (PARTITION BY dataset, subject, node ORDER BY seg, win ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)",
+        deltas=f"SELECT *, CASE WHEN held = 2 AND sqrt(vx * vx + vy * vy + vz * vz) > 1e-9 THEN {_angle_sql('g', 'v')} END AS delta, acos(greatest(-1.0, least(1.0, abs((CASE WHEN node = 'chest' THEN gy ELSE gx END) / sqrt(gx * gx + gy * gy + gz * gz))))) AS phi FROM based",
+        hits="SELECT *, CASE WHEN delta IS NOT NULL THEN (delta > greatest(greatest(4.0, 0.5 * degrees(acos(greatest(-1.0, least(1.0, pow(cos(phi), 2) + pow(sin(phi), 2) * cos(radians(15.0))))))), 20.0))::INT END AS hit FROM deltas",
+        last="SELECT node, count(hit) AS n, coalesce(sum(hit), 0)::BIGINT AS fp, NEAR(coalesce(avg(hit), 0.0), 6) AS rate FROM hits GROUP BY node",
+    ),
+)
+def temporal_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.rolling_delta(gravity_stream(spark, sf_dir), 2, ("dataset", "subject", "node"), ("seg", "win"))
+    return rounded(T.false_positive_rate(T.over_threshold(rows.where("gx is not null"), F.lit(20.0)), "node"))
+
+
+@query("feature_count", sql_with(
+    counts=f"""
+  SELECT {KEYS}, node, avg(({_VALID})::INT) >= 0.2 AS has_data, bool_or(has_gyro) AS gyro, count(*) FILTER (WHERE NOT isnan(ax)) AS nx, count(*) FILTER (WHERE NOT isnan(ay)) AS ny, count(*) FILTER (WHERE NOT isnan(az)) AS nz,
+    count(*) FILTER (WHERE has_gyro AND NOT isnan(gx)) AS ng, count(*) FILTER (WHERE {_VALID}) AS nv FROM frames GROUP BY {KEYS}, node""",
+    last=f"""SELECT {KEYS}, sum(CASE WHEN has_data THEN 5 * ((nx > 0)::INT + (ny > 0)::INT + (nz > 0)::INT) + CASE WHEN gyro AND ng > 0 THEN 15 ELSE 0 END + CASE WHEN nv > 0 THEN 5 ELSE 0 END ELSE 0 END)::BIGINT AS n_features FROM counts GROUP BY {KEYS}""",
+))
+def feature_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the correlations, whose guard is left to the tests."""
+    f = Fe.node_features(blind(event_frames(spark, sf_dir)))
+    return Fe.feature_count(f.drop(*[f"corr_{p}{q}" for p, q in Fe.PAIRS]))
+
+
+@query(
+    "longest_missing_run",
+    """
+WITH i AS (SELECT user_id, event_id % 11 < 4 AS miss, sum(CASE WHEN event_id % 11 < 4 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events)
+SELECT user_id, max(n)::BIGINT AS run FROM (SELECT user_id, island, sum(miss::INT) AS n FROM i GROUP BY user_id, island) GROUP BY user_id""",
+)
+def longest_missing_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    return G.longest_run(events, F.col("event_id") % 11 < 4, ["user_id"], ["ts", "event_id"])
+
+
+@query(
+    "few_shot_pick",
+    """
+WITH k AS (SELECT event_id, user_id, event_type, (event_id * 104729 + 7) % 99991 AS lot FROM events WHERE event_type <> 'error')
+SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY lot, event_id) AS place FROM k) WHERE place <= 2""",
+)
+def few_shot_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    return Sa.few_shot(events, 2, ["click", "purchase", "signup", "view"], 0, label="event_type", identity=("event_id",), draw_by=(F.col("event_id") * 104729 + 7) % 99991)
+
+
+@query(
+    "middle_of_run_pick",
+    """
+WITH n AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n_of FROM events),
+t AS (SELECT *, ((place - n_of // 2) % n_of + n_of) % n_of AS turn FROM n)
+SELECT event_id, event_type, pick::INTEGER AS pick FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY turn, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type)) AS pick FROM t WHERE turn < 3) WHERE pick <= 12""",
+)
+def middle_of_run_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
+    return Sa.middle_of_run(events, 12, ["click", "error", "purchase", "signup", "view"], label="event_type", order=("ts", "event_id")).select("event_id", "event_type", "pick")
