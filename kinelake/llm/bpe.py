@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .pretoken import SPECIAL, words
 from .shared import small_batches, table
 
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 MEMO_LETTERS = 40
 _LOADED: dict[str, "WordBpe"] = {}
 

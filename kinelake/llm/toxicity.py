@@ -44,7 +44,9 @@ SIZE = OTHER + 1  # 0 parts words
 #: Log-probabilities of the channel.
 KEEP, STANDS_FOR, NOISE, SIGN_NOISE, PARTS, REPEAT_RUN, REPEAT_TWO = -0.05, -0.7, -0.2, -6.0, -0.9, -0.3, -3.0
 MAX_FEATURES = 4096
-MEMO_TOKENS = 200_000
+MEMO_TOKENS = 120_000
+#: Tokens whose features are remembered, and features counted, before a task lets go of them.
+COUNTED_TOKENS, COUNTED_FEATURES = 30_000, 150_000
 _SPACED = re.compile(r"(?<![^\s])(?:[^\W_][ .\-_*]{1,2}){2,}[^\W_](?![^\s.,!?;:])")
 _RUN = re.compile(r"(\w)\1\1")
 _EDGE = ".,;:?!\"'()[]{}<>«»„“”‘’-–—_*#%&/\\|=~^`"
@@ -169,10 +171,10 @@ def _doc_features(text: str, model: np.ndarray, memo: dict) -> set[str]:
     out: set[str] = set()
     for t in tokens(text):
         if t not in memo:
-            if len(memo) >= MEMO_TOKENS:
+            if len(memo) >= COUNTED_TOKENS:
                 memo.clear()
-            memo[t] = features(restored(t, model))
-        out |= memo[t]
+            memo[t] = tuple(features(restored(t, model)))
+        out.update(memo[t])
     return out
 
 
@@ -190,7 +192,7 @@ def _class_counts(model):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for f in _doc_features(text or "", model.value, memo):
                     counts.setdefault(f, [0, 0])[label] += 1
-            if len(counts) > 500_000:
+            if len(counts) > COUNTED_FEATURES:
                 yield flush()
         if counts:
             yield flush()
