@@ -166,8 +166,8 @@ def _levels(sets: DataFrame) -> np.ndarray:
         least = r["level"]
     slot = F.shiftrightunsigned("value", 7).bitwiseAND(COUNT_SLOTS - 1)
     found = heavy.where(F.col("level") >= least).groupBy(slot.alias("slot")).agg(F.max("level").alias("level")).toPandas()
-    out = np.zeros(COUNT_SLOTS, np.int64)
-    out[found["slot"].to_numpy(np.int64)] = found["level"].to_numpy(np.int64)
+    out = np.zeros(COUNT_SLOTS, np.int8)
+    out[found["slot"].to_numpy(np.int64)] = found["level"].to_numpy(np.int8)
     return out
 
 

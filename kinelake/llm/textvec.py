@@ -17,7 +17,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _VALUE = (_LOWER.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -70,7 +70,7 @@ def point_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 
 def _span_hashes(values, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Ascending spans, in segments of about a megabyte."""
+    """Ascending spans, in segments of a quarter of a megabyte or one word."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
