@@ -35,7 +35,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 _MAGIC = b"WVMX"
 _BLOCK = 512
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_200_000
 
 
 class WaveletMatrix:
