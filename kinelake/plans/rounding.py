@@ -1,7 +1,7 @@
 """Rounding that both engines agree on.
 
 Means of short decimals lie exactly on ties, where the last bit of a sum, and so
-the order of its terms, would decide. A fixed nudge far below the last digit kept
+the order of its terms, would decide. A fixed nudge far below the last digit kept, with more digits than any such mean,
 moves them off, on both sides alike; a negative zero becomes plain.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUDGE = 1e-9
+NUDGE = 1.2345678912345e-9
 
 
 def near(c: Column | str, digits: int = 6) -> Column:
