@@ -22,14 +22,15 @@ import heapq
 import json
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretoken import SPECIAL, words
+from .pretoken import SPECIAL, batch_words, word_at
 from .shared import small_batches, table
 
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 MEMO_LETTERS = 40
 _LOADED: dict[str, "WordBpe"] = {}
 
@@ -65,7 +66,7 @@ class WordBpe:
             self.rank[vocab[a] << 20 | vocab[b]] = rank
             self.made.append(vocab[a + b])
         self.strings = {i: s for s, i in (vocab | SPECIAL).items()}
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.memo: dict[int, bytes] = {}
 
     @classmethod
     def load(cls, path: str | None) -> "WordBpe":
@@ -114,32 +115,50 @@ class WordBpe:
     def decode(self, ids) -> str:
         return " ".join(self.strings[i] for i in ids)
 
-    def of_word(self, word: str) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, decoded text) of one word."""
-        ids = [SPECIAL[word]] if word in SPECIAL else self.merge(word)
-        out = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-        if len(word) <= MEMO_LETTERS:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = out
+    def ids_of(self, word: str) -> bytes:
+        """Ids of one word as little-endian 32-bit integers."""
+        return np.array([SPECIAL[word]] if word in SPECIAL else self.merge(word), "<u4").tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """(ids, decoded text) of each text; a word that this worker remembers is not merged again.
+
+        Words are told apart by 64-bit hashes: among MEMO_WORDS two share one with a
+        probability under one in a hundred million.
+        """
+        points, starts, ends, hashes, first, last = batch_words(texts)
+        of, distinct = pd.factorize(hashes)
+        example = np.empty(len(distinct), np.int64)
+        example[of[::-1]] = np.arange(len(of))[::-1]
+        if len(self.memo) + len(distinct) > MEMO_WORDS:
+            self.memo.clear()
+        ids, decoded = [], []
+        for k, s, e in zip(distinct.tolist(), starts[example].tolist(), ends[example].tolist(), strict=True):
+            raw = self.memo.get(k)
+            if raw is None:
+                raw = self.ids_of(word_at(points, s, e))
+                if e - s <= MEMO_LETTERS:
+                    self.memo[k] = raw
+            ids.append(raw)
+            decoded.append(self.decode(np.frombuffer(raw, "<u4").tolist()))
+        out = []
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            own = of[a:b].tolist()
+            out.append((b"".join([ids[j] for j in own]), " ".join([decoded[j] for j in own])))
         return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        memo = self.memo.get
-        parts = [memo(w) or self.of_word(w) for w in words(text)]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return self.encode_batch([text])[0]
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocab: str | None = None) -> DataFrame:
     """``keep`` columns, then ids (array<int>) and decoded, for every row of ``docs``."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
 
     def task(batches):
         model = WordBpe.load(vocab)
         for batch in batches:
             ids, decoded = [], []
-            for text in batch.column(0).to_pylist():
-                raw, back = model.encode(text or "")
+            for raw, back in model.encode_batch([t or "" for t in batch.column(0).to_pylist()]):
                 ids.append(np.frombuffer(raw, "<u4").astype(np.int32))
                 decoded.append(back)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*names, "ids", "decoded"])
@@ -152,15 +171,14 @@ def encode_texts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
 
 def token_digests(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocab: str | None = None) -> DataFrame:
     """As ``encode_texts``, with counts and digests in place of the ids and the text."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def task(batches):
         model = WordBpe.load(vocab)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for text in batch.column(0).to_pylist():
-                raw, back = model.encode(text or "")
+            for raw, back in model.encode_batch([t or "" for t in batch.column(0).to_pylist()]):
                 n.append(len(raw) // 4)
                 ids.append(hashlib.sha256(raw).hexdigest())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
