@@ -18,6 +18,8 @@ that ``docs`` has already is never reused: ``copy_no``, ``n_copies`` and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .shared import free_name, table
 #: Above so many sources the rates are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 20_000
 SEED = 17
+#: Above this rate a source's distribution begins near its mean instead of at 0.
+DIRECT_RATE = 500.0
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -35,23 +39,36 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """CDF(0), CDF(1), ... up to where nothing is left in a double; built once a source, not once a row."""
-    steps = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
+    """(low, cdf): CDF(low), CDF(low + 1), ... up to where nothing is left in a double; built once a source, not once a row.
+
+    Up to DIRECT_RATE low is 0. Beyond, exp(-rate) runs out of doubles: low lies
+    12 deviations and 30 below the mean, where less than e ** -72 is before it, and its
+    probability is taken in log space (Stirling's series, low being above 200).
+    """
+    far = rate > DIRECT_RATE
+    margin = 12 * F.sqrt(rate) + 30
+    low = F.when(far, F.floor(rate - margin)).otherwise(0).cast("int")
+    k = F.when(far, low.cast("double")).otherwise(1.0)
+    log_p = (k - rate) + k * F.log(rate / k) - 0.5 * F.log(2 * math.pi * k) - 1 / (12 * k) + 1 / (360 * k * k * k)
+    p0 = F.exp(F.when(far, log_p).otherwise(-rate))
+    start = F.struct(p0.alias("p"), p0.alias("c"), F.array(p0).alias("all"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.concat(acc["all"], F.array(acc["c"] + p)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["all"])
+    cdf = F.aggregate(F.sequence(low + 1, F.ceil(rate + margin).cast("int")), start, step, lambda acc: acc["all"])
+    return F.struct(low.alias("low"), cdf.alias("cdf"))
 
 
 def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, max_rate: float) -> DataFrame:
     """(source, rate): the mean number of copies that brings each source to its share of as many rows as there are.
 
     Without ``weights`` the target share is n ** temperature, the usual
-    temperature mix. Rates above ``max_rate`` are refused, not clipped: a
-    target that repeats one document more often is an error in the weights.
+    temperature mix, whose rates grow with the table (by its square root, where a
+    source is one row) and are never refused. Rates from ``weights`` above
+    ``max_rate`` are refused, not clipped: a target that repeats one document
+    more often is an error in the weights.
     """
     counts = docs.groupBy(F.col(source_col).cast("string").alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
@@ -63,6 +80,8 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, te
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
     rate = F.round(F.col("w") * F.col("all_n") / (F.col("all_w") * F.col("n")), 9)
     known = counts.where("w > 0").crossJoin(F.broadcast(total)).withColumn("rate", rate)  # total: one row
+    if weights is None:
+        return known.select("mix_source", "rate")
     return known.select("mix_source", F.when(F.col("rate") <= max_rate, F.col("rate")).otherwise(F.raise_error(F.lit("a rate is above max_rate"))).alias("rate"))
 
 
@@ -77,7 +96,7 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
     rows = docs.join(known, F.col(source_col).cast("string").eqNullSafe(F.col(origin)))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = uniform(name, seed)
-    rows = rows.withColumn(n, F.size(F.filter(table_name, lambda c: c <= u))).where(F.col(n) > 0)
+    rows = rows.withColumn(n, F.col(table_name)["low"] + F.size(F.filter(F.col(table_name)["cdf"], lambda c: c <= u))).where(F.col(n) > 0)
     copies = rows.withColumn(no, F.explode(F.sequence(F.lit(1), F.col(n))))
     key = F.md5(F.concat_ws("|", F.lit(f"place {seed}"), name, F.col(no).cast("string")))
     copies = copies.withColumn(place, key).drop(origin, table_name)

@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from kinelake.llm.mixing import mix_sources, rates, uniform
+from kinelake.llm.mixing import mix_sources, poisson_cdf, rates, uniform
 
 from .helpers import docs
 
@@ -52,3 +53,24 @@ def test_wild_rates_are_refused(spark):
     df = docs(spark, [(i, "t", "rare" if i == 0 else "common") for i in range(2000)])
     with pytest.raises(Exception, match="max_rate"):
         mix_sources(df, weights={"rare": 1.0}, max_rate=10.0).count()
+
+
+@pytest.mark.parametrize("rate", [499.5, 500.5, 744.0, 2000.0, 31_000.0])
+def test_any_rate_has_its_whole_distribution(spark, rate):
+    low, cdf = spark.range(1).select(poisson_cdf(F.lit(rate)).alias("t")).first()["t"]
+    log_p = lambda k: k * math.log(rate) - rate - math.lgamma(k + 1)
+    total = math.fsum(math.exp(log_p(k)) for k in range(low))
+    for k, c in enumerate(cdf, low):
+        total += math.exp(log_p(k))
+        assert abs(c - total) < 1e-9
+    assert abs(cdf[-1] - 1) < 1e-9 and cdf[0] < 1e-15
+
+
+def test_a_source_of_one_row_never_fails_the_default_mix(spark):
+    n = 640_000  # a rate of about 800
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") == 5, "rare").otherwise("common").alias("source"))
+    known = {r["mix_source"]: r["rate"] for r in rates(df, "source", None, 0.5, 500.0).collect()}
+    assert known["rare"] > 750
+    out = {r["source"]: r["n"] for r in mix_sources(df).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert abs(out["rare"] - known["rare"]) < 6 * math.sqrt(known["rare"])
+    assert abs(out["common"] - known["common"] * (n - 1)) < 6 * math.sqrt(n)
