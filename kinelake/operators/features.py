@@ -17,6 +17,7 @@ LEAST_VALID = 0.20
 LEAST_SD = 1e-12
 STATS = ("mean", "std", "min", "max", "energy")
 PAIRS = (("x", "y"), ("y", "z"), ("x", "z"))
+PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy", "x_min", "x_max", "y_min", "y_max")
 NODE_ORDER = ("wrist", "chest", "ankle")
 
 
@@ -38,11 +39,14 @@ def plain_features(frames: DataFrame, keys: Sequence[str] = NODE_KEY) -> DataFra
 
 
 def correlation(sums: dict[str, Column]) -> Column:
-    """Pearson's r from sums over paired values; NULL for fewer than three pairs or a constant axis."""
+    """Pearson's r from sums over paired values; NULL for fewer than three pairs or a constant axis.
+
+    An axis is constant where its least and most value are equal: the deviation from sums is rounding noise there.
+    """
     n = sums["n"].cast("double")
     mx, my = sums["x"] / n, sums["y"] / n
     sx, sy = F.sqrt(F.greatest(sums["xx"] / n - mx * mx, F.lit(0.0))), F.sqrt(F.greatest(sums["yy"] / n - my * my, F.lit(0.0)))
-    return F.when((n >= 3) & (sx >= LEAST_SD) & (sy >= LEAST_SD), (sums["xy"] / n - mx * my) / (sx * sy))
+    return F.when((n >= 3) & (sums["x_min"] < sums["x_max"]) & (sums["y_min"] < sums["y_max"]) & (sx >= LEAST_SD) & (sy >= LEAST_SD), (sums["xy"] / n - mx * my) / (sx * sy))
 
 
 def node_features(frames: DataFrame) -> DataFrame:
@@ -57,6 +61,7 @@ def node_features(frames: DataFrame) -> DataFrame:
         both = x.isNotNull() & y.isNotNull()
         x, y = F.when(both, x), F.when(both, y)
         aggs += [F.count(x).alias(f"{p}{q}_n"), F.sum(x).alias(f"{p}{q}_x"), F.sum(y).alias(f"{p}{q}_y"), F.sum(x * x).alias(f"{p}{q}_xx"), F.sum(y * y).alias(f"{p}{q}_yy"), F.sum(x * y).alias(f"{p}{q}_xy")]
+        aggs += [f(v).alias(f"{p}{q}_{name}_{side}") for name, v in (("x", x), ("y", y)) for side, f in (("min", F.min), ("max", F.max))]
     aggs += [F.avg(F.when(valid, F.col(c))).alias(f"vm_{a}") for c, a in zip(ACCEL, AXES, strict=True)]
     aggs += [F.stddev_pop(F.when(valid, F.col(c))).alias(f"vs_{a}") for c, a in zip(ACCEL, AXES, strict=True)]
     per = frames.groupBy(*NODE_KEY).agg(
@@ -73,7 +78,7 @@ def node_features(frames: DataFrame) -> DataFrame:
     motion = (F.col("vs_x") + F.col("vs_y") + F.col("vs_z")) / 3.0
     level = F.when(motion < STILL, "still").when(motion < MODERATE, "moderate").when(motion.isNotNull(), "vigorous")
     out = {f"{kind}_{a}_{s}": F.col(f"{kind}_{a}_{s}") for kind in ("acc", "gyro") for a in AXES for s in STATS}
-    out |= {f"corr_{p}{q}": correlation({k: F.col(f"{p}{q}_{k}") for k in ("n", "x", "y", "xx", "yy", "xy")}) for p, q in PAIRS}
+    out |= {f"corr_{p}{q}": correlation({k: F.col(f"{p}{q}_{k}") for k in PAIR_SUMS}) for p, q in PAIRS}
     out |= {f"unit_{a}": F.when(length > 1e-9, F.col(f"vm_{a}") / length) for a in AXES}
     out |= {"magnitude_g": F.when(length > 1e-9, length), "motion_sd_g": motion, "motion_level": level}
     return per.select(

@@ -542,6 +542,27 @@ def axis_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(*NODE_KEY, *[near(f"corr_{p}{q}", 5).alias(f"corr_{p}{q}") for p, q in Fe.PAIRS])
 
 
+def _ranges_sql(p: str, q: str) -> str:
+    both = f"NOT isnan(a{p}) AND NOT isnan(a{q})"
+    return f"coalesce(min(a{p}) FILTER (WHERE {both}) < max(a{p}) FILTER (WHERE {both}) AND min(a{q}) FILTER (WHERE {both}) < max(a{q}) FILTER (WHERE {both}), false) AND count(*) FILTER (WHERE {both}) >= 3 AS {p}{q}_varies"
+
+
+_RANGES = ", ".join(_ranges_sql(p, q) for p, q in Fe.PAIRS)
+
+
+@query(
+    "axis_corr_all",
+    sql_with(
+        sums=f"SELECT {KEYS}, node, avg((NOT (isnan(ax) OR isnan(ay) OR isnan(az)))::INT) >= 0.2 AS has_data, {_corr_sql('x', 'y')}, {_corr_sql('y', 'z')}, {_corr_sql('x', 'z')}, {_RANGES} FROM frames GROUP BY {KEYS}, node",
+        last=f"SELECT {KEYS}, node, " + ", ".join(f"CASE WHEN {p}{q}_varies THEN corr_{p}{q} END AS corr_{p}{q}" for p, q in Fe.PAIRS) + f" FROM (SELECT *, {_corr_out('x', 'y')}, {_corr_out('y', 'z')}, {_corr_out('x', 'z')} FROM sums)",
+    ),
+)
+def axis_corr_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """axis_corr over every subject: a constant axis is told by its range, exactly, on both sides."""
+    f = Fe.node_features(blind(event_frames(spark, sf_dir)))
+    return f.select(*NODE_KEY, *[near(f"corr_{p}{q}", 5).alias(f"corr_{p}{q}") for p, q in Fe.PAIRS])
+
+
 _STATS = ", ".join(
     f"NEAR(avg(CASE WHEN isnan(a{a}) THEN NULL ELSE a{a} END), 6) + 0.0 AS acc_{a}_mean, NEAR(stddev_pop(CASE WHEN isnan(a{a}) THEN NULL ELSE a{a} END), 6) + 0.0 AS acc_{a}_std, min(CASE WHEN isnan(a{a}) THEN NULL ELSE a{a} END) AS acc_{a}_min, max(CASE WHEN isnan(a{a}) THEN NULL ELSE a{a} END) AS acc_{a}_max, NEAR(avg(CASE WHEN isnan(a{a}) THEN NULL ELSE a{a} * a{a} END), 6) + 0.0 AS acc_{a}_energy"
     for a in "xyz"
@@ -714,6 +735,18 @@ def feature_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fe.feature_count(f.drop(*[f"corr_{p}{q}" for p, q in Fe.PAIRS]))
 
 
+@query("feature_count_all", sql_with(
+    counts=f"""
+  SELECT {KEYS}, node, avg(({_VALID})::INT) >= 0.2 AS has_data, bool_or(has_gyro) AS gyro, count(*) FILTER (WHERE NOT isnan(ax)) AS nx, count(*) FILTER (WHERE NOT isnan(ay)) AS ny, count(*) FILTER (WHERE NOT isnan(az)) AS nz,
+    count(*) FILTER (WHERE has_gyro AND NOT isnan(gx)) AS ng, count(*) FILTER (WHERE {_VALID}) AS nv, {_RANGES} FROM frames GROUP BY {KEYS}, node""",
+    last=f"""SELECT {KEYS}, sum(CASE WHEN has_data THEN 5 * ((nx > 0)::INT + (ny > 0)::INT + (nz > 0)::INT) + CASE WHEN gyro AND ng > 0 THEN 15 ELSE 0 END + CASE WHEN nv > 0 THEN 5 ELSE 0 END
+  + xy_varies::INT + yz_varies::INT + xz_varies::INT ELSE 0 END)::BIGINT AS n_features FROM counts GROUP BY {KEYS}""",
+))
+def feature_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature, correlations too."""
+    return Fe.feature_count(Fe.node_features(blind(event_frames(spark, sf_dir))))
+
+
 @query(
     "longest_missing_run",
     """

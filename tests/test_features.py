@@ -29,6 +29,13 @@ def test_features_are_numpys(spark):
     assert r["magnitude_g"] == pytest.approx(np.linalg.norm(v.mean(0))) and r["motion_sd_g"] == pytest.approx(v.std(0).mean()) and r["motion_level"] == "vigorous"
 
 
+def test_a_constant_axis_has_no_correlation_whatever_its_value(spark):
+    for value in (0.1, 0.9, 0.3, 1234.567):
+        rows = window(nodes=("wrist",), n=47, accel=lambda node, i, value=value: (i / 7, value, (i % 5) / 3))
+        r = Fe.node_features(blind(frames(spark, rows))).first()
+        assert r["corr_xy"] is None and r["corr_yz"] is None and r["corr_xz"] is not None
+
+
 def test_absent_things_stay_absent(spark):
     flat = lambda node, i: (0.0, 1.0, 0.0) if node != "ankle" or i < 15 else (NAN, NAN, NAN)
     f = Fe.node_features(blind(frames(spark, window(accel=flat))))
