@@ -5,7 +5,8 @@
    successive 6-word hashes). A place gives two keys: its 6 words, which survive
    edits nearby, and its 28 words, which tie long exact passages.
 2. Seeds join through a star: each place of a key meets the key's first place
-   (its hub), as many matches as places, however many texts share a passage.
+   (its hub), and a further place in the hub's text the key's last text; as many
+   matches as places, however many texts share a passage.
 3. A text's matches with one hub are merged along diagonals into fragments and
    chained: ordered in both texts, each gap costed by its words, the best
    predecessor found in a Fenwick tree of prefix maxima.
@@ -63,8 +64,25 @@ def text_id(words: np.ndarray) -> int:
     return int(mix(np.array([spread.sum(dtype=np.uint64) + np.uint64(len(words))], np.uint64)).view(np.int64)[0])
 
 
+def thinned(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` (ascending) stay: a hash said again within WINDOW words of its last place that stays counts once."""
+    keep = np.ones(len(at), bool)
+    order = np.lexsort((at, h))
+    close = (np.diff(h[order]) == 0) & (np.diff(at[order]) < WINDOW)
+    last, at_before = 0, -1
+    for i in (np.flatnonzero(close) + 1).tolist():
+        if i - 1 != at_before:
+            last = at[order[i - 1]]
+        if at[order[i]] - last < WINDOW:
+            keep[order[i]] = False
+        else:
+            last = at[order[i]]
+        at_before = i
+    return keep
+
+
 def seed_places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, their 6-word hashes): the least hash of every window; a key said again within a window counts once."""
+    """(places, their 6-word hashes): the least hash of every window."""
     h = runs(words, SEED)
     if not len(h):
         return np.zeros(0, np.int64), h
@@ -73,13 +91,17 @@ def seed_places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:
         view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
         at = np.unique(view.argmin(1) + np.arange(len(view)))
-    order = np.lexsort((at, h[at]))
-    same = np.zeros(len(at), bool)
-    same[1:] = (h[at][order][1:] == h[at][order][:-1]) & (np.diff(at[order]) < WINDOW)
-    at = np.sort(at[order][~same])
     return at, h[at]
 
 
+def keyed_places(words: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(places, keys) of the 6-word keys and of the 28-word keys, each thinned by its own key: no key of a text is lost, and one a window or so stays in a run."""
+    at, h = seed_places(words)
+    whole = at[at + LONG <= len(words)]
+    long = mix(runs(words, LONG)[whole] + np.uint64(LONG)) if len(whole) else np.zeros(0, np.uint64)
+    return tuple((p[k], v[k]) for p, v in ((at, h), (whole, long)) for k in (thinned(p, v),))
+
+
 def _texts(batch: pa.RecordBatch, column: int, seen: set | None):
     """(row, id, words) of each text; with ``seen``, of each distinct text of the task so far."""
     data, offs = utf8(batch.column(column))
@@ -107,9 +129,7 @@ def _seeds(batches):
     for batch in batches:
         keys, sids, places, spans = [], [], [], []
         for _, sid, own in _texts(batch, 0, seen):
-            at, h = seed_places(own)
-            whole = at[at + LONG <= len(own)]
-            long = mix(runs(own, LONG)[whole] + np.uint64(LONG)) if len(whole) else np.zeros(0, np.uint64)
+            (at, h), (whole, long) = keyed_places(own)
             keys += [h, long]
             places += [at, whole]
             spans += [np.full(len(at), SEED), np.full(len(whole), LONG)]
@@ -356,10 +376,14 @@ def _passages(docs: DataFrame) -> DataFrame:
     """(x, y, x0, x1, y0, y1, identity) between texts; ``docs`` has one column, text."""
     spark = docs.sparkSession
     seeds = docs.mapInArrow(_seeds, "key long, sid long, place int, span int")
-    hubs = seeds.groupBy("key").agg(F.min(F.struct("sid", "place")).alias("hub"), F.max("sid").alias("most")).where("hub.sid < most")
-    hubs = hubs.select("key", F.col("hub.sid").alias("y"), F.col("hub.place").alias("yp"))
-    met = seeds.join(hubs, "key").where("sid <> y").select(F.col("sid").alias("x"), F.struct("y", F.col("place").alias("xp"), "yp", "span").alias("m"))
-    per_text = met.groupBy("x").agg(F.collect_set("m").alias("matches"))  # at most two a seed place of the text
+    last = F.max(F.struct("sid", (-F.col("place")).alias("back"))).alias("last")
+    hubs = seeds.groupBy("key").agg(F.min(F.struct("sid", "place")).alias("hub"), last).where("hub.sid < last.sid")
+    hubs = hubs.select("key", F.col("hub.sid").alias("y"), F.col("hub.place").alias("yp"), F.col("last.sid").alias("z"), (-F.col("last.back")).alias("zp"))
+    # Further places of the key in the hub's own text meet the key's last text, so that all of a run in it is covered too.
+    own = F.col("sid") == F.col("y")
+    x, xp, yp = F.when(own, F.col("z")).otherwise(F.col("sid")), F.when(own, F.col("zp")).otherwise(F.col("place")), F.when(own, F.col("place")).otherwise(F.col("yp"))
+    met = seeds.join(hubs, "key").where("sid <> y or place <> yp").select(x.alias("x"), F.struct("y", xp.alias("xp"), yp.alias("yp"), "span").alias("m"))
+    per_text = met.groupBy("x").agg(F.collect_set("m").alias("matches"))  # two a seed place of the text, and a key's further places in one hub
     pieces = per_text.mapInArrow(_chained, "x long, y long, x0 int, x1 int, y0 int, y1 int, parts array<int>")
     pieces = materialise(pieces.withColumn("piece", F.monotonically_increasing_id()), "passage-pieces")
 

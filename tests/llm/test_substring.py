@@ -79,6 +79,29 @@ def test_cutting_leaves_the_hub_and_other_columns(spark):
     assert all(prose(20, 10 + i) in texts[i] for i in range(4))
 
 
+def test_the_whole_of_long_periodic_passages_is_reported(spark):
+    for k, (period, times) in enumerate(((1, 700), (10, 100), (19, 40), (30, 40))):
+        run = (prose(period, 60 + k) + " ") * times
+        rows = [(i, f"{prose(40, 70 + i)} {run} {prose(40, 80 + i)}") for i in range(3)]
+        covered = {i: set() for i in range(3)}
+        for r in S.repeated_passages(docs(spark, rows)).collect():
+            covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+        for i in covered:
+            assert set(range(40, 40 + period * times)) <= covered[i], (period, i)
+
+
+def test_every_47_words_hold_a_long_key_of_the_text():
+    rng = np.random.default_rng(8)
+    for period in (1, 3, 10, 19, 40):
+        run = np.tile(rng.integers(1, 2**60, period), 300 // period + 1)
+        own = np.concatenate([rng.integers(1, 2**60, 30), run, rng.integers(1, 2**60, 60), run, run[:5]]).astype(np.uint64)
+        _, (places, keys) = S.keyed_places(own)
+        every = S.mix(S.runs(own, S.LONG) + np.uint64(S.LONG))
+        assert (every[places] == keys).all()
+        for at in range(len(own) - 46):
+            assert np.isin(every[at : at + 20], keys).any()
+
+
 def test_chains_are_the_best_collinear_ones():
     rng = np.random.default_rng(3)
     for _ in range(60):
