@@ -2,11 +2,13 @@
 
 1. A character trigram model is counted over every text of the table (the
    counts are summed by Spark; the table of all trigrams has a fixed size).
-2. A token that is not plain letters, or that repeats a letter three times, is
+2. A token that is not plain letters, or that repeats a letter, is
    a lattice: a digit or sign may stand for letters, may be noise or may part
-   words, and a repeated letter may be one. Letters set apart by single spaces
-   are joined into such a token first. Viterbi decoding finds the most likely
-   letters under the model. Plain tokens have one path and need no search.
+   words, and a repeated letter may be one. Letters and signs set apart by single
+   spaces are joined into such a token first, in which a word may end before any
+   letter. Viterbi decoding finds the most likely letters under the model. Plain
+   tokens have one path and need no search; those with a doubled letter also count
+   as they are.
 3. The restored words, and the stems (first four to eight letters) of
    longer ones, that mark toxic texts in the labelled sample are weighed by a logistic
    fit; a document's score is the model's probability.
@@ -47,8 +49,11 @@ MAX_FEATURES = 4096
 MEMO_TOKENS = 120_000
 #: Tokens whose features are remembered, and features counted, before a task lets go of them.
 COUNTED_TOKENS, COUNTED_FEATURES = 30_000, 150_000
-_SPACED = re.compile(r"(?<![^\s])(?:[^\W_][ .\-_*]{1,2}){2,}[^\W_](?![^\s.,!?;:])")
-_RUN = re.compile(r"(\w)\1\1")
+_ONE = r"(?:[^\W_]|[" + re.escape("".join(c for c in LEET if not c.isalnum())) + "])"
+_SPACED = re.compile(rf"(?<![^\s])(?:{_ONE}[ .\-_*]{{1,2}}){{2,}}{_ONE}(?![^\s.,!?;:])")
+_RUN, _DOUBLE = re.compile(r"(\w)\1\1"), re.compile(r"(\w)\1")
+#: Begins a token that was joined from spaced signs; a word may end before any of its letters.
+JOINED = "\x01"
 _EDGE = ".,;:?!\"'()[]{}<>«»„“”‘’-–—_*#%&/\\|=~^`"
 
 
@@ -109,8 +114,8 @@ def _options(token: str, i: int) -> list[tuple[str, float]]:
     return out + [("", SIGN_NOISE if out else NOISE), (" ", PARTS + (SIGN_NOISE if out else 0.0))]
 
 
-def viterbi(token: str, model: np.ndarray) -> str:
-    """The most likely reading of a token; ' ' parts words in it. States are the last two letters."""
+def viterbi(token: str, model: np.ndarray, joined: bool = False) -> str:
+    """The most likely reading of a token; ' ' parts words in it, in ``joined`` ones also between letters. States are the last two letters."""
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for i in range(len(token)):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -118,11 +123,14 @@ def viterbi(token: str, model: np.ndarray) -> str:
             code = 0 if option == " " else CODE.get(option, OTHER) if option else -1
             for (a, b), (score, path) in best.items():
                 if code < 0 or (code == 0 and b == 0):
-                    state, total, way = (a, b), score + cost, path
+                    ways = [((a, b), score + cost, path)]
                 else:
-                    state, total, way = (b, code), score + cost + float(model[a, b, code]), (path, option)
-                if state not in after or total > after[state][0]:
-                    after[state] = (total, way)
+                    ways = [((b, code), score + cost + float(model[a, b, code]), (path, option))]
+                    if joined and code and b:
+                        ways.append(((0, code), score + cost + PARTS + float(model[a, b, 0]) + float(model[b, 0, code]), (path, " " + option)))
+                for state, total, way in ways:
+                    if state not in after or total > after[state][0]:
+                        after[state] = (total, way)
         best = after
     (_, _), (_, path) = max(best.items(), key=lambda x: x[1][0] + (float(model[x[0][0], x[0][1], 0]) if x[0][1] else 0.0))
     out = []
@@ -133,28 +141,29 @@ def viterbi(token: str, model: np.ndarray) -> str:
 
 
 def restored(token: str, model: np.ndarray) -> list[str]:
-    """Words of one lower-case token without white space."""
+    """Words of one lower-case token without white space. A token that is letters, some doubled, counts as it is, too."""
+    joined = token.startswith(JOINED)
+    token = token.removeprefix(JOINED)
     core = token.strip(_EDGE)
-    if core.isalpha():
-        if not _RUN.search(core) and core == token.strip(".,;:?!\"'"):
-            return [core]
-        if not _RUN.search(core) and not any(c in LEET for c in token[: token.find(core)]):
-            return [core]
+    plain = core.isalpha() and not _RUN.search(core) and (core == token.strip(".,;:?!\"'") or not any(c in LEET for c in token[: token.find(core)]))
+    if plain and not joined:
+        return list(dict.fromkeys([core, *viterbi(core, model).split()])) if _DOUBLE.search(core) else [core]
     body = re.sub(r"([^\w\s])\1+$", "", token.rstrip(".,;:?\"'"))
     if not any(c.isalpha() for c in body):
         return []
-    return viterbi(body, model).split()
+    return viterbi(body, model, joined).split()
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens of a text, with spaced-out letters joined into further ones."""
+    """Distinct lower-case tokens of a text, with spaced-out letters and signs joined into further ones, as one word and (after JOINED) as any number."""
     low = text.lower()
     out = set(low.split())
     for m in _SPACED.finditer(low):
         for part in re.split(r"\s{2,}", m.group()):
             joined = re.sub(r"[\s.\-_*]", "", part)
-            if len(joined) > 2:
-                out.add(joined)
+            for one in {joined, joined.strip(_EDGE)}:
+                if len(one) > 2:
+                    out.update((one, JOINED + one))
     return out
 
 

@@ -76,6 +76,13 @@ def test_viterbi_restores_disguised_words(spark):
     assert "idiot" in T.tokens("you i d i o t !") and "idiot" in T.tokens("i-d-i-o-t")
 
 
+def test_spaced_neighbours_doubled_letters_and_spaced_signs_are_restored(spark):
+    model = lm(spark, ["what a stupid idiot you are, pathetic and worthless, the idiot said stupid things to the loser and a man"] * 40 + [prose(50, 1)])
+    for text, word in (("he is a s t u p i d man", "stupid"), ("y o u i d i o t", "idiot"), ("iddiot", "idiot"), ("stuupid", "stupid"), ("iidiioott", "idiot"), ("a l o $ e r", "loser"), ("$ t u p ! d", "stupid"), ("l o $ e r", "loser"), ("you i d i o t !", "idiot")):
+        assert word in {w for t in T.tokens(text) for w in T.restored(t, model)}, text
+    assert "good" in T.restored("good", model) and T.restored("plain", model) == ["plain"]
+
+
 def test_toxic_documents_go_and_clean_ones_stay(spark):
     rng = random.Random(3)
     bad = ["moronic", "scumbag", "vileness"]
