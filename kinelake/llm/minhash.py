@@ -13,17 +13,19 @@
    many pairs as members). Pairs pass the union-sketch estimate, then exact
    Jaccard on the full sets. Links are merged into components. Lists that still
    hold several components pair their members *across* components, which is the
-   exact way for whatever the stars did not reach. A pair must first pass its
-   sizes, its places in the list, and a parity bitmap: bits in which two bitmaps
-   differ are no more than the values in which the sets differ, and those are
-   bounded by the threshold.
+   exact way for whatever the stars did not reach. There the members outside the
+   centre's component meet the others, so a list of one component costs nothing,
+   and a pair is made in the first list that holds both, so once. It must first
+   pass its sizes, its places in the list, and a parity bitmap: bits in which two
+   bitmaps differ are no more than the values in which the sets differ, and those
+   are bounded by the threshold.
 
 No list, set or component is gathered in one task or on the driver; nothing is
 capped.
 
 With k = 128, sets of at most 128 shingles are held whole and all bounds are
-certain; for larger ones t lies six standard deviations below the overlap that
-a pair at the threshold has on average, the parity limit six above.
+certain; for larger ones t and the estimate's limit lie six standard deviations
+below what a pair at the threshold has on average, the parity limit six above.
 
 Defined cases: null or empty text, or text without words, has an empty set and
 is linked with nothing; a text of fewer than five words has its whole sequence
@@ -53,7 +55,7 @@ COUNT_SLOTS = 1 << 20
 HEAVY = 32
 FILTER_BITS = 1 << 25
 #: Standard deviations below the threshold at which the estimate still lets a pair through.
-SLACK = 4.5
+SLACK = 6.0
 PARITY_WORDS = 8
 #: Sets above this size are sampled by halves for their parity bitmap.
 PARITY_SET = 512
@@ -326,20 +328,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spare = F.when(F.col("halved") == 0, 0.0).otherwise(6 * F.sqrt(F.col("n") * (8.0 / 21) / halves) + 6)
     bits = sets.select("sid", "halved", halves.alias("halves"), spare.alias("spare"), *_PARITY)
     placed = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("value", "sid", "n", "held", "place", "c_sid", F.coalesce("component", "sid").alias("component"))
-    split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo <> hi")
-    near = placed.where("sid <> c_sid").join(split, "value").where(_room_in_list(k)).select("value", "sid", "n", "component")
-    rest = materialise(near.join(bits, "sid"), "near-rest").alias("x")
+    of_centre = F.max(F.when(F.col("sid") == F.col("c_sid"), F.col("component"))).alias("main")
+    split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), of_centre).where("lo <> hi")
+    near = placed.where("sid <> c_sid").join(split, "value").where(_room_in_list(k)).select("sid", "n", "component", F.struct("place", "value", (F.col("component") != F.col("main")).alias("apart")).alias("at"))
+    # A set's places in order, k at most, so that each carries the values before it.
+    per_set = near.groupBy("sid").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.array_sort(F.collect_list("at")).alias("at"))
+    rest = per_set.join(bits, "sid").select("*", F.posexplode("at").alias("i", "here")).withColumns({"value": F.col("here.value"), "apart": F.col("here.apart"), "before": F.expr("transform(slice(at, 1, i), p -> p.value)")}).drop("at", "i", "here")
+    rest = materialise(rest, "near-rest")
     num, den = THRESHOLD
-    fits = f"x.value = y.value and x.sid < y.sid and x.component <> y.component and x.n * {den} >= y.n * {num} and y.n * {den} >= x.n * {num}"
-    across = rest.join(rest.alias("y"), F.expr(f"{fits} and {parity_sql('x', 'y')}"))
-    across = across.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    # Members of the centre's component meet only those outside; a pair counts in the first list that both are in.
+    fits = f"x.value = y.value and x.component <> y.component and (not y.apart or x.sid < y.sid) and x.n * {den} >= y.n * {num} and y.n * {den} >= x.n * {num}"
+    across = rest.where("apart").alias("x").join(rest.alias("y"), F.expr(f"{fits} and {parity_sql('x', 'y')} and not arrays_overlap(x.before, y.before)"))
+    across = across.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
     more = materialise(linker.links(materialise(across, "near-across")), "near-links")
     if more.take(1):
         comps = materialise(joined_components(comps, more), "near-components")
 
     mapped = sketched.select("doc_id", "uid", "n", "key").join(sets.select("key", "sid"), "key", "left").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     mapped = materialise(mapped.select("doc_id", "uid", "n", F.coalesce("component", "sid", "uid").alias("component"), F.coalesce("component", "sid").isNotNull().alias("linked")), "near-mapped")
-    names = mapped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = materialise(mapped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-names")
     out = mapped.join(names, "component")
     return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
