@@ -10,7 +10,7 @@ Every document is handled alone in its task, with a bounded memo of words a
 worker, so the job has no shuffle and a lost executor costs its tasks only.
 
 Defined cases: null text counts as empty and gives no ids and an empty decoded
-text; special strings inside a text are the special ids; repeated rows give
+text; a very long text or word is encoded whole; special strings inside a text are the special ids; repeated rows give
 equal rows; an empty table gives an empty result; null identifiers and other
 columns are carried or ignored.
 """
@@ -22,13 +22,12 @@ import heapq
 import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretoken import SPECIAL, batch_words, word_at
-from .shared import small_batches, table
+from .pretoken import SPECIAL, distinct_words
+from .shared import free_name, small_batches, table
 
 MEMO_WORDS = 250_000
 MEMO_LETTERS = 40
@@ -66,7 +65,7 @@ class WordBpe:
             self.rank[vocab[a] << 20 | vocab[b]] = rank
             self.made.append(vocab[a + b])
         self.strings = {i: s for s, i in (vocab | SPECIAL).items()}
-        self.memo: dict[int, bytes] = {}
+        self.memo: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str | None) -> "WordBpe":
@@ -120,24 +119,17 @@ class WordBpe:
         return np.array([SPECIAL[word]] if word in SPECIAL else self.merge(word), "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids, decoded text) of each text; a word that this worker remembers is not merged again.
-
-        Words are told apart by 64-bit hashes: among MEMO_WORDS two share one with a
-        probability under one in a hundred million.
-        """
-        points, starts, ends, hashes, first, last = batch_words(texts)
-        of, distinct = pd.factorize(hashes)
-        example = np.empty(len(distinct), np.int64)
-        example[of[::-1]] = np.arange(len(of))[::-1]
+        """(ids, decoded text) of each text; a word that this worker remembers is not merged again."""
+        of, distinct, first, last = distinct_words(texts)
         if len(self.memo) + len(distinct) > MEMO_WORDS:
             self.memo.clear()
         ids, decoded = [], []
-        for k, s, e in zip(distinct.tolist(), starts[example].tolist(), ends[example].tolist(), strict=True):
-            raw = self.memo.get(k)
+        for word in distinct:
+            raw = self.memo.get(word)
             if raw is None:
-                raw = self.ids_of(word_at(points, s, e))
-                if e - s <= MEMO_LETTERS:
-                    self.memo[k] = raw
+                raw = self.ids_of(word)
+                if len(word) <= MEMO_LETTERS:
+                    self.memo[word] = raw
             ids.append(raw)
             decoded.append(self.decode(np.frombuffer(raw, "<u4").tolist()))
         out = []
@@ -151,8 +143,10 @@ class WordBpe:
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocab: str | None = None) -> DataFrame:
-    """``keep`` columns, then ids (array<int>) and decoded, for every row of ``docs``."""
+    """``keep`` columns, then ids (array<int>) and decoded, for every row of ``docs``; where a kept column has such a name, ids_1 and so on."""
     small_batches(docs.sparkSession, 500)
+    ids_col, decoded_col, text = (free_name(c, list(keep)) for c in ("ids", "decoded", "text_of"))
+    names = [*keep, ids_col, decoded_col]
 
     def task(batches):
         model = WordBpe.load(vocab)
@@ -161,18 +155,18 @@ def encode_texts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
             for raw, back in model.encode_batch([t or "" for t in batch.column(0).to_pylist()]):
                 ids.append(np.frombuffer(raw, "<u4").astype(np.int32))
                 decoded.append(back)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*names, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names)
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    names = list(keep)
+    rows = docs.select(F.col(text_col).cast("string").alias(text), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(task, f"{schema}, ids array<int>, decoded string")
+    return rows.mapInArrow(task, f"{schema}, `{ids_col}` array<int>, `{decoded_col}` string")
 
 
 def token_digests(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocab: str | None = None) -> DataFrame:
     """As ``encode_texts``, with counts and digests in place of the ids and the text."""
     small_batches(docs.sparkSession, 500)
-    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
+    made = [free_name(c, list(keep)) for c in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    names, text = [*keep, *made], free_name("text_of", list(keep))
 
     def task(batches):
         model = WordBpe.load(vocab)
@@ -184,9 +178,9 @@ def token_digests(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names)
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
+    rows = docs.select(F.col(text_col).cast("string").alias(text), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(task, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(task, f"{schema}, `{made[0]}` long, `{made[1]}` string, `{made[2]}` string")
 
 
 NAME = "op4_bpe"

@@ -10,6 +10,7 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import regex
 
 from .textvec import point_hashes
@@ -21,10 +22,10 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 
 _ANY = regex.compile(rf"{_CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
 # Below U+0250 the same classes are short lists of ranges, which the standard library matches several times faster.
-_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _LATIN = re.compile(rf"[{_LETTER}]+|{_CONTRACTIONS}|[{_NUMBER}]|[^{_WHITE}{_LETTER}{_NUMBER}]+")
-_BEYOND = re.compile("[^\x00-ɏ]")
+_BEYOND = re.compile("[^\x00-\u024f]")
 _SPLIT = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 
 
@@ -136,3 +137,54 @@ def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def word_at(points: np.ndarray, start: int, end: int) -> str:
     return points[start:end].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def spelled(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The spans as strings; none holds a space."""
+    if not len(starts):
+        return []
+    size = ends - starts
+    upto = np.cumsum(size + 1)
+    spaced = np.full(int(upto[-1]), 32, np.uint32)
+    own = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    spaced[own + np.repeat(upto - size - 1, size)] = points[own + np.repeat(starts, size)]
+    return spaced[:-1].tobytes().decode("utf-32-le", "surrogatepass").split(" ")
+
+
+_LETTERS_AT_ONCE = 1 << 20
+
+
+def same_letters(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span spells what the span at ``other`` spells."""
+    size = ends - starts
+    if not np.array_equal(size, size[other]):
+        return False
+    far = np.flatnonzero(starts != starts[other])
+    low, shift, size = starts[far], (starts[other] - starts)[far], size[far]
+    upto = np.cumsum(size)
+    i = 0
+    while i < len(far):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _LETTERS_AT_ONCE, "right")))
+        n = size[i:j]
+        at = np.arange(int(n.sum())) + np.repeat(low[i:j] - np.cumsum(n) + n, n)
+        if not np.array_equal(points[at], points[at + np.repeat(shift[i:j], n)]):
+            return False
+        i = j
+    return True
+
+
+def distinct_words(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(of, words, first, last): the distinct words of a batch, for each word of it, in text order, which of
+    them it is, and each text's first and last.
+
+    Hashes bring alike words together; every word is then held against its like letter by letter, and a batch
+    in which two words share a hash is told apart by the words themselves.
+    """
+    points, starts, ends, hashes, first, last = batch_words(texts)
+    of, distinct = pd.factorize(hashes)
+    example = np.empty(len(distinct), np.int64)
+    example[of[::-1]] = np.arange(len(of))[::-1]
+    if same_letters(points, starts, ends, example[of]):
+        return of, spelled(points, starts[example], ends[example]), first, last
+    of, found = pd.factorize(np.array(spelled(points, starts, ends), object))
+    return of, found.tolist(), first, last
