@@ -22,13 +22,12 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import MEMO_LETTERS, vocabulary_path
-from .pretoken import SPECIAL, batch_words, word_at
+from .pretoken import SPECIAL, distinct_words
 from .shared import materialise, small_batches, table
 
 END_ID = 2
@@ -143,7 +142,7 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _library(path: str | None):
-    """(tokenizer, whether an id ends a word, memo of words' ids by their hash) of this worker."""
+    """(tokenizer, whether an id ends a word, memo of words' ids) of this worker."""
     where = vocabulary_path(path)
     if where not in _TOKENIZERS:
         import os
@@ -160,54 +159,40 @@ def _library(path: str | None):
     return _TOKENIZERS[where]
 
 
-def _encode_words(tokenizer, final: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Ids of each word (a span of code points) by the library: many words a call, parted again after each id that ends a word."""
+def _encode_words(tokenizer, final: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of each word by the library: many words a call, parted again after each id that ends a word."""
     out: list[bytes] = []
-    for i in range(0, len(starts), 4000):
-        s, size = starts[i : i + 4000], (ends - starts)[i : i + 4000]
-        upto = np.cumsum(size + 1)
-        spaced = np.full(int(upto[-1]), 32, np.uint32)
-        letters = np.arange(int(size.sum())) + np.repeat(s - np.cumsum(size) + size, size)
-        spaced[np.arange(len(letters)) + np.repeat(np.arange(len(s)), size)] = points[letters]
-        ids = np.array(tokenizer.encode_batch_fast([spaced.tobytes().decode("utf-32-le", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+    for i in range(0, len(words), 4000):
+        some = words[i : i + 4000]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
         cut = np.flatnonzero(final[ids]) + 1
-        if len(cut) == len(s):
+        if len(cut) == len(some):
             raw, at = ids.tobytes(), [0, *(cut * 4).tolist()]
             out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
         else:  # some word is more than one to the library
-            part = [word_at(points, a, a + n) for a, n in zip(s.tolist(), size.tolist(), strict=True)]
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
     return out
 
 
 def encode_batch(texts: list[str], path: str | None = None) -> list[np.ndarray]:
-    """Ids of each text by the library.
-
-    Its pattern keeps words apart, so a word that this worker has met is not encoded
-    again. Words are told apart by 64-bit hashes: among the MEMO_WORDS of a worker two
-    share one with a probability under one in ten million.
-    """
+    """Ids of each text by the library; its pattern keeps words apart, so a word that this worker has met is not encoded again."""
     tokenizer, final, memo = _library(path)
-    points, starts, ends, hashes, first, last = batch_words(texts)
-    of, distinct = pd.factorize(hashes)
-    example = np.empty(len(distinct), np.int64)
-    example[of[::-1]] = np.arange(len(of))[::-1]
-    keys = distinct.tolist()
-    new = [i for i, k in enumerate(keys) if k not in memo]
+    of, words, first, last = distinct_words(texts)
+    new = [w for w in words if w not in memo]
     if len(memo) + len(new) > MEMO_WORDS:
         memo.clear()
-        new = list(range(len(keys)))
-    s, e = starts[example[new]], ends[example[new]]
-    memo.update(zip([keys[i] for i in new], _encode_words(tokenizer, final, points, s, e), strict=True))
-    parts = [memo[k] for k in keys]
+        new = words
+    memo.update(zip(new, _encode_words(tokenizer, final, new), strict=True))
+    parts = [memo[w] for w in words]
     pool = np.frombuffer(b"".join(parts), "<u4")
     size = np.array([len(p) for p in parts], np.int64) >> 2
     begin = np.cumsum(size) - size
     each = size[of]
     upto = np.concatenate([[0], np.cumsum(each)])
     ids = pool[np.repeat(begin[of] - upto[:-1], each) + np.arange(upto[-1])]
-    for i in np.flatnonzero(e - s > MEMO_LETTERS).tolist():
-        del memo[keys[new[i]]]
+    for w in new:
+        if len(w) > MEMO_LETTERS:
+            del memo[w]
     return [ids[a:b] for a, b in zip(upto[first].tolist(), upto[last].tolist(), strict=True)]
 
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinelake.llm import bpe, pretoken
 from kinelake.llm.bpe import WordBpe, encode_texts, token_digests, vocabulary_path
@@ -105,3 +106,28 @@ def test_shards_in_document_order(spark, library):
         at += len(ids)
     assert got == expected
     assert read_shards(write_shards(docs(spark, []))).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_whose_hashes_collide_are_told_apart(library, n):
+    a, b = thue_morse(n), thue_morse(n, "ba")
+    _, _, _, hashes, _, _ = pretoken.batch_words([a, b])
+    assert n < 2048 or hashes[0] == hashes[1]  # the case is real
+    texts = [f"{a} {b}", b, f"x {a}"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in encode_batch(texts)] == expected
+    model = WordBpe.load(None)
+    assert [np.frombuffer(raw, "<u4").tolist() for raw, _ in model.encode_batch(texts)] == expected
+    for text, ids in zip(texts, expected, strict=True):  # met before, in another batch
+        assert encode_batch([text])[0].tolist() == ids == np.frombuffer(model.encode(text)[0], "<u4").tolist()
+
+
+def test_kept_columns_may_have_any_name(spark):
+    df = docs(spark, [(1, "one two"), (2, None)]).withColumnRenamed("lang", "ids").withColumnRenamed("source", "decoded").withColumn("text_of", F.lit(3)).withColumn("n_tokens", F.lit(4))
+    out = encode_texts(df, keep=("doc_id", "ids", "decoded", "text_of"))
+    assert out.columns == ["doc_id", "ids", "decoded", "text_of", "ids_1", "decoded_1"] and out.count() == 2
+    assert token_digests(df, keep=("doc_id", "n_tokens")).columns == ["doc_id", "n_tokens", "n_tokens_1", "ids_sha256", "decoded_sha256"]
