@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +24,12 @@ from .features import fill_prompt, legend, node_features, render
 from .signals import window_signals
 
 #: Statuses worth another try, most tries, most candidates a service gives.
-RETRY_STATUS = (408, 429, 500, 502, 503, 504)
+RETRY_STATUS = (429, 500, 502, 503, 504)
 MOST_TRIES, FIRST_WAIT_SEC, MOST_CANDIDATES = 6, 2.0, 20
+#: Votes of a service that only samples are drawn at this temperature; at 0 all would be the same.
+VOTE_TEMPERATURE = 0.7
+#: Texts that say so where more tries are of no use.
+QUOTA_SPENT = ("insufficient_quota", "credit_balance_exhausted", "no credits remaining", "billing_hard_limit_reached", "exceeded your current quota")
 FLAGS = {"trust_reweighting": False, "abstention": False, "requery": False}
 SAMPLED = "anthropic"
 
@@ -32,8 +38,10 @@ class ScoringError(RuntimeError):
     """No answer that can be read, or a backend that may not be used here."""
 
 
-def payload(style: str, model: str, prompt: str, n_probs: int, temperature: float = 0.0) -> dict:
-    """The request body of a service style for one next token."""
+def payload(style: str, model: str, prompt: str, n_probs: int, temperature: float = 0.0, vote_temperature: float = VOTE_TEMPERATURE) -> dict:
+    """The request body of a service style for one next token; a sampled vote has a temperature of its own, above 0."""
+    if style == SAMPLED and vote_temperature <= 0:
+        raise ScoringError("votes need a temperature above 0")
     n = min(int(n_probs), MOST_CANDIDATES)
     chat = [{"role": "user", "content": prompt}]
     bodies: dict[str, Callable[[], dict]] = {
@@ -42,7 +50,7 @@ def payload(style: str, model: str, prompt: str, n_probs: int, temperature: floa
         "ollama_native": lambda: {"model": model, "prompt": prompt, "stream": False, "logprobs": True, "top_logprobs": n_probs, "options": {"temperature": temperature, "num_predict": 1}},
         "openai": lambda: {"model": model, "messages": chat, "max_tokens": 1, "temperature": temperature, "logprobs": True, "top_logprobs": n},
         "gemini": lambda: {"contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": {"temperature": temperature, "maxOutputTokens": 1, "responseLogprobs": True, "logprobs": n, "thinkingConfig": {"thinkingBudget": 0}}},
-        SAMPLED: lambda: {"model": model, "max_tokens": 1, "temperature": temperature, "messages": chat},
+        SAMPLED: lambda: {"model": model, "max_tokens": 1, "temperature": vote_temperature, "messages": chat},
     }
     bodies["vertex"] = bodies["gemini"]
     if style not in bodies:
@@ -50,17 +58,44 @@ def payload(style: str, model: str, prompt: str, n_probs: int, temperature: floa
     return bodies[style]()
 
 
+def http_sender(url: str, headers: Mapping[str, str], timeout_sec: float = 60.0) -> Callable[[dict], tuple[int, Mapping[str, str], str]]:
+    """A ``send`` for ``post_with_retry``: POSTs a body as JSON and gives (status, headers, text), for refusals too."""
+
+    def send(body: dict) -> tuple[int, Mapping[str, str], str]:
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout_sec) as r:
+                return r.status, dict(r.headers), r.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            return e.code, dict(e.headers), e.read().decode("utf-8", "replace")
+
+    return send
+
+
 def post_with_retry(send: Callable[[dict], tuple[int, Mapping[str, str], str]], body: dict, wait: Callable[[float], None] = time.sleep) -> str:
-    """The response text; waits 2, 4, 8 ... seconds (or as the service says) after a passing failure, gives up at once on a spent quota."""
+    """The response text of a 200 answer.
+
+    After a passing failure, of the service or of the network, waits 2, 4, 8 ... seconds, or longer
+    where the service asks for it; gives up at once on other statuses and on a spent quota.
+    """
+    said = ""
     for attempt in range(MOST_TRIES):
-        status, headers, text = send(body)
-        if status < 400:
-            return text
-        if status not in RETRY_STATUS or "insufficient_quota" in text:
-            raise ScoringError(f"status {status}: {text[:300]}")
-        asked = headers.get("Retry-After", "")
-        wait(float(asked) if asked.replace(".", "", 1).isdigit() else FIRST_WAIT_SEC * 2**attempt)
-    raise ScoringError(f"no answer in {MOST_TRIES} tries")
+        asked = 0.0
+        try:
+            status, headers, text = send(body)
+        except OSError as e:  # no connection, or a time-out
+            said = f"{type(e).__name__}: {e}"
+        else:
+            if status == 200:
+                return text
+            said = f"status {status}: {text[:300]}"
+            if status not in RETRY_STATUS or (status == 429 and any(q in text.lower() for q in QUOTA_SPENT)):
+                raise ScoringError(said)
+            given = {k.lower(): v for k, v in headers.items()}.get("retry-after", "")
+            asked = float(given) if given.replace(".", "", 1).isdigit() else 0.0
+        if attempt + 1 < MOST_TRIES:
+            wait(max(asked, FIRST_WAIT_SEC * 2**attempt))
+    raise ScoringError(f"no answer in {MOST_TRIES} tries; last {said}")
 
 
 def resolve_backend(settings: Mapping, override: str | None, env: Mapping[str, str]) -> list[str]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import ACCEL, angle, any_nan, norm
+from ..tables import written
 from . import WINDOW_KEY
 from .blind import require_blind
 
@@ -42,8 +43,34 @@ def calibrate_means(means: DataFrame, max_windows: int | None = 60) -> DataFrame
     ref = centre.where(length > 1e-9).select("dataset", "node", *[(F.col(c) / length).alias(r) for c, r in zip(("cx", "cy", "cz"), ("ref_x", "ref_y", "ref_z"), strict=True)])
     own = [F.col(m) for m in ("mx", "my", "mz")]
     turned = means.where(norm(*own) > 1e-9).join(F.broadcast(ref), ["dataset", "node"]).withColumn("angle", angle(own, [F.col(r) for r in ("ref_x", "ref_y", "ref_z")]))
-    spread = turned.groupBy("dataset", "node").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("angle").alias("mean_angle"), F.percentile("angle", F.lit(0.95)).alias("p95"), F.max("angle").alias("max_angle"))
-    return ref.join(spread, ["dataset", "node"], "left")
+    turned = written(turned.select("dataset", "node", "angle"), "calibration-angles")
+    spread = turned.groupBy("dataset", "node").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("angle").alias("mean_angle"), F.max("angle").alias("max_angle"))
+    spread = spread.join(percentile_of(turned, ("dataset", "node"), "angle", 0.95).withColumnRenamed("percentile", "p95"), ["dataset", "node"], "left")
+    return ref.join(spread, ["dataset", "node"], "left").select("dataset", "node", "ref_x", "ref_y", "ref_z", "n_windows", "mean_angle", "p95", "max_angle")
+
+
+def percentile_of(rows: DataFrame, keys: tuple[str, ...], value: str, share: float, buckets_per_unit: int = 100) -> DataFrame:
+    """keys and ``percentile``: the exact one, by linear interpolation, of a value without nulls.
+
+    No group is gathered: values are counted in buckets, the two wanted ranks are found among
+    a group's buckets, and only the values of those are counted one by one. ``rows`` is read twice.
+    """
+    bucket = F.floor(F.col(value) * buckets_per_unit)
+    counts = rows.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy("bucket")
+    place = (F.sum("n").over(Window.partitionBy(*keys)) - 1) * F.lit(float(share))
+    counts = counts.withColumns({"below": F.sum("n").over(order) - F.col("n"), "place": place})
+    wanted = counts.where((F.col("below") <= F.ceil("place")) & (F.floor("place") < F.col("below") + F.col("n")))  # two buckets a group at most
+    values = rows.withColumn("bucket", bucket).join(F.broadcast(wanted), [*keys, "bucket"]).groupBy(*keys, "bucket", value).agg(F.count(F.lit(1)).alias("n_here"), F.first("below").alias("below"), F.first("place").alias("place"))
+    upto = F.sum("n_here").over(Window.partitionBy(*keys, "bucket").orderBy(value)) + F.col("below")
+    values = values.withColumn("upto", upto)
+
+    def at(rank) -> Column:
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n_here")), F.col(value)))
+
+    both = values.groupBy(*keys).agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.first("place").alias("place"))
+    between = (F.ceil("place") - F.col("place")) * F.col("low") + (F.col("place") - F.floor("place")) * F.col("high")
+    return both.select(*keys, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("percentile"))
 
 
 def references(calibration: DataFrame) -> DataFrame:

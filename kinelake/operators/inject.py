@@ -13,6 +13,7 @@ import math
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,18 +232,25 @@ class RateDegradation(Strategy):
 def hold(frames: DataFrame, period: float) -> DataFrame:
     """``frames`` with held_ax ... held_gz and ``fresh`` (the sample was taken over).
 
-    Whether a sample is fresh depends on when the last fresh one was, so the window's
-    times are folded in order; a window's samples are few and the fold holds one number.
+    Whether a sample is fresh depends on when the last fresh one was: one pass over each
+    window in order, which holds one number, however long the window is.
     """
-    times = frames.groupBy(*NODE_KEY).agg(F.sort_array(F.collect_list(F.struct("idx", "t"))).alias("seq"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<int>").alias("fresh"))
+    ship(frames.sparkSession)
 
-    def step(acc: Column, s: Column) -> Column:
-        take = acc["last"].isNull() | (s["t"] - acc["last"] >= period - 1e-12)
-        return F.struct(F.when(take, s["t"]).otherwise(acc["last"]).alias("last"), F.when(take, F.array_append(acc["fresh"], s["idx"])).otherwise(acc["fresh"]).alias("fresh"))
-
-    fresh = times.select(*NODE_KEY, F.explode(F.aggregate("seq", start, step, lambda acc: acc["fresh"])).alias("idx"), F.lit(True).alias("fresh"))
-    rows = frames.join(fresh, [*NODE_KEY, "idx"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    def task(batches):
+        key, last = None, 0.0
+        for batch in batches:
+            fresh = []
+            for own, t in zip(zip(*(batch.column(c).to_pylist() for c in NODE_KEY), strict=True), batch.column("t").to_pylist(), strict=True):
+                take = own != key or t - last >= period - 1e-12
+                if take:
+                    key, last = own, t
+                fresh.append(take)
+            yield batch.append_column("fresh", pa.array(fresh, pa.bool_()))
+
+    ordered = frames.repartition(*NODE_KEY).sortWithinPartitions(*NODE_KEY, "idx")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
+    rows = ordered.mapInArrow(task, f"{kinds}, fresh boolean")
     upto = Window.partitionBy(*NODE_KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     taken = F.last(F.when(F.col("fresh"), F.struct(*ACCEL, *GYRO)), ignorenulls=True).over(upto)
     rows = rows.withColumn("taken", taken)

@@ -7,17 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
 def drawn(seed: int, *columns: str) -> Column:
     """An order as if drawn by lot."""
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], at: str = "at", of: str = "of") -> DataFrame:
+    """``rows`` with ``at`` (place from 0 in its group's order, which must be total) and ``of`` (rows of the group).
+
+    No group is sorted in one task: rows are dealt by ranges of (group, order), counted a group
+    and range, and each range begins where those before it end.
+    """
+    dealt = written(rows.repartitionByRange(*by, *order).withColumn("of_range", F.spark_partition_id()), "numbered")
+    per = dealt.groupBy(*by, "of_range").agg(F.count(F.lit(1)).alias("n_range"))
+    group = Window.partitionBy(*by)
+    per = per.select(*by, "of_range", (F.sum("n_range").over(group.orderBy("of_range")) - F.col("n_range")).alias("before"), F.sum("n_range").over(group).alias(of))
+    inside = F.row_number().over(Window.partitionBy(*by, "of_range").orderBy(*order))
+    return dealt.withColumn("inside", inside).join(per, [*by, "of_range"]).withColumn(at, F.col("before") + F.col("inside") - 1).select(*rows.columns, at, of)
+
+
 def rank_median(rows: DataFrame, by: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:
     """In each group the row at position n // 2 of the order by ``value``."""
-    w = Window.partitionBy(*by)
-    place = F.row_number().over(w.orderBy(value, *tie))
-    return rows.withColumn("at", place).withColumn("of", F.count(F.lit(1)).over(w)).where(F.col("at") == F.floor(F.col("of") / 2) + 1).drop("at", "of")
+    return numbered(rows, by, (value, *tie)).where(F.col("at") == F.floor(F.col("of") / 2)).drop("at", "of")
 
 
 def first_n(rows: DataFrame, n: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -26,13 +40,12 @@ def first_n(rows: DataFrame, n: int, by: Sequence[str], order: Sequence[str]) ->
 
 def middle_excerpt(rows: DataFrame, by: Sequence[str], order: Sequence[str], length: int, points: int = 128) -> DataFrame:
     """The middle ``length`` rows of each group, thinned to every (length // points)-th."""
-    w = Window.partitionBy(*by)
-    numbered = rows.withColumn("at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("of", F.count(F.lit(1)).over(w))
+    placed = numbered(rows, by, order)
     taken = F.least(F.lit(length), F.col("of"))
     begin = F.greatest(F.lit(0), F.floor(F.col("of") / 2) - F.floor(taken / 2))
     stride = F.greatest(F.lit(1), F.floor(taken / points))
     offset = F.col("at") - begin
-    return numbered.where((offset >= 0) & (offset < taken) & (F.pmod(offset, stride) == 0)).drop("at", "of")
+    return placed.where((offset >= 0) & (offset < taken) & (F.pmod(offset, stride) == 0)).drop("at", "of")
 
 
 def round_robin(rows: DataFrame, n_total: int, classes: Sequence[str], seed: int, label: str = "label", subject: str = "subject", identity: Sequence[str] = ("seg", "win"), draw_by: Column | None = None) -> DataFrame:
@@ -48,12 +61,11 @@ def round_robin(rows: DataFrame, n_total: int, classes: Sequence[str], seed: int
 
 def middle_of_run(rows: DataFrame, n_total: int, classes: Sequence[str], label: str = "label", order: Sequence[str] = ("subject", "seg", "win")) -> DataFrame:
     """Labels in turn, from each the window at (len // 2 + turn) modulo len of its stream; ``pick`` is the order."""
-    w = Window.partitionBy(label)
     rank = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    numbered = rows.where(F.col(label).isin(list(classes))).withColumn("at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("of", F.count(F.lit(1)).over(w))
+    placed = numbered(rows.where(F.col(label).isin(list(classes))), (label,), order)
     turn = F.pmod(F.col("at") - F.floor(F.col("of") / 2), F.col("of"))
     each = -(-n_total // len(classes))
-    near = numbered.withColumn("turn", turn).where(F.col("turn") < each)  # at most n_total + classes rows from here on
+    near = placed.withColumn("turn", turn).where(F.col("turn") < each)  # at most n_total + classes rows from here on
     return near.withColumn("pick", F.row_number().over(Window.orderBy("turn", rank[F.col(label)]))).where(F.col("pick") <= n_total).drop("at", "of", "turn")
 
 

@@ -53,13 +53,23 @@ def segment_bounds(segmented: DataFrame, keys: Sequence[str] = STREAM) -> DataFr
     return segmented.groupBy(*keys, "seg").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"), F.first("activity").alias("activity"))
 
 
+#: Windows whose starts are listed at once; appending to a list copies it.
+STARTS_AT_ONCE = 256
+
+
 def window_starts(t0: Column, t1: Column, length: float, step: float, slack: float = 1e-9) -> Column:
-    """Starts from ``t0`` on, each the one before plus ``step`` (added up, not multiplied out), while a window fits before ``t1``."""
-    most = F.greatest(F.lit(0), F.floor((t1 - t0 - length) / step).cast("int") + 1)
-    grown = F.aggregate(
-        F.sequence(F.lit(1), most), F.array(t0), lambda acc, _: F.array_append(acc, F.element_at(acc, -1) + F.lit(float(step)))
-    )
-    return F.filter(F.when(most > 0, grown).otherwise(F.array(t0)), lambda s: s + length <= t1 + slack)
+    """Starts from ``t0`` on, each the one before plus ``step`` (added up, not multiplied out), while a window fits before ``t1``.
+
+    Every STARTS_AT_ONCE-th start is found first, by adding alone; the starts in between are listed from each of those.
+    """
+    step_of = F.lit(float(step))
+    chunks = F.greatest(F.lit(0), F.floor((t1 - t0 - length) / step / STARTS_AT_ONCE).cast("int") + 1)
+    steps = F.sequence(F.lit(1), F.lit(STARTS_AT_ONCE))
+    after = F.aggregate(F.sequence(F.lit(1), F.greatest(chunks, F.lit(1))), F.array(t0), lambda acc, _: F.array_append(acc, F.aggregate(steps, F.element_at(acc, -1), lambda s, _: s + step_of)))
+    listed = F.transform(after, lambda first: F.aggregate(steps, F.array(first), lambda acc, _: F.array_append(acc, F.element_at(acc, -1) + step_of)))
+    # A chunk's list ends with the first start of the next.
+    starts = F.flatten(F.transform(listed, lambda some: F.slice(some, 1, STARTS_AT_ONCE)))
+    return F.filter(starts, lambda s: s + length <= t1 + slack)
 
 
 def sliding_windows(segmented: DataFrame, length: float, overlap: float = 0.5, keys: Sequence[str] = STREAM) -> DataFrame:

@@ -25,6 +25,7 @@ from ..operators import segment as G
 from ..operators import signals as Si
 from ..operators import temporal as T
 from ..operators.blind import blind
+from ..tables import written
 from .rounding import near, near_sql, nudged, rounded
 from ..sources.events import HOUR_US, SECOND_US, event_samples
 
@@ -259,7 +260,7 @@ _signal_query("cross_node_offset", (), ("cross_node_offset_ms",), "offsets")
 
 
 def event_verdicts(spark: SparkSession, sf_dir: str, frames: DataFrame | None = None) -> DataFrame:
-    signals = event_signals(spark, sf_dir, frames)
+    signals = written(event_signals(spark, sf_dir, frames), "signals")  # read by the calibration and by the ladder
     clean = signals if frames is None else event_signals(spark, sf_dir)
     return D.diagnose(signals, C.references(C.calibrate_means(C.means_of_signals(clean), max_windows=None)))
 
@@ -529,19 +530,6 @@ def _corr_out(p: str, q: str) -> str:
     return f"CASE WHEN has_data AND {k}_n >= 3 AND {sx} >= 1e-12 AND {sy} >= 1e-12 THEN NEAR(({k}_xy - {k}_x * {k}_y) / ({sx} * {sy}), 5) + 0.0 END AS corr_{k}"
 
 
-@query(
-    "axis_corr",
-    sql_with(
-        sums=f"SELECT {KEYS}, node, avg((NOT (isnan(ax) OR isnan(ay) OR isnan(az)))::INT) >= 0.2 AS has_data, {_corr_sql('x', 'y')}, {_corr_sql('y', 'z')}, {_corr_sql('x', 'z')} FROM frames WHERE subject % 4 <> 0 GROUP BY {KEYS}, node",
-        last=f"SELECT {KEYS}, node, {_corr_out('x', 'y')}, {_corr_out('y', 'z')}, {_corr_out('x', 'z')} FROM sums",
-    ),
-)
-def axis_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Users with coarse values are left to the tests: a constant axis is a guard on rounding noise there.
-    f = Fe.node_features(blind(event_frames(spark, sf_dir).where("subject % 4 <> 0")))
-    return f.select(*NODE_KEY, *[near(f"corr_{p}{q}", 5).alias(f"corr_{p}{q}") for p, q in Fe.PAIRS])
-
-
 def _ranges_sql(p: str, q: str) -> str:
     both = f"NOT isnan(a{p}) AND NOT isnan(a{q})"
     return f"coalesce(min(a{p}) FILTER (WHERE {both}) < max(a{p}) FILTER (WHERE {both}) AND min(a{q}) FILTER (WHERE {both}) < max(a{q}) FILTER (WHERE {both}), false) AND count(*) FILTER (WHERE {both}) >= 3 AS {p}{q}_varies"
@@ -550,15 +538,16 @@ def _ranges_sql(p: str, q: str) -> str:
 _RANGES = ", ".join(_ranges_sql(p, q) for p, q in Fe.PAIRS)
 
 
-@query(
-    "axis_corr_all",
-    sql_with(
-        sums=f"SELECT {KEYS}, node, avg((NOT (isnan(ax) OR isnan(ay) OR isnan(az)))::INT) >= 0.2 AS has_data, {_corr_sql('x', 'y')}, {_corr_sql('y', 'z')}, {_corr_sql('x', 'z')}, {_RANGES} FROM frames GROUP BY {KEYS}, node",
-        last=f"SELECT {KEYS}, node, " + ", ".join(f"CASE WHEN {p}{q}_varies THEN corr_{p}{q} END AS corr_{p}{q}" for p, q in Fe.PAIRS) + f" FROM (SELECT *, {_corr_out('x', 'y')}, {_corr_out('y', 'z')}, {_corr_out('x', 'z')} FROM sums)",
-    ),
+_CORR = sql_with(
+    sums=f"SELECT {KEYS}, node, avg((NOT (isnan(ax) OR isnan(ay) OR isnan(az)))::INT) >= 0.2 AS has_data, {_corr_sql('x', 'y')}, {_corr_sql('y', 'z')}, {_corr_sql('x', 'z')}, {_RANGES} FROM frames GROUP BY {KEYS}, node",
+    last=f"SELECT {KEYS}, node, " + ", ".join(f"CASE WHEN {p}{q}_varies THEN corr_{p}{q} END AS corr_{p}{q}" for p, q in Fe.PAIRS) + f" FROM (SELECT *, {_corr_out('x', 'y')}, {_corr_out('y', 'z')}, {_corr_out('x', 'z')} FROM sums)",
 )
-def axis_corr_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """axis_corr over every subject: a constant axis is told by its range, exactly, on both sides."""
+
+
+@query("axis_corr_all", _CORR)
+@query("axis_corr", _CORR)
+def axis_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every subject: a constant axis is told by its range, exactly, on both sides."""
     f = Fe.node_features(blind(event_frames(spark, sf_dir)))
     return f.select(*NODE_KEY, *[near(f"corr_{p}{q}", 5).alias(f"corr_{p}{q}") for p, q in Fe.PAIRS])
 
@@ -723,26 +712,18 @@ def temporal_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.false_positive_rate(T.over_threshold(rows.where("gx is not null"), F.lit(20.0)), "node"))
 
 
-@query("feature_count", sql_with(
-    counts=f"""
-  SELECT {KEYS}, node, avg(({_VALID})::INT) >= 0.2 AS has_data, bool_or(has_gyro) AS gyro, count(*) FILTER (WHERE NOT isnan(ax)) AS nx, count(*) FILTER (WHERE NOT isnan(ay)) AS ny, count(*) FILTER (WHERE NOT isnan(az)) AS nz,
-    count(*) FILTER (WHERE has_gyro AND NOT isnan(gx)) AS ng, count(*) FILTER (WHERE {_VALID}) AS nv FROM frames GROUP BY {KEYS}, node""",
-    last=f"""SELECT {KEYS}, sum(CASE WHEN has_data THEN 5 * ((nx > 0)::INT + (ny > 0)::INT + (nz > 0)::INT) + CASE WHEN gyro AND ng > 0 THEN 15 ELSE 0 END + CASE WHEN nv > 0 THEN 5 ELSE 0 END ELSE 0 END)::BIGINT AS n_features FROM counts GROUP BY {KEYS}""",
-))
-def feature_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the correlations, whose guard is left to the tests."""
-    f = Fe.node_features(blind(event_frames(spark, sf_dir)))
-    return Fe.feature_count(f.drop(*[f"corr_{p}{q}" for p, q in Fe.PAIRS]))
-
-
-@query("feature_count_all", sql_with(
+_COUNT = sql_with(
     counts=f"""
   SELECT {KEYS}, node, avg(({_VALID})::INT) >= 0.2 AS has_data, bool_or(has_gyro) AS gyro, count(*) FILTER (WHERE NOT isnan(ax)) AS nx, count(*) FILTER (WHERE NOT isnan(ay)) AS ny, count(*) FILTER (WHERE NOT isnan(az)) AS nz,
     count(*) FILTER (WHERE has_gyro AND NOT isnan(gx)) AS ng, count(*) FILTER (WHERE {_VALID}) AS nv, {_RANGES} FROM frames GROUP BY {KEYS}, node""",
     last=f"""SELECT {KEYS}, sum(CASE WHEN has_data THEN 5 * ((nx > 0)::INT + (ny > 0)::INT + (nz > 0)::INT) + CASE WHEN gyro AND ng > 0 THEN 15 ELSE 0 END + CASE WHEN nv > 0 THEN 5 ELSE 0 END
   + xy_varies::INT + yz_varies::INT + xz_varies::INT ELSE 0 END)::BIGINT AS n_features FROM counts GROUP BY {KEYS}""",
-))
-def feature_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+)
+
+
+@query("feature_count_all", _COUNT)
+@query("feature_count", _COUNT)
+def feature_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature, correlations too."""
     return Fe.feature_count(Fe.node_features(blind(event_frames(spark, sf_dir))))
 
