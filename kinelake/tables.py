@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Tables of the scratches that are open.
+_HELD: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,5 +36,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for held in _HELD:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes in the end the tables ``written`` inside: for work whose result is stored before it ends."""
+    own: list[str] = []
+    _HELD.append(own)
+    try:
+        yield
+    finally:
+        _HELD[:] = [h for h in _HELD if h is not own]
+        for path in own:
+            remove(spark, path)

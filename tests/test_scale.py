@@ -12,7 +12,7 @@ from kinelake.operators import calibrate as C
 from kinelake.operators import inject as I
 from kinelake.operators import sampling as Sa
 from kinelake.operators import segment as G
-from kinelake.tables import shared_dir, written
+from kinelake.tables import scratch, shared_dir, written
 
 
 def test_starts_of_one_long_segment_are_added_up_and_quick(spark):
@@ -74,6 +74,19 @@ def test_tables_are_written_to_the_folder_that_is_named(spark):
     assert out.count() == 5 and all(f.startswith(shared_dir(spark)) for f in out.inputFiles())
 
 
+def test_scratch_tables_go_and_others_stay(spark):
+    import os
+
+    before = written(spark.range(3).toDF("x"), "probe")
+    with scratch(spark):
+        inside = written(before, "probe")
+        with scratch(spark):
+            written(inside, "probe")
+        folders = {os.path.dirname(f.removeprefix("file:").replace("//", "/")) for f in inside.inputFiles()}
+        assert all(map(os.path.isdir, folders)) and inside.count() == 3
+    assert not any(map(os.path.isdir, folders)) and before.count() == 3
+
+
 def test_votes_waits_and_the_network():
     assert Ag.payload("anthropic", "m", "p", 5)["temperature"] == 0.7 and Ag.payload("openai", "m", "p", 5)["temperature"] == 0.0
     with pytest.raises(Ag.ScoringError, match="temperature"):
