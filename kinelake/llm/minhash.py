@@ -29,7 +29,7 @@ below what a pair at the threshold has on average, the parity limit six above.
 
 Defined cases: null or empty text, or text without words, has an empty set and
 is linked with nothing; a text of fewer than five words has its whole sequence
-as its only shingle; a null doc_id takes part but never names a component that
+as its only shingle; a very long text is one set of all its shingles; a null doc_id takes part but never names a component that
 has another identifier; repeated rows are equal sets; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components, joined_components
-from .shared import bloom_filter, free_name, in_filter, materialise, small_batches, table, utf8
+from .shared import bloom_filter, filter_bits, free_name, in_filter, materialise, small_batches, table, utf8
 from .textvec import shingle_sets
 
 SKETCH = 128
@@ -53,7 +53,6 @@ THRESHOLD = (75, 100)
 COUNT_SLOTS = 1 << 20
 #: A value in more sets than this is put behind all others.
 HEAVY = 32
-FILTER_BITS = 1 << 25
 #: Standard deviations below the threshold at which the estimate still lets a pair through.
 SLACK = 6.0
 PARITY_WORDS = 8
@@ -234,9 +233,8 @@ def _full_sets(wanted, words_per_shingle: int):
     def task(batches):
         words = wanted.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            pick = [i for i, d in enumerate(ids) if in_filter(words, -1 if d is None else d)]
-            if not pick:
+            pick = np.flatnonzero(in_filter(words, np.asarray(batch.column(0).fill_null(-1))))
+            if not len(pick):
                 continue
             data, offs = utf8(batch.column(1).take(pa.array(pick)))
             sets = [v.tobytes() for v in shingle_sets(data, offs, words_per_shingle)]
@@ -277,7 +275,7 @@ class _Linker:
         nodes = open_pairs.select(F.col("a").alias("sid")).union(open_pairs.select("b")).distinct()
         nodes = materialise(nodes.join(s.select("sid", "key", "doc_id"), "sid"), "near-open")
         spark = self.docs.sparkSession
-        wanted = spark.sparkContext.broadcast(bloom_filter(nodes.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), FILTER_BITS))
+        wanted = spark.sparkContext.broadcast(bloom_filter(nodes.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), filter_bits(nodes.count())))
         full = self.docs.select("doc_id", "text").mapInArrow(_full_sets(wanted, self.words), "key binary, members binary")
         full = full.join(nodes.select("key", "sid"), "key").dropDuplicates(["sid"]).select("sid", "members")
         full = materialise(full, "near-full")

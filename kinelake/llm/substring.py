@@ -1,12 +1,15 @@
 """Substring dedup by collinear chaining.
 
 1. Every text becomes its sequence of word hashes; equal sequences are one node,
-   so copies take part once. Winnowing picks seed places (the least of each 20
-   successive 6-word hashes). A place gives two keys: its 6 words, which survive
-   edits nearby, and its 28 words, which tie long exact passages.
-2. Seeds join through a star: each place of a key meets the key's first place
+   so copies take part once. Winnowing picks seed places: the least 4-word hash of
+   each 12 successive ones. A place gives a key with each of the next two seed
+   places (the pair survives edits around and between them), and, more sparsely,
+   a key of 28 words, which ties long exact passages to texts that share as much.
+2. Keys join through a star: each place of a key meets the key's first place
    (its hub), and a further place in the hub's text the key's last text; as many
-   matches as places, however many texts share a passage.
+   matches as places, however many texts share a passage. Keys of two seeds are
+   said by the passage's own texts almost alone, so unrelated texts that share
+   one phrase with it do not become its hubs.
 3. A text's matches with one hub are merged along diagonals into fragments and
    chained: ordered in both texts, each gap costed by its words, the best
    predecessor found in a Fenwick tree of prefix maxima.
@@ -14,20 +17,24 @@
    common subsequence, the ends extended while they score, over small shifts too)
    on the 64-word blocks around them; only those blocks are moved.
 
-An exact passage of 47 words or more always holds a seed place whose 28 words
-lie inside it, and then its hub shares at least those: such a passage is
-certain to be found. Fuzzy passages need a long key, or two seeds that share
-a hub. A seed's identity is its 64-bit hash, a text's another one: matches by
-chance are thrown out in the alignment.
+An exact passage of 28 words holds two neighbouring seed places in both texts, and
+one of 47 words a 28-word key; its hub then shares at least those. Fuzzy passages
+need two seeds in order, unharmed and with at most one other between them: tests
+measure the share found at 10 and 15 % of changed words. Keys are 64-bit hashes;
+matches by chance are thrown out in the alignment. Equal texts are told by a
+128-bit cryptographic digest of their words.
 
 No step gathers more than one text's own places: no pair of texts is formed but
 by a shared key, and a passage that thousands share costs each of them one star.
 
-Defined cases: null, empty and shorter texts than a passage give no rows; a
-null doc_id is carried and is never a representative where another exists;
-repeated rows are copies; a run of one word or line is a passage like any other
-(its seeds are thinned to one a window); an empty table gives an empty result;
-other columns are ignored, and kept by ``cut_repeats``.
+Defined cases: null, empty and shorter texts than a passage give no rows; a very
+long text is read whole, its seeds gathered as one text's; a null doc_id is
+carried and is never a representative where another exists; repeated rows are
+copies: of equal texts one row stays, by doc_id and then in no set order; a run of
+one word or line is a passage like any other (its seeds are thinned to one a
+window); a passage said twice in one text counts only with ``within``; the hub of
+a key is the text with the least number, which hashes give; an empty table gives
+an empty result; other columns are ignored, and kept by ``cut_repeats``.
 """
 
 from __future__ import annotations
@@ -39,10 +46,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import bloom_filter, free_name, in_filter, materialise, small_batches, table, utf8
-from .textvec import doc_words, mix, runs, word_spans
+from .shared import bloom_filter, filter_bits, free_name, in_filter, materialise, small_batches, table, utf8
+from .textvec import doc_words, mix, runs, text_digests, word_spans
 
-SEED, LONG, WINDOW = 6, 28, 20
+#: Words of a seed, and seeds of which one is kept.
+SEED, WINDOW = 4, 12
+#: A seed makes a key with so many of those that follow it.
+PARTNERS = 2
+LONG, LONG_WINDOW = 28, 20
+#: A key's place and the distance to its second seed in one number; 0 is a long key.
+DISTANCE_BITS = 12
 MIN_WORDS = 28
 IDENTITY = 0.8
 GAP_COST = 0.25
@@ -52,28 +65,31 @@ SHIFT, REANCHOR = 4, 6
 #: Words to leave out of x and of y, fewest first.
 SHIFTS = sorted(((dx, dy) for dx in range(SHIFT + 1) for dy in range(SHIFT + 1) if dx + dy), key=lambda d: (d[0] + d[1], d))
 BLOCK = 64
-FILTER_BITS = 1 << 25
+#: Numbers shared by unequal texts that may reach the driver.
+MOST_DOUBLES = 1_000_000
 SEEN_TEXTS = 200_000
 
 
-def text_id(words: np.ndarray) -> int:
-    """A 64-bit number of a word sequence."""
-    if not len(words):
-        return 0
-    spread = mix(words + np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return int(mix(np.array([spread.sum(dtype=np.uint64) + np.uint64(len(words))], np.uint64)).view(np.int64)[0])
+def text_ids(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each text's word sequence; 0 for a text without words."""
+    size = np.diff(first)
+    place = (np.arange(len(words)) - np.repeat(first[:-1], size)).astype(np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words + place * np.uint64(0x9E3779B97F4A7C15)))])
+    out = mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64))
+    out[size == 0] = 0
+    return out.view(np.int64)
 
 
-def thinned(at: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of the places ``at`` (ascending) stay: a hash said again within WINDOW words of its last place that stays counts once."""
+def thinned(at: np.ndarray, h: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which of the places ``at`` (ascending) stay: a hash said again within ``window`` words of its last place that stays counts once."""
     keep = np.ones(len(at), bool)
-    order = np.lexsort((at, h))
-    close = (np.diff(h[order]) == 0) & (np.diff(at[order]) < WINDOW)
+    order = np.argsort(h, kind="stable")
+    close = (np.diff(h[order]) == 0) & (np.diff(at[order]) < window)
     last, at_before = 0, -1
     for i in (np.flatnonzero(close) + 1).tolist():
         if i - 1 != at_before:
             last = at[order[i - 1]]
-        if at[order[i]] - last < WINDOW:
+        if at[order[i]] - last < window:
             keep[order[i]] = False
         else:
             last = at[order[i]]
@@ -81,61 +97,130 @@ def thinned(at: np.ndarray, h: np.ndarray) -> np.ndarray:
     return keep
 
 
-def seed_places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, their 6-word hashes): the least hash of every window."""
-    h = runs(words, SEED)
-    if not len(h):
-        return np.zeros(0, np.int64), h
-    if len(h) <= WINDOW:
-        at = np.array([int(h.argmin())])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        at = np.unique(view.argmin(1) + np.arange(len(view)))
-    return at, h[at]
-
+def _slid(values: np.ndarray, window: int, pick) -> np.ndarray:
+    """The least or greatest (``pick``) of each ``window`` successive values, by doubling."""
+    n, out = 1, values
+    while 2 * n <= window:
+        out, n = pick(out[:-n], out[n:]), 2 * n
+    return pick(out[: len(out) - window + n], out[window - n :]) if n < window else out
 
-def keyed_places(words: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(places, keys) of the 6-word keys and of the 28-word keys, each thinned by its own key: no key of a text is lost, and one a window or so stays in a run."""
-    at, h = seed_places(words)
-    whole = at[at + LONG <= len(words)]
-    long = mix(runs(words, LONG)[whole] + np.uint64(LONG)) if len(whole) else np.zeros(0, np.uint64)
-    return tuple((p[k], v[k]) for p, v in ((at, h), (whole, long)) for k in (thinned(p, v),))
 
+def seed_places(words: np.ndarray, first: np.ndarray, size: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, hash of ``size`` words) of the least hash of every window of every text, all at once.
 
-def _texts(batch: pa.RecordBatch, column: int, seen: set | None):
-    """(row, id, words) of each text; with ``seen``, of each distinct text of the task so far."""
+    A text with fewer hashes than a window is one window; equal least hashes all count.
+    """
+    count = np.maximum(np.diff(first) - size + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    begin = np.cumsum(count) - count
+    place = np.arange(len(text)) - begin[text]
+    h = np.maximum(runs(words, size)[first[:-1][text] + place], np.uint64(1)) if len(text) else np.zeros(0, np.uint64)
+    chosen = np.zeros(len(h), bool)
+    if len(h) >= window:
+        low = _slid(h, window, np.minimum)
+        low[place[: len(low)] + window > count[text[: len(low)]]] = 0  # it would go on into the next text
+        none = np.zeros(window - 1, np.uint64)
+        chosen = _slid(np.concatenate([none, low, none]), window, np.maximum) == h
+    few = np.flatnonzero((count > 0) & (count < window))
+    if len(few):
+        inside = np.flatnonzero(np.isin(text, few))
+        least = np.minimum.reduceat(h[inside], np.searchsorted(text[inside], few))
+        chosen[inside] = h[inside] == np.repeat(least, count[few])
+    return text[chosen], place[chosen], h[chosen]
+
+
+def _of_text(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes that tell texts of a batch apart."""
+    return h + mix(text.astype(np.uint64) + np.uint64(1))
+
+
+def paired_places(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, distance to the second seed, key) of the pairs of seeds; a seed, and then a pair, said again in a run stays once a window."""
+    text, at, h = seed_places(words, first)
+    keep = thinned(at + first[text], _of_text(text, h))
+    text, at, h = text[keep], at[keep], h[keep]
+    found = []
+    for n in range(1, PARTNERS + 1):
+        both = text[:-n] == text[n:]
+        key = mix(h[:-n] * np.uint64(0x9E3779B97F4A7C15) + h[n:])
+        found.append(np.stack([text[:-n], at[:-n], at[n:] - at[:-n], key.view(np.int64)])[:, both])
+    text, place, distance, key = np.concatenate(found, axis=1)
+    order = np.lexsort((place, text))
+    text, place, distance, key = text[order], place[order], distance[order], key[order].view(np.uint64)
+    keep = thinned(place + first[text], _of_text(text, key)) & (distance < 1 << DISTANCE_BITS)
+    return text[keep], place[keep], distance[keep], key[keep]
+
+
+def long_places(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, key) of the 28-word keys: no key of a text is lost, and one a window or so stays in a run."""
+    text, at, _ = seed_places(words, first, 6, LONG_WINDOW)
+    whole = at + LONG <= np.diff(first)[text]
+    text, at = text[whole], at[whole]
+    key = mix(runs(words, LONG)[first[text] + at] + np.uint64(LONG)) if len(at) else np.zeros(0, np.uint64)
+    keep = thinned(at + first[text], _of_text(text, key), LONG_WINDOW)
+    return text[keep], at[keep], key[keep]
+
+
+def keyed_places(words: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of one text: (places, distances, keys) of its pairs of seeds and (places, keys) of its 28-word keys."""
+    first = np.array([0, len(words)])
+    return paired_places(words, first)[1:], long_places(words, first)[1:]
+
+
+def _texts(batch: pa.RecordBatch, column: int, doubles: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each text, words, each text's first word and the total).
+
+    ``doubles`` are numbers that unequal texts share; those have a half of their digest instead.
+    """
     data, offs = utf8(batch.column(column))
     words, first = doc_words(data, offs)
-    for i in range(len(offs) - 1):
-        own = words[first[i] : first[i + 1]]
-        sid = text_id(own)
-        if seen is not None:
-            if sid in seen:
-                continue
+    sids = text_ids(words, first)
+    for i in np.flatnonzero(np.isin(sids, list(doubles))).tolist() if doubles else ():
+        sids[i] = text_digests(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]))[0, 1]
+    return sids, words, first
+
+
+def _fresh(sids: np.ndarray, seen: set) -> np.ndarray:
+    """Which texts this task has not met, as far as it remembers."""
+    out = np.zeros(len(sids), bool)
+    for i, sid in enumerate(sids.tolist()):
+        if sid not in seen:
             if len(seen) >= SEEN_TEXTS:
                 seen.clear()
             seen.add(sid)
-        yield i, sid, own
+            out[i] = True
+    return out
 
 
 def _members(batches):
     for batch in batches:
-        rows = [(sid, len(own)) for _, sid, own in _texts(batch, 1, None)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "sid", "n_words"])
+        sids, _, first = _texts(batch, 2)
+        digests = text_digests(*utf8(batch.column(2)))
+        columns = [pa.array(x) for x in (sids, np.diff(first), np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1]))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["uid", "doc_id", "sid", "n_words", "digest", "digest2"])
 
 
-def _seeds(batches):
-    seen: set = set()
-    for batch in batches:
-        keys, sids, places, spans = [], [], [], []
-        for _, sid, own in _texts(batch, 0, seen):
-            (at, h), (whole, long) = keyed_places(own)
-            keys += [h, long]
-            places += [at, whole]
-            spans += [np.full(len(at), SEED), np.full(len(whole), LONG)]
-            sids.append(np.full(len(at) + len(whole), sid))
-        if sids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(spans).astype(np.int32))], ["key", "sid", "place", "span"])
+def _seeds(doubles: frozenset, wanted=None):
+    """(key, sid, spot) of the distinct texts of a task; ``wanted`` is a filter of keys."""
+
+    def task(batches):
+        seen: set = set()
+        for batch in batches:
+            sids, words, first = _texts(batch, 0, doubles)
+            fresh = _fresh(sids, seen)
+            text, at, distance, key = paired_places(words, first)
+            text2, at2, key2 = long_places(words, first)
+            text = np.concatenate([text, text2])
+            spot = np.concatenate([at << DISTANCE_BITS | distance, at2 << DISTANCE_BITS])
+            key = np.concatenate([key, key2]).view(np.int64)
+            keep = fresh[text]
+            if wanted is not None:
+                keep &= in_filter(wanted.value, key)
+            text, spot, key = text[keep], spot[keep], key[keep]
+            order = np.argsort(text, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(sids[text[order]]), pa.array(spot[order])], ["key", "sid", "spot"])
+
+    return task
 
 
 class Fenwick:
@@ -167,7 +252,7 @@ def fragments(x: np.ndarray, y: np.ndarray, span: np.ndarray) -> list[tuple[int,
     out: list[tuple[int, int, int, int, bool]] = []
     d_now, lo, hi, n, long = None, 0, 0, 0, False
     for d, a, s in zip(diagonal[order].tolist(), x[order].tolist(), span[order].tolist(), strict=True):
-        if d == d_now and a <= hi + WINDOW:
+        if d == d_now and a <= hi + LONG_WINDOW:
             n += a != last
             hi, long, last = max(hi, a + s), long or s == LONG, a
             continue
@@ -215,13 +300,21 @@ def chains(parts: list[tuple[int, int, int, int, bool]]) -> list[list[int]]:
     return out
 
 
+def matched_seeds(y: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(other text, place in x, place in y, words) of the seeds that matched keys stand for: a long key is one, a pair two."""
+    mask = (1 << DISTANCE_BITS) - 1
+    x, dx, at, dy = xs >> DISTANCE_BITS, xs & mask, ys >> DISTANCE_BITS, ys & mask
+    two = dx > 0
+    span = np.where(two, SEED, LONG)
+    return np.concatenate([y, y[two]]), np.concatenate([x, (x + dx)[two]]), np.concatenate([at, (at + dy)[two]]), np.concatenate([span, span[two]])
+
+
 def _chained(batches):
     """Pieces (fragments of a chain without a gap over MAX_GAP) that are worth an alignment."""
     for batch in batches:
         cols: list[list] = [[] for _ in range(7)]
         for x, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            y = np.array([m["y"] for m in matches], np.int64)
-            xs, ys, spans = (np.array([m[k] for m in matches], np.int64) for k in ("xp", "yp", "span"))
+            y, xs, ys, spans = matched_seeds(*(np.array([m[k] for m in matches], np.int64) for k in ("y", "xs", "ys")))
             order = np.argsort(y, kind="stable")
             for pick in np.split(order, np.flatnonzero(np.diff(y[order])) + 1):
                 parts = fragments(xs[pick], ys[pick], spans[pick])
@@ -243,29 +336,29 @@ def _chained(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "x0", "x1", "y0", "y1", "parts"])
 
 
-def _block_key(sid: int, block: int) -> int:
-    key = (sid ^ (block + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
-    return key - (1 << 64) if key >> 63 else key
+def _block_keys(sids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return sids ^ ((blocks.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _wanted_keys(batches):
     for batch in batches:
-        keys = [_block_key(s, b) for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
+        yield pa.RecordBatch.from_arrays([pa.array(_block_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1))))], ["key"])
 
 
-def _blocks(wanted):
+def _blocks(wanted, doubles: frozenset):
     def task(batches):
-        words, seen = wanted.value, set()
+        seen: set = set()
         for batch in batches:
-            sids, numbers, data = [], [], []
-            for _, sid, own in _texts(batch, 0, seen):
-                for b in range((len(own) + BLOCK - 1) // BLOCK):
-                    if in_filter(words, _block_key(sid, b)):
-                        sids.append(sid)
-                        numbers.append(b)
-                        data.append(own[b * BLOCK : (b + 1) * BLOCK].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["sid", "block", "words"])
+            sids, words, first = _texts(batch, 0, doubles)
+            count = np.where(_fresh(sids, seen), -(-np.diff(first) // BLOCK), 0)
+            text = np.repeat(np.arange(len(count)), count)
+            block = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            hit = in_filter(wanted.value, _block_keys(sids[text], block))
+            text, block = text[hit], block[hit]
+            low = first[text] + block * BLOCK
+            high = np.minimum(low + BLOCK, first[text + 1])
+            data = [words[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(sids[text]), pa.array(block.astype(np.int32)), pa.array(data, pa.binary())], ["sid", "block", "words"])
 
     return task
 
@@ -372,18 +465,31 @@ def _aligned(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _passages(docs: DataFrame) -> DataFrame:
+def _passages(docs: DataFrame, doubles: frozenset, within: bool) -> DataFrame:
     """(x, y, x0, x1, y0, y1, identity) between texts; ``docs`` has one column, text."""
     spark = docs.sparkSession
-    seeds = docs.mapInArrow(_seeds, "key long, sid long, place int, span int")
-    last = F.max(F.struct("sid", (-F.col("place")).alias("back"))).alias("last")
-    hubs = seeds.groupBy("key").agg(F.min(F.struct("sid", "place")).alias("hub"), last).where("hub.sid < last.sid")
-    hubs = hubs.select("key", F.col("hub.sid").alias("y"), F.col("hub.place").alias("yp"), F.col("last.sid").alias("z"), (-F.col("last.back")).alias("zp"))
+    kinds = "key long, sid long, spot long"
+    # Keys of several texts; within: or of one text that says it again.
+    ends = docs.mapInArrow(_seeds(doubles), kinds).groupBy("key").agg(F.min("sid").alias("y"), F.max("sid").alias("z"), *([F.count(F.lit(1)).alias("places")] if within else []))
+    shared = materialise(ends.where("y < z or places > 1" if within else "y < z").select("key", "y", "z"), "passage-keys")
+    wanted = spark.sparkContext.broadcast(bloom_filter(shared.select("key"), filter_bits(shared.count())))
+    seeds = materialise(docs.mapInArrow(_seeds(doubles, wanted), kinds).join(shared, "key"), "passage-seeds")
+
+    def first_spot(sid: str, name: str) -> DataFrame:
+        return materialise(seeds.where(F.col("sid") == F.col(sid)).groupBy("key").agg(F.min("spot").alias(name)), "passage-hubs")
+
+    placed = seeds.join(first_spot("y", "ys"), "key").join(first_spot("z", "zs"), "key").where("sid <> y or spot <> ys")
     # Further places of the key in the hub's own text meet the key's last text, so that all of a run in it is covered too.
     own = F.col("sid") == F.col("y")
-    x, xp, yp = F.when(own, F.col("z")).otherwise(F.col("sid")), F.when(own, F.col("zp")).otherwise(F.col("place")), F.when(own, F.col("place")).otherwise(F.col("yp"))
-    met = seeds.join(hubs, "key").where("sid <> y or place <> yp").select(x.alias("x"), F.struct("y", xp.alias("xp"), yp.alias("yp"), "span").alias("m"))
-    per_text = met.groupBy("x").agg(F.collect_set("m").alias("matches"))  # two a seed place of the text, and a key's further places in one hub
+    x, xs, ys = F.when(own, F.col("z")).otherwise(F.col("sid")), F.when(own, F.col("zs")).otherwise(F.col("spot")), F.when(own, F.col("spot")).otherwise(F.col("ys"))
+    across = F.struct(x.alias("x"), xs.alias("xs"), ys.alias("ys"))
+    here = F.struct(F.col("y").alias("x"), F.col("spot").alias("xs"), "ys")
+    if within:  # a further place in the hub's text meets its first one, too
+        met = placed.select("y", F.explode(F.when(own & (F.col("z") == F.col("y")), F.array(here)).when(own, F.array(across, here)).otherwise(F.array(across))).alias("m"))
+    else:
+        met = placed.select("y", across.alias("m"))
+    met = met.select("m.x", F.struct("y", "m.xs", "m.ys").alias("m"))
+    per_text = met.groupBy("x").agg(F.collect_set("m").alias("matches"))  # a few a seed place of the text, and a key's further places in one hub
     pieces = per_text.mapInArrow(_chained, "x long, y long, x0 int, x1 int, y0 int, y1 int, parts array<int>")
     pieces = materialise(pieces.withColumn("piece", F.monotonically_increasing_id()), "passage-pieces")
 
@@ -393,25 +499,40 @@ def _passages(docs: DataFrame) -> DataFrame:
         return pieces.select("piece", F.col(sid).alias("sid"), F.explode(F.sequence(first, last)).alias("block"), F.lit(side).alias("side"))
 
     asked = around("x", "x0", "x1", 0).union(around("y", "y0", "y1", 1))
+    at_most = pieces.agg(F.sum((F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) / BLOCK + 8)).first()[0]
     keys = asked.select("sid", "block").distinct().mapInArrow(_wanted_keys, "key long")
-    wanted = spark.sparkContext.broadcast(bloom_filter(keys, FILTER_BITS))
-    blocks = docs.mapInArrow(_blocks(wanted), "sid long, block int, words binary").dropDuplicates(["sid", "block"])
+    wanted = spark.sparkContext.broadcast(bloom_filter(keys, filter_bits(at_most or 0)))
+    # Written, so that the join below is one that Spark may split where a hub's block is asked for by many.
+    blocks = materialise(docs.mapInArrow(_blocks(wanted, doubles), "sid long, block int, words binary").dropDuplicates(["sid", "block"]), "passage-blocks")
     got = asked.join(blocks, ["sid", "block"]).groupBy("piece").agg(F.collect_list(F.struct("side", "block", "words")).alias("got"))
     rows = pieces.join(got, "piece").select("x", "y", "parts", "got")
     return materialise(rows.mapInArrow(_aligned, "x long, y long, x0 int, x1 int, y0 int, y1 int, identity double"), "passages")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document and passage: doc_id, start_word, end_word, n_words, other_doc_id, identity, repeat.
+def _analysed(rows: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, texts, spans) of ``rows`` (uid, doc_id, text).
 
-    ``repeat`` is false where the document is the passage's hub, whose text stays in ``cut_repeats``.
-    Overlapping passages of a document are one row, with the partner of the longest.
+    members: a row each, with its text's number. texts: a row a text with the row that stays for it.
+    spans: a text's passages, of which ``repeat`` marks those that another text keeps.
     """
-    small_batches(docs.sparkSession, 1000)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = materialise(rows.mapInArrow(_members, "doc_id long, sid long, n_words long"), "passage-members")
-    groups = members.where("n_words > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("copies"))
-    found = _passages(rows.select("text"))
+    kinds = "uid long, doc_id long, sid long, n_words long, digest long, digest2 long"
+    members = materialise(rows.mapInArrow(_members, kinds), "passage-members")
+
+    def grouped(members: DataFrame) -> DataFrame:
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("f")
+        unlike = F.max("digest") != F.min("digest")
+        out = members.where("n_words > 0").groupBy("sid").agg(first, F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("copies"), unlike.alias("unlike"))
+        return materialise(out.select("sid", F.col("f.doc_id").alias("first_id"), F.col("f.uid").alias("first_uid"), "last_id", "copies", "unlike"), "passage-texts")
+
+    texts = grouped(members)
+    # Numbers that unequal texts share: none is expected below 10 ** 9 texts, hundreds at 10 ** 11.
+    doubles = frozenset(r["sid"] for r in texts.where("unlike").select("sid").limit(MOST_DOUBLES + 1).collect())
+    if len(doubles) > MOST_DOUBLES:
+        raise ValueError("far too many texts share a number")
+    if doubles:
+        members = members.withColumn("sid", F.when(F.col("sid").isin(list(doubles)), F.col("digest2")).otherwise(F.col("sid")))
+        texts = grouped(members)
+    found = _passages(rows.select("text"), doubles, within)
     one_way = found.select(F.col("x").alias("sid"), F.col("y").alias("other"), F.col("x0").alias("lo"), F.col("x1").alias("hi"), "identity", F.lit(True).alias("repeat"))
     back = found.select(F.col("y").alias("sid"), F.col("x").alias("other"), F.col("y0").alias("lo"), F.col("y1").alias("hi"), "identity", F.lit(False).alias("repeat"))
     # A hub of thousands has at most one row a word that a passage begins at.
@@ -423,36 +544,57 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     merged = best.withColumn("island", island).groupBy("sid", "repeat", "island").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct((F.col("hi") - F.col("lo")).alias("n"), "identity", "other")).alias("b")
     )
-    names = groups.select("sid", F.col("first_id").alias("doc_id"))
-    partner = groups.select(F.col("sid").alias("other"), F.col("first_id").alias("other_doc_id"))
-    parts = merged.select("sid", "repeat", "lo", "hi", F.col("b.identity").alias("identity"), F.col("b.other").alias("other")).join(names, "sid").join(partner, "other")
+    return members, texts, merged.select("sid", "repeat", "lo", "hi", F.col("b.identity").alias("identity"), F.col("b.other").alias("other"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, uid) -> DataFrame:
+    return docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
+    """One row a document and passage: doc_id, start_word, end_word, n_words, other_doc_id, identity, repeat.
+
+    ``repeat`` is false where the document is the passage's hub, whose text stays in ``cut_repeats``.
+    Overlapping passages of a document are one row, with the partner of the longest. ``within`` adds
+    passages that a text says again itself (the later ones repeat the first).
+    """
+    small_batches(docs.sparkSession, 1000)
+    members, texts, spans = _analysed(_rows(docs, id_col, text_col, F.monotonically_increasing_id()), within)
+    names = texts.select("sid", F.col("first_id").alias("doc_id"))
+    partner = texts.select(F.col("sid").alias("other"), F.col("first_id").alias("other_doc_id"))
+    parts = spans.join(names, "sid").join(partner, "other")
     parts = parts.select("doc_id", F.col("lo").cast("long").alias("start_word"), F.col("hi").cast("long").alias("end_word"), (F.col("hi") - F.col("lo")).cast("long").alias("n_words"), "other_doc_id", "identity", "repeat")
-    copied = members.join(groups.where("copies > 1"), "sid").where(F.col("n_words") >= MIN_WORDS)
-    first = F.col("doc_id").eqNullSafe(F.col("first_id"))
-    whole = copied.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), "n_words", F.when(first, F.col("last_id")).otherwise(F.col("first_id")).alias("other_doc_id"), F.lit(1.0).alias("identity"), (~first).alias("repeat"))
+    copied = members.where(F.col("n_words") >= MIN_WORDS).join(texts.where("copies > 1"), "sid")
+    stays = F.col("uid") == F.col("first_uid")
+    whole = copied.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), "n_words", F.when(stays, F.col("last_id")).otherwise(F.col("first_id")).alias("other_doc_id"), F.lit(1.0).alias("identity"), (~stays).alias("repeat"))
     return whole.union(parts)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages taken out of the text of every document but each passage's hub."""
-    spans = repeated_passages(docs, id_col, text_col).where("repeat").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    of, found_spans = free_name("spans_of", docs.columns), free_name("spans", docs.columns)
-    rows = docs.join(spans.toDF(of, found_spans), F.col(id_col).cast("long") == F.col(of), "left").drop(of)
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
+    """``docs`` with the repeated passages taken out of the text of every row but each passage's hub; of equal texts one row stays."""
+    small_batches(docs.sparkSession, 1000)
+    uid, sid, gone, found = (free_name(c, docs.columns) for c in ("uid_of", "sid_of", "copy_of", "spans_of"))
+    held = materialise(docs.withColumn(uid, F.monotonically_increasing_id()), "passage-rows")
+    members, texts, spans = _analysed(_rows(held, id_col, text_col, F.col(uid)), within)
+    cuts = spans.where("repeat").groupBy("sid").agg(F.collect_list(F.struct("lo", "hi")).alias(found)).withColumnRenamed("sid", sid)
+    copy = (F.col("n_words") >= MIN_WORDS) & (F.col("uid") != F.col("first_uid"))
+    whose = members.join(texts, "sid").select(F.col("uid").alias(uid), F.col("sid").alias(sid), copy.alias(gone))
     names = docs.columns
+    rows = held.join(whose, uid, "left").join(cuts, sid, "left").select(*[held[c] for c in names], gone, found)
     at = names.index(text_col)
 
     def task(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                if not text or not found:
+            for text, copied, spans in zip(*(batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1)), strict=True):
+                if not text or not (copied or spans):
                     out.append(text)
                     continue
                 raw = text.encode()
                 starts, ends = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                 keep = np.ones(len(raw), bool)
-                for s in found:
-                    keep[starts[s["start_word"]] : ends[s["end_word"] - 1]] = False
+                for lo, hi in [(0, len(starts))] if copied else [(s["lo"], s["hi"]) for s in spans]:
+                    keep[starts[lo] : ends[hi - 1]] = False
                 out.append(np.frombuffer(raw, np.uint8)[keep].tobytes().decode())
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(out, batch.column(at).type)
@@ -462,7 +604,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 NAME = "op3_substring_dedup"
-SQL = None  # chaining and alignment have no SQL form; tests compare with brute force
+SQL = None  # chaining and alignment have no SQL form; tests compare with brute force and measure recall
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

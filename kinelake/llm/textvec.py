@@ -3,11 +3,13 @@
 Words are maximal runs of bytes other than space and tab to carriage return
 (``[^\\x20\\x09-\\x0D]+``), A-Z lower-cased. A word's hash is a polynomial over
 its bytes modulo 2**64, taken as a difference of prefix sums times an inverse
-power, so that no Python loop runs over words.
+power, so that no Python loop runs over words but the rare very long ones.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -59,9 +61,33 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends
 
 
+#: Words of more bytes have a cryptographic hash: among long words a polynomial hash has collisions that can be built.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 64-bit hash a word of lower-cased bytes."""
-    return _span_hashes(lambda low, high: _VALUE[data[low:high]], starts, ends)
+    out = _span_hashes(lambda low, high: _VALUE[data[low:high]], starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        raw = _LOWER[data[starts[i] : ends[i]]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return out
+
+
+def text_digests(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Of each document two 64-bit numbers: a cryptographic digest of its lower-cased words, set apart by one space."""
+    starts, ends = word_spans(data, offs)
+    first = np.searchsorted(starts, offs)
+    word = ~_SPACE[data]
+    kept = word.copy()
+    kept[1:] |= word[:-1]
+    text = np.where(word, _LOWER[data], np.uint8(0x20))[kept]
+    place = np.concatenate([[0], np.cumsum(kept)])
+    out = np.zeros((len(offs) - 1, 2), np.int64)
+    for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
+        if b > a:
+            out[i] = np.frombuffer(hashlib.blake2b(text[place[starts[a]] : place[ends[b - 1]]], digest_size=16).digest(), np.int64)
+    return out
 
 
 def point_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

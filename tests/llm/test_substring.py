@@ -1,6 +1,8 @@
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinelake.llm import substring as S
@@ -141,3 +143,59 @@ def test_common_words_is_the_longest_common_subsequence():
             for j in range(len(b)):
                 best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
         assert S.common_words(a, b) == best[-1, -1]
+
+
+def pairs_of_edited_passages(length, share, seed, n=80):
+    """Documents 2p and 2p + 1 hold a passage and its edited form; ids of those whose forms are alike by the operator's own measure."""
+    rng = random.Random(seed)
+    rows, due = [], set()
+    for p in range(n):
+        own = prose(length, seed * 10_000 + p).split()
+        other = [f"x{rng.randrange(10**9)}" if rng.random() < share else w for w in own]
+        for k, q in enumerate((own, other)):
+            rows.append((2 * p + k, " ".join(prose(60, seed * 777 + 4 * p + k).split() + q + prose(60, seed * 999 + 4 * p + k + 2).split())))
+        same = sum(b.size for b in SequenceMatcher(None, own, other, False).get_matching_blocks())
+        if same >= S.IDENTITY * length:
+            due |= {2 * p, 2 * p + 1}
+    return rows, due
+
+
+@pytest.mark.parametrize(("length", "share", "least"), [(28, 0.0, 1.0), (34, 0.0, 1.0), (100, 0.08, 0.95), (100, 0.1, 0.9), (100, 0.15, 0.9)])
+def test_recall_of_exact_and_edited_passages(spark, length, share, least):
+    rows, due = pairs_of_edited_passages(length, share, 5)
+    # Unrelated texts that share phrases with the passages must not take their place.
+    phrases = [(1000 + i, " ".join(x for j in range(8) for x in (*rows[(i * 8 + j) % len(rows)][1].split()[62:70], *prose(9, 40_000 + 10 * i + j).split()))) for i in range(60)]
+    got = {r["doc_id"] for r in S.repeated_passages(docs(spark, rows + phrases)).collect()}
+    assert len(got & due) >= least * len(due), len(got & due) / len(due)
+    assert not {d for d in got if d >= 1000}
+
+
+def test_rows_that_share_an_identifier_or_have_none(spark):
+    copy, passage = prose(60, 3), prose(70, 21)
+    rows = [(1, copy), (1, copy), (None, copy), (2, f"{prose(30, 5)} {passage}"), (2, f"{passage} {prose(40, 6)}"), (None, prose(50, 8)), (None, prose(50, 8)), (3, "short")]
+    got = S.repeated_passages(docs(spark, rows)).collect()
+    whole = [r for r in got if r["n_words"] == 60]
+    assert sorted((r["doc_id"] is None, r["repeat"]) for r in whole) in ([(False, False), (False, True), (True, True)],)
+    assert sorted(r["repeat"] for r in got if r["n_words"] == 50) == [False, True]
+    texts = sorted(r["text"] for r in S.cut_repeats(docs(spark, rows)).collect())
+    assert texts.count(copy) == 1 and texts.count(prose(50, 8)) == 1 and sum(passage in t for t in texts) == 1 and "short" in texts
+    assert len(texts) == len(rows)
+
+
+def test_passages_said_again_within_a_text(spark):
+    passage = prose(60, 31)
+    rows = [(1, f"{prose(30, 1)} {passage} {prose(30, 2)} {passage} {prose(30, 3)}"), (2, prose(200, 4))]
+    assert S.repeated_passages(docs(spark, rows)).count() == 0
+    got = S.repeated_passages(docs(spark, rows), within=True).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["repeat"]) for r in got) == [(1, 30, 90, False), (1, 120, 180, True)]
+    assert [r["text"].count(passage) for r in S.cut_repeats(docs(spark, rows), within=True).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_unequal_texts_with_one_number(monkeypatch):
+    a, b = prose(80, 41), prose(80, 42)
+    monkeypatch.setattr(S, "text_ids", lambda words, first: np.full(len(first) - 1, 7))
+    batch = pa.RecordBatch.from_pydict({"uid": [0, 1, 2], "doc_id": [1, 2, 3], "text": [a, a, b]})
+    out = next(S._members(iter([batch]))).to_pydict()
+    assert out["sid"] == [7, 7, 7] and out["digest"][0] == out["digest"][1] != out["digest"][2]
+    sids = S._texts(batch, 2, frozenset([7]))[0].tolist()
+    assert sids == out["digest2"] and sids[0] == sids[1] != sids[2]
