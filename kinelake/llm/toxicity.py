@@ -8,7 +8,8 @@
    spaces are joined into such a token first, in which a word may end before any
    letter. Viterbi decoding finds the most likely letters under the model. Plain
    tokens have one path and need no search; those with a doubled letter also count
-   as they are.
+   as they are. A space between two words may be noise, too: where the two make
+   up a marked word, both readings are decoded (of other pairs none would count).
 3. The restored words, and the stems (first four to eight letters) of
    longer ones, that mark toxic texts in the labelled sample are weighed by a logistic
    fit; a document's score is the model's probability.
@@ -18,7 +19,7 @@ Every document is scored alone in its task from a broadcast of fixed size.
 Defined cases: null and empty texts score as a text without any marked word;
 labels other than 0 and 1 and labels of unknown documents are ignored; without
 labelled rows of both classes every score is the share of label 1 (0 without
-any); repeated rows score alike; an empty table gives an empty result; other
+any); a very long text is scored whole; repeated rows score alike; an empty table gives an empty result; other
 columns are never inputs.
 """
 
@@ -44,7 +45,7 @@ CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
 OTHER = len(_LETTERS) + 1
 SIZE = OTHER + 1  # 0 parts words
 #: Log-probabilities of the channel.
-KEEP, STANDS_FOR, NOISE, SIGN_NOISE, PARTS, REPEAT_RUN, REPEAT_TWO = -0.05, -0.7, -0.2, -6.0, -0.9, -0.3, -3.0
+KEEP, STANDS_FOR, NOISE, SIGN_NOISE, PARTS, REPEAT_RUN, REPEAT_TWO, SPACE_NOISE = -0.05, -0.7, -0.2, -6.0, -0.9, -0.3, -3.0, -2.0
 MAX_FEATURES = 4096
 MEMO_TOKENS = 120_000
 #: Tokens whose features are remembered, and features counted, before a task lets go of them.
@@ -103,6 +104,8 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 def _options(token: str, i: int) -> list[tuple[str, float]]:
     """What the i-th sign of a token may stand for: a letter, '' (noise) or ' ' (parts words)."""
     c = token[i]
+    if c == " ":
+        return [(" ", KEEP), ("", SPACE_NOISE)]
     if c.isalpha():
         out = [(c, KEEP)]
         if i and token[i - 1] == c:
@@ -167,6 +170,25 @@ def tokens(text: str) -> set[str]:
     return out
 
 
+def split_words(words: list[str]) -> dict[str, dict[str, str]]:
+    """For each first part of a word its rests, and the word they make up."""
+    out: dict[str, dict[str, str]] = {}
+    for w in words:
+        for i in range(1, len(w)):
+            out.setdefault(w[:i], {})[w[i:]] = w
+    return out
+
+
+def joined_pairs(text: str, parts: dict[str, dict[str, str]], model: np.ndarray) -> set[str]:
+    """Words of ``parts`` whose halves stand next to each other and read best as one."""
+    out, words = set(), text.lower().split()
+    for a, b in zip(words, words[1:], strict=False):
+        rests = parts.get(a)
+        if rests is not None and (word := rests.get(b.strip(_EDGE))) is not None and word not in out and viterbi(f"{a} {b.strip(_EDGE)}", model) == word:
+            out.add(word)
+    return out
+
+
 def features(words: list[str]) -> set[str]:
     """Words and their stems of four to eight letters; a stem is written with a star."""
     out = set()
@@ -254,6 +276,7 @@ def _scorer(model, weights):
     """Scores of a list of texts. A token's marked features are looked up once a worker task and remembered."""
     lm, (index, bias) = model.value, weights.value
     memo: dict[str, tuple] = {}
+    parts = split_words([f for f in index if not f.endswith("*")])
 
     def scores(texts: list[str | None]) -> pa.Array:
         out = []
@@ -267,6 +290,8 @@ def _scorer(model, weights):
                     hit = memo[t] = tuple(f for f in features(restored(t, lm)) if f in index)
                 if hit:
                     found.update(hit)
+            for word in joined_pairs(text, parts, lm) if text and parts else ():
+                found.update(f for f in features([word]) if f in index)
             z = bias + math.fsum(index[f] for f in found)
             out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
         return pa.array(out, pa.float64())
@@ -292,8 +317,8 @@ class ToxicityModel:
         index = choose_features(sample, model)
         chosen = spark.sparkContext.broadcast(index)
         rows = [(r["label"], r["found"]) for r in sample.select("text", "label").mapInArrow(_present(model, chosen), "label int, found array<int>").collect()]
-        if not rows:
-            return cls(spark, lm, {}, -20.0)
+        if len({y for y, _ in rows}) < 2:
+            return cls(spark, lm, {}, 500.0 if rows and rows[0][0] else -500.0)
         w = fit_logistic(rows, len(index))
         return cls(spark, lm, {f: float(w[i]) for f, i in index.items()}, float(w[-1]))
 

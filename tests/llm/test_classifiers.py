@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -5,8 +6,9 @@ import pytest
 
 from kinelake.llm import quality as Q
 from kinelake.llm import toxicity as T
+from kinelake.llm.textvec import doc_words
 
-from .helpers import awkward, docs, prose
+from .helpers import awkward, docs, prose, words
 
 
 def sample(spark, rows):
@@ -101,3 +103,111 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     df = corpus.withColumnRenamed("lang", "toxic_score")
     scored = model.with_score(df)
     assert scored.columns == [*df.columns, "toxic_score_1"]
+
+
+def all_readings(token, model, joined):
+    """Every path of the lattice with its score, written plainly."""
+    for choice in itertools.product(*(T._options(token, i) for i in range(len(token)))):
+        free = [i for i, (o, _) in enumerate(choice) if o not in ("", " ")] if joined else []
+        for breaks in itertools.product([False, True], repeat=len(free)):
+            out, score, allowed = "", 0.0, True
+            for i, (option, cost) in enumerate(choice):
+                score += cost
+                if i in free and breaks[free.index(i)]:
+                    if not out or out[-1] == " ":
+                        allowed = False
+                        break
+                    out, score = out + " ", score + T.PARTS
+                if option == " " and (not out or out[-1] == " "):
+                    continue  # nothing to part
+                out += option
+            if not allowed:
+                continue
+            a = b = 0
+            for c in out:
+                code = 0 if c == " " else T.CODE.get(c, T.OTHER)
+                score += float(model[a, b, code])
+                a, b = b, code
+            yield out, score + (float(model[a, b, 0]) if b else 0.0)
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_viterbi_finds_the_best_of_all_paths(joined):
+    rng = random.Random(6)
+    counts = np.random.default_rng(2).integers(0, 40, T.SIZE**3) * (np.random.default_rng(3).random(T.SIZE**3) < 0.02)
+    model = T.language_model(counts)
+    for _ in range(60):
+        token = "".join(rng.choice("aabbst1$!0. x" if not joined else "aabst1$") for _ in range(rng.randrange(1, 7 if not joined else 6))).strip() or "a"
+        readings = list(all_readings(token, model, joined))
+        best = max(score for _, score in readings)
+        got = T.viterbi(token, model, joined)
+        assert max(score for out, score in readings if out.split() == got.split()) == pytest.approx(best, abs=1e-4), token
+
+
+def test_words_parted_by_a_space_are_joined_where_that_reads_better(spark):
+    model = lm(spark, ["what a stupid idiot you are, pathetic and worthless, the idiot said stupid things to the loser and a man"] * 40 + [prose(50, 1)])
+    parts = T.split_words(["stupid", "idiot", "aman"])
+    assert T.joined_pairs("you st upid idi ot!", parts, model) == {"stupid", "idiot"}
+    assert T.joined_pairs("he is a man", parts, model) == set()
+
+
+def test_held_out_rows_of_the_real_labels(spark, sf_dir):
+    from kinelake.llm.shared import table
+
+    labels = table(spark, sf_dir, "labels").toPandas()
+    both = T.query(spark, sf_dir).toPandas().merge(labels, on="doc_id")
+    held = both[both["held_out"] & both["toxic"].isin([0, 1])]
+    assert len(held) and (held["predicted"] == held["toxic"]).mean() > 0.9
+
+
+def test_a_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    from kinelake.llm import labels as L
+
+    corpus = docs(spark, [(i % 50, "x" * 1000) for i in range(2000)] + [(60, "y" * 40_000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, toxic int")
+    got = L.labelled_sample(corpus, labels, "toxic", 5, lambda r: r >= 0, rows=30).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) <= 30 and len(got) > 10
+    monkeypatch.setattr(L, "FIT_BYTES", 9_500)
+    small = L.labelled_sample(corpus, labels, "toxic", 5, lambda r: r >= 0, rows=30).collect()
+    assert 1 <= len(small) <= 9 and {r["doc_id"] for r in small} < {r["doc_id"] for r in got}
+
+
+def plain_slots(text):
+    """Slots of a text's n-grams, one n-gram at a time."""
+    raw, out = text.encode(), set()
+    for k in (2, 3, 4):
+        for i in range(len(raw) - k + 1):
+            h = k
+            for b in raw[i : i + k]:
+                h = (h << 8 | b) & (1 << 64) - 1
+            out.add(int(Q._slot(Q.mix(np.array([h], np.uint64)))[0]))
+    one = [word_hash(w) for w in words(text)]
+    out |= {int(Q._slot(Q.mix(np.array([h], np.uint64) + np.uint64(1)))[0]) for h in one}
+    out |= {int(Q._slot(Q.mix(np.array([a], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(b)))[0]) for a, b in zip(one, one[1:], strict=False)}
+    longest = max([len(list(g)) for _, g in itertools.groupby(words(text))], default=0)
+    return out | {int(Q._slot(Q.mix(np.array([n + 7], np.uint64)))[0]) for n in Q.RUN_LENGTHS if longest >= n}
+
+
+def word_hash(word):
+    return int(doc_words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0][0])
+
+
+def test_ratios_and_scores_are_the_plainly_computed_ones(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng.randrange(5, 25), i, 60) + (" buy buy now" if i % 3 == 0 else " and so on é"), int(i % 3 > 0)) for i in range(60)]
+    model = Q.QualityModel.fit(sample(spark, rows))
+    having = {}
+    for _, text, label in rows:
+        for s in plain_slots(text):
+            having.setdefault(s, [0, 0])[label] += 1
+    n = [sum(y == c for *_, y in rows) for c in (0, 1)]
+    ratio = {s: np.float32(np.log(((p + 1) / (n[1] + 2)) / ((q + 1) / (n[0] + 2)))) for s, (q, p) in having.items() if p + q >= Q.LEAST_DOCS}
+    assert {s for s in np.flatnonzero(model.ratio).tolist()} == {s for s, r in ratio.items() if r}
+    assert all(model.ratio[s] == pytest.approx(r, abs=1e-6) for s, r in ratio.items())
+    fresh = [(100 + i, prose(15, 900 + i, 60) + (" buy buy" if i % 2 else "")) for i in range(10)] + [(200, "")]
+    got = {r["doc_id"]: r["score"] for r in model.score(docs(spark, fresh)).collect()}
+    for doc, text in fresh:
+        own = {s: float(ratio[s]) for s in plain_slots(text) if s in ratio}
+        length = np.sqrt(sum(r * r for r in own.values())) or 1.0
+        margin = sum(r * float(model.weights[s]) for s, r in own.items()) / length + model.bias
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), abs=1e-9)
