@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import bpe, pretoken
 from kinelake.llm.bpe import WordBpe, encode_texts, token_digests, vocabulary_path
-from kinelake.llm.token_shards import WaveletMatrix, encode_batch, read_shards, write_shards
+from kinelake.llm.token_shards import WaveletMatrix, count_tokens, encode_batch, locate_tokens, read_shards, to_files, write_shards
 
 from .helpers import awkward, docs, prose
 
@@ -131,3 +131,37 @@ def test_kept_columns_may_have_any_name(spark):
     out = encode_texts(df, keep=("doc_id", "ids", "decoded", "text_of"))
     assert out.columns == ["doc_id", "ids", "decoded", "text_of", "ids_1", "decoded_1"] and out.count() == 2
     assert token_digests(df, keep=("doc_id", "n_tokens")).columns == ["doc_id", "n_tokens", "n_tokens_1", "ids_sha256", "decoded_sha256"]
+
+
+def test_files_count_locate_and_hold_their_documents(spark, library, tmp_path):
+    rows = [(i, f"{prose(60, i)} stop {prose(i % 40, i + 500)} ## stop") for i in range(80)] + [(None, "stop ##"), (7, ""), (7, None)]
+    shards = write_shards(docs(spark, rows), shard_tokens=1500)
+    stop = library.encode("stop", add_special_tokens=False).ids[0]
+    truth = {2: [], stop: [], 49000: []}
+    for doc, text in rows:
+        for place, t in enumerate([*library.encode(text or "", add_special_tokens=False).ids, 2]):
+            if t in truth:
+                truth[t].append((doc, place))
+    assert {r["token"]: r["n"] for r in count_tokens(shards, list(truth)).collect()} == {t: len(v) for t, v in truth.items()}
+    found = {t: [] for t in truth}
+    for r in locate_tokens(shards, list(truth)).collect():
+        found[r["token"]].append((r["doc_id"], r["place"]))
+    assert all(sorted(found[t], key=repr) == sorted(truth[t], key=repr) for t in truth)
+    written = to_files(shards, f"file://{tmp_path}/out").collect()
+    assert len(written) == shards.count() > 2
+    docs_back = []
+    for r in sorted(written, key=lambda r: r["path"]):
+        with open(r["path"], "rb") as f:
+            data = f.read()
+        shard = WaveletMatrix(data)
+        ids, lengths = shard.documents()
+        docs_back += ids
+        assert len(data) == r["n_bytes"] and lengths.sum() == shard.n and len(ids) == len(lengths)
+    assert docs_back == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+
+
+def test_files_are_smaller_than_plain_ids():
+    rng = np.random.default_rng(9)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 49_000).astype(np.uint32)
+    data = WaveletMatrix.build(ids, 16, [len(ids)], [1])
+    assert len(data) < 1.6 * len(ids) and WaveletMatrix(data).all().tolist() == ids.tolist()
