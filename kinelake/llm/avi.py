@@ -12,10 +12,12 @@ Entropy coding and decoding run in lockstep over all frames of an Arrow batch:
 step i handles the i-th sample of every frame with a handful of array
 operations, so there is no Python loop over samples.
 
-Only flat blocks are decoded; a frame with other coefficients is refused.
+Files of other make are decoded frame by frame (``jpeg``: baseline, grey or colour,
+any tables); their samples are the luma of all pixels. A file that can't be read is
+a row with the reason and ends no job.
 
 Defined cases: null text counts as empty, and an empty payload is one frame of
-spaces; equal texts give equal files; a payload of one frame is one shot;
+spaces; a very long text is one long film; equal texts give equal files; a payload of one frame is one shot;
 repeated rows give equal rows; an empty table gives an empty result; null
 identifiers are carried and other columns ignored.
 """
@@ -32,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jpeg import canonical_codes as _codes
+from .jpeg import huffman_tables, luma
 from .shared import small_batches, table, utf8
 
 ACROSS, DOWN = 16, 12
@@ -48,17 +52,6 @@ _AC_BITS = (1,) + (0,) * 15
 _AC_VALUES = (0,)
 
 
-def _codes(bits, values) -> dict[int, tuple[int, int]]:
-    """symbol -> (code, length), by the canonical rule of the format."""
-    out, code, i = {}, 0, 0
-    for length, n in enumerate(bits, 1):
-        for _ in range(n):
-            out[values[i]] = (code, length)
-            code, i = code + 1, i + 1
-        code <<= 1
-    return out
-
-
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -151,10 +144,28 @@ def read_index(file: bytes) -> tuple[list[tuple[int, int]], int]:
             if movi is None:
                 raise ValueError("index before frames")
             for kind, _, offset, length in struct.iter_unpack("<4sIII", file[at + 8 : at + 8 + size]):
-                if kind == b"00dc":
-                    frames.append((movi + offset + 8, length))
+                if kind[2:] in (b"dc", b"db"):
+                    # Offsets count from the word movi, or, in some files, from the beginning.
+                    base = movi if file[movi + offset : movi + offset + 4] == kind else 0
+                    if file[base + offset : base + offset + 4] != kind:
+                        raise ValueError("an index that points at no frame")
+                    frames.append((base + offset + 8, length))
         at += 8 + size + (size & 1)
-    return frames, micros
+    if movi is None:
+        raise ValueError("no frames")
+    return frames or walked(file, movi), micros
+
+
+def walked(file: bytes, movi: int) -> list[tuple[int, int]]:
+    """(offset, size) of the frames of a file without an index, by their chunks."""
+    out, at = [], movi + 4
+    end = min(len(file), movi + struct.unpack_from("<I", file, movi - 4)[0])
+    while at + 8 <= end:
+        name, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
+        if name[2:] in (b"dc", b"db"):
+            out.append((at + 8, size))
+        at += 12 if name == b"LIST" else 8 + size + (size & 1)
+    return out
 
 
 @cache
@@ -172,11 +183,7 @@ def _decoder(head: bytes) -> tuple[np.ndarray, np.ndarray, int]:
                 raise ValueError("only grey 8-bit frames are decoded")
             shape = -(-high // 8) * -(-wide // 8)
         elif marker == 0xC4:
-            i = 0
-            while i < len(body):
-                n = sum(body[i + 1 : i + 17])
-                tables[body[i]] = _codes(body[i + 1 : i + 17], body[i + 17 : i + 17 + n])
-                i += 17 + n
+            tables |= huffman_tables(body)
         at += 2 + size
     if quant != 8 or shape is None:
         raise ValueError("only frames with DC steps of 8 are decoded")
@@ -270,40 +277,72 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.mapInArrow(task, "doc_id long, n_bytes long, media binary")
 
 
-def _read(files: list[bytes]) -> list[tuple[np.ndarray, int]]:
-    """(samples by frame, microseconds a frame) of each file, decoded together."""
-    parts, spans, micros = [], [], []
+def _foreign(parts: list[bytes]) -> np.ndarray:
+    """Samples of frames of any make, each decoded by itself; frames without bytes repeat the one before."""
+    planes: list[np.ndarray] = []
+    for f in parts:
+        planes.append(planes[-1] if not f and planes else luma(f).ravel())
+    if len({len(x) for x in planes}) > 1:
+        raise ValueError("frames of one file differ in size")
+    return np.stack(planes)
+
+
+def _read(files: list[bytes | None]) -> list[tuple[np.ndarray | None, int, str | None]]:
+    """(samples by frame, microseconds a frame, why there are none) of each file; frames as ``encode_frames`` writes them are decoded together."""
+    out: list[tuple[np.ndarray | None, int, str | None]] = []
+    own, parts = [], []
     for f in files:
-        index, m = read_index(f)
-        parts += [f[o : o + n] for o, n in index]
-        spans.append(len(index))
-        micros.append(m)
-    samples = decode_frames(parts)
-    ends = np.cumsum(spans).tolist()
-    return [(samples[e - n : e], m) for e, n, m in zip(ends, spans, micros, strict=True)]
+        try:
+            index, micros = read_index(f or b"")
+            frames = [f[o : o + n] for o, n in index]
+            if not frames:
+                raise ValueError("no frames")
+            if all(x.startswith(_frame_head()) for x in frames):
+                own.append((len(out), len(frames)))
+                parts += frames
+                out.append((None, micros, None))
+            else:
+                out.append((_foreign(frames), micros, None))
+        except (ValueError, struct.error, IndexError) as e:
+            out.append((None, 0, str(e) or type(e).__name__))
+    if own:
+        try:
+            samples = decode_frames(parts)
+        except ValueError:  # one of them is damaged: each by itself
+            samples = None
+        at = 0
+        for i, n in own:
+            try:
+                out[i] = (samples[at : at + n] if samples is not None else decode_frames(parts[at : at + n]), out[i][1], None)
+            except ValueError as e:
+                out[i] = (None, 0, str(e))
+            at += n
+    return out
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows: doc_id, clip_no, first_frame, frames, start_sec, end_sec, mean_level."""
+    """Timed clip rows: doc_id, clip_no, first_frame, frames, start_sec, end_sec, mean_level, problem (a file that can't be read is one row with the reason alone)."""
 
     def task(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, (samples, micros) in zip(batch.column(0).to_pylist(), _read(batch.column(1).to_pylist()), strict=True):
+            rows: list[tuple] = []
+            for doc, (samples, micros, problem) in zip(batch.column(0).to_pylist(), _read(batch.column(1).to_pylist()), strict=True):
+                if samples is None:
+                    rows.append((doc, *[None] * 6, problem))
+                    continue
                 edges = [0, *cuts(samples), len(samples)]
-                for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    for col, v in zip(cols, (doc, i, a, b - a, a * micros / 1e6, b * micros / 1e6, float(samples[a:b].mean())), strict=True):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "clip_no", "first_frame", "frames", "start_sec", "end_sec", "mean_level"])
+                rows += [(doc, i, a, b - a, a * micros / 1e6, b * micros / 1e6, float(samples[a:b].mean()), None) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+            kinds = (*[pa.int64()] * 4, *[pa.float64()] * 3, pa.string())
+            names = ["doc_id", "clip_no", "first_frame", "frames", "start_sec", "end_sec", "mean_level", "problem"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return media.select("doc_id", "media").mapInArrow(task, "doc_id long, clip_no long, first_frame long, frames long, start_sec double, end_sec double, mean_level double")
+    return media.select("doc_id", "media").mapInArrow(task, "doc_id long, clip_no long, first_frame long, frames long, start_sec double, end_sec double, mean_level double, problem string")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """One row a file with what its stored bytes give back: payload digests and the shots."""
+    """One row a file with what its stored bytes give back: payload digests and the shots (nulls and the reason for a file that can't be read)."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64() if c.endswith("long") else pa.string() for c in schema.split(", ")]
@@ -314,7 +353,11 @@ def features(media: DataFrame) -> DataFrame:
                 continue
             cols: list[list] = [[] for _ in names]
             files = batch.column(2).to_pylist()
-            for doc, n, file, (samples, _) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), files, _read(files), strict=True):
+            for doc, n, file, (samples, _, problem) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), files, _read(files), strict=True):
+                if samples is None:
+                    for col, v in zip(cols, (doc, n, None, None, None, None if file is None else len(file), None if file is None else hashlib.sha256(file).hexdigest(), f"unreadable: {problem}"), strict=True):
+                        col.append(v)
+                    continue
                 payload = samples.tobytes()
                 found = cuts(samples)
                 feature = f"frames={len(samples)};shots={len(found) + 1};cuts={','.join(map(str, found))};level={int(samples.sum(dtype=np.int64)) // samples.size}"
