@@ -24,6 +24,7 @@ from kinelake.llm.minhash import keep_one
 from kinelake.llm.mixing import mix_sources
 from kinelake.llm.shared import shared_dir, table
 from kinelake.llm.toxicity import drop_toxic
+from kinelake.tables import remove, scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +55,16 @@ ORACLE_SQL = None  # a fitted classifier and merges by rank have no SQL form; te
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, read from its table. What a stage wrote on its way goes once its own table is written, and that once the next one is."""
     docs = table(spark, sf_dir, "documents")
     place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{place}/{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{place}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{place}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{place}/{name}"
     return docs

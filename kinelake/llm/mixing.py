@@ -10,8 +10,9 @@ document never need each other.
 
 Defined cases: a null source is a source of its own; a source without a target
 weight (where weights are given) or with weight 0 or less contributes nothing;
-a null identifier or text is allowed (null identifiers share one uniform
-number); repeated rows share their count; an empty table gives an empty result; a name
+a null text is allowed and a null identifier, too, whose row goes by its text
+instead; empty and very long texts are rows like any other; repeated rows share
+their count; an empty table gives an empty result; a name
 that ``docs`` has already is never reused: ``copy_no``, ``n_copies`` and
 ``shuffle_key`` become ``copy_no_1`` and so on.
 """
@@ -23,10 +24,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import free_name, table
+from .shared import free_name, materialise, table
 
-#: Above so many sources the rates are joined by a shuffle instead of a broadcast.
-BROADCAST_SOURCES = 20_000
+#: Above so many numbers (8 MB) in all sources' distributions they are joined by a shuffle instead of a broadcast.
+BROADCAST_NUMBERS = 1_000_000
 SEED = 17
 #: Above this rate a source's distribution begins near its mean instead of at 0.
 DIRECT_RATE = 500.0
@@ -85,16 +86,17 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, te
     return known.select("mix_source", F.when(F.col("rate") <= max_rate, F.col("rate")).otherwise(F.raise_error(F.lit("a rate is above max_rate"))).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = SEED, max_rate: float = 500.0) -> DataFrame:
+def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = SEED, max_rate: float = 500.0) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, globally shuffled, plus copy_no, n_copies and shuffle_key."""
     own = docs.columns
     origin, table_name, n, no, place = (free_name(x, own) for x in ("mix_source", "mix_cdf", "n_copies", "copy_no", "shuffle_key"))
     known = rates(docs, source_col, weights, temperature, max_rate)
-    known = known.select(F.col("mix_source").alias(origin), poisson_cdf(F.col("rate")).alias(table_name))
-    if known.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    known = materialise(known.select(F.col("mix_source").alias(origin), poisson_cdf(F.col("rate")).alias(table_name)), "mix-rates")
+    if (known.agg(F.sum(F.size(f"{table_name}.cdf") + 8)).first()[0] or 0) <= BROADCAST_NUMBERS:
         known = F.broadcast(known)
     rows = docs.join(known, F.col(source_col).cast("string").eqNullSafe(F.col(origin)))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if text_col in own else F.lit("")
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.md5(text)))
     u = uniform(name, seed)
     rows = rows.withColumn(n, F.col(table_name)["low"] + F.size(F.filter(F.col(table_name)["cdf"], lambda c: c <= u))).where(F.col(n) > 0)
     copies = rows.withColumn(no, F.explode(F.sequence(F.lit(1), F.col(n))))
@@ -122,7 +124,7 @@ WITH c AS (
     SELECT source, rate, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM s WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
   ) SELECT * FROM s
 ), u AS (
-  SELECT *, CAST(('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents
+  SELECT *, CAST(('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, '')))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents
 ), n AS (
   SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, CAST(count(*) AS INTEGER) AS n_copies
   FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source AND f.cum <= u.u
@@ -130,5 +132,5 @@ WITH c AS (
 ), e AS (
   SELECT *, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy_no FROM n
 )
-SELECT *, md5('place {SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy_no) AS shuffle_key FROM e
+SELECT *, md5('place {SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, ''))) || '|' || copy_no) AS shuffle_key FROM e
 """
