@@ -95,7 +95,7 @@ def ladder() -> tuple[Column, Column]:
 
 
 _NUMBERS = ("nan_fraction", "nan_trailing_run", "nan_run_max", "repeat_fraction", "unique_value_ratio", "max_repeat_run", "effective_unique_rate_hz", "cross_node_offset_ms", "angle_deg", "threshold_deg", "estimated_alignment")
-_EVIDENCE = {
+EVIDENCE = {
     "dropout": ("nan_fraction", "nan_trailing_run"),
     "packet_loss": ("nan_fraction", "nan_run_max", "nan_trailing_run"),
     "rate_degradation": ("nan_fraction", "repeat_fraction", "unique_value_ratio", "max_repeat_run", "effective_unique_rate_hz"),
@@ -109,7 +109,7 @@ def evidence(dx: Column) -> Column:
     """The numbers that the rule looked at, as a map."""
     every = F.map_from_arrays(F.array(*[F.lit(n) for n in _NUMBERS]), F.array(*[F.col(n).cast("double") for n in _NUMBERS]))
     wanted = F.array().cast("array<string>")
-    for name, keys in _EVIDENCE.items():
+    for name, keys in EVIDENCE.items():
         wanted = F.when(dx == name, F.array(*[F.lit(k) for k in keys])).otherwise(wanted)
     return F.map_filter(every, lambda k, v: F.array_contains(wanted, k) & v.isNotNull())
 

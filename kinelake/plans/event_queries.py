@@ -760,3 +760,81 @@ SELECT event_id, event_type, pick::INTEGER AS pick FROM (SELECT event_id, event_
 def middle_of_run_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
     return Sa.middle_of_run(events, 12, ["click", "error", "purchase", "signup", "view"], label="event_type", order=("ts", "event_id")).select("event_id", "event_type", "pick")
+
+
+# --- what the ladder saw, silent nodes, faults on faults, headroom -------------------------------
+
+_SEEN = " UNION ALL ".join(f"SELECT '{dx}' AS diagnosis, unnest({list(names)}) AS name" for dx, names in D.EVIDENCE.items())
+
+
+@query(
+    "evidence_of_verdicts",
+    sql_with(
+        seen=_SEEN,
+        every="""
+  SELECT v.*, s.name, CASE s.name WHEN 'nan_fraction' THEN nan_fraction WHEN 'nan_trailing_run' THEN nan_trailing_run WHEN 'nan_run_max' THEN nan_run_max WHEN 'repeat_fraction' THEN repeat_fraction
+    WHEN 'unique_value_ratio' THEN unique_value_ratio WHEN 'max_repeat_run' THEN max_repeat_run WHEN 'effective_unique_rate_hz' THEN effective_unique_rate_hz WHEN 'cross_node_offset_ms' THEN cross_node_offset_ms
+    WHEN 'angle_deg' THEN angle_deg WHEN 'threshold_deg' THEN threshold_deg WHEN 'estimated_alignment' THEN CASE WHEN there THEN alignment END END AS value
+  FROM verdicts v JOIN seen s ON s.diagnosis = v.diagnosis""",
+        last=f"SELECT {KEYS}, node, diagnosis, name, {r6('value')} FROM every WHERE value IS NOT NULL",
+    ),
+)
+def evidence_of_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = event_verdicts(spark, sf_dir).select(*NODE_KEY, "diagnosis", F.explode("evidence").alias("name", "value"))
+    return rounded(seen)
+
+
+_SHORT_WINDOWS = STEPS["windows"].replace(str(WIDTH), str(SHORT)).replace(str(WIDTH / 2), str(SHORT / 2))
+
+
+@query(
+    "silent_nodes",
+    sql_with(
+        steps={"windows": _SHORT_WINDOWS},
+        expected=f"SELECT DISTINCT {KEYS}, unnest(['wrist', 'chest', 'ankle']) AS node FROM frames",
+        last=f"SELECT e.dataset, e.subject, e.seg, e.win, e.node, coalesce(n_frames, 0) AS n_frames, NEAR(coalesce(completeness, 0.0), 6) AS completeness, NEAR(temporal, 6) AS temporal FROM expected e LEFT JOIN scored s ON s.dataset = e.dataset AND s.subject = e.subject AND s.seg = e.seg AND s.win = e.win AND s.node = e.node",
+    ),
+)
+def silent_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three nodes are expected in every short window; those that sent nothing have a row."""
+    rows = segmented(spark, sf_dir)
+    frames = written(G.frames(rows, G.sliding_windows(rows, SHORT), CELL, least=5), "short-frames")
+    expected = frames.select(*WINDOW_KEY).distinct().withColumn("node", F.explode(F.array(*[F.lit(n) for n in ("wrist", "chest", "ankle")])))
+    return rounded(Si.with_silent_nodes(Si.window_signals(blind(frames), per_second=DAY_US), expected).select(*NODE_KEY, "n_frames", "completeness", "temporal"))
+
+
+@query(
+    "injection_stack",
+    sql_with(
+        last=f"""SELECT {KEYS}, count(*) AS n_frames, sum((isnan(ax) OR t >= "start" + 0.75 * ("end" - "start") - 1e-12)::INT)::BIGINT AS n_blanked, min(t) + {0.2 * DAY_US} AS first_t, 'dropout:sev1,clock_desync:sev2,displacement:sev4' AS stack FROM ({_TARGET}) GROUP BY {KEYS}"""
+    ),
+)
+def injection_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three faults on top of each other, and the tags of all in order."""
+    first, a = I.inject(written(event_frames(spark, sf_dir), "stack-frames"), "dropout", 1, TARGET)
+    second, b = I.inject(first, I.ClockDesync(per_second=DAY_US), 2, TARGET)
+    third, c = I.inject(second, "displacement", 4, TARGET)
+    per = third.where(F.col("node") == TARGET).groupBy(*WINDOW_KEY).agg(F.count(F.lit(1)).alias("n_frames"), F.sum(F.isnan("ax").cast("long")).alias("n_blanked"), F.min("t").alias("first_t"))
+    return per.join(I.stacked(a, b, c).select(*WINDOW_KEY, F.array_join("injection_stack", ",").alias("stack")), list(WINDOW_KEY))
+
+
+@query(
+    "headroom",
+    sql_with(
+        sides=f"""
+  SELECT node, {KEYS}, avg(CASE WHEN NOT isnan(ax) THEN ax END) AS a, avg(CASE WHEN NOT isnan(ax) AND t < "start" + 0.5 * ("end" - "start") - 1e-12 THEN ax END) AS b, min(CASE WHEN NOT isnan(az) THEN az END) AS p, min(CASE WHEN NOT isnan(az) AND t < "start" + 0.5 * ("end" - "start") - 1e-12 THEN az END) AS q FROM frames GROUP BY {KEYS}, node""",
+        moved=" UNION ALL ".join(f"SELECT node, '{m}' AS measure, {y} - {x} AS d FROM (SELECT node, round({x}, 9) AS {x}, round({y}, 9) AS {y} FROM sides) WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for m, x, y in (("max_p", "a", "b"), ("log_margin", "p", "q"))),
+        effects="SELECT node, measure, count(*) >= 3 AND stddev_pop(d) > 1e-12 AND coalesce(abs(avg(d) / nullif(stddev_pop(d), 0)) >= 0.5, false) AND greatest(count(*) FILTER (WHERE d > 0), count(*) FILTER (WHERE d < 0)) / count(*) >= 0.7 AS moves FROM moved GROUP BY node, measure",
+        last="SELECT node, CASE WHEN bool_or(moves) FILTER (WHERE measure = 'max_p') THEN 'max_p_usable' WHEN bool_or(moves) FILTER (WHERE measure = 'log_margin') THEN 'use_log_margin' ELSE 'no_headroom' END AS verdict FROM effects GROUP BY node",
+    ),
+)
+def headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a dropout moves either of two readouts (a mean and a minimum stand for them) consistently, a node."""
+    clean = event_frames(spark, sf_dir)
+    late = F.col("t") >= F.col("start") + 0.5 * (F.col("end") - F.col("start")) - 1e-12
+    readouts = [F.round(F.avg(known("ax")), 9).alias("max_p"), F.round(F.min(known("az")), 9).alias("log_margin")]
+    a = clean.groupBy(*NODE_KEY).agg(*readouts).withColumn("condition", F.lit("clean"))
+    b = clean.withColumns(I.blanked(late)).groupBy(*NODE_KEY).agg(*readouts).withColumn("condition", F.lit("dropout"))
+    rows = written(a.unionByName(b), "readouts")
+    moves = [X.paired_effect(rows, WINDOW_KEY, "condition", "clean", "dropout", m, keys=("node",)).select("node", F.col("moves").alias(f"{m}_moves")) for m in ("max_p", "log_margin")]
+    return moves[0].join(moves[1], "node").select("node", X.headroom_verdict(F.col("max_p_moves"), F.col("log_margin_moves")).alias("verdict"))
