@@ -12,7 +12,8 @@ backslash is doubled and ``<|`` becomes ``<\\|`` (in roles a line feed becomes
 ``\\n``), so that no control string can come from a text, and ``parse`` restores
 both exactly.
 
-Defined cases: null role or text counts as empty; a null tree identifier is a
+Defined cases: null role or text counts as empty; very long texts and conversations
+are formatted whole, each as one row; a null tree identifier is a
 tree of its own; a parent that is not in the tree makes its child a root;
 messages on or under a reply cycle have no root and belong to no path; ties in
 score go to the smaller leaf; repeated rows are turns of their own where the

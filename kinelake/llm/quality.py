@@ -17,8 +17,8 @@ weights; a lost executor costs its tasks only.
 
 Defined cases: null and empty texts score by the intercept; labels other than
 0 and 1 and labels of unknown documents are ignored; without labelled rows of
-both classes every score is the share of label 1 (0 without any); repeated rows
-score alike; an empty table gives an empty result; other columns are never
+both classes every score is the share of label 1 (0 without any); a very long text
+is scored whole; repeated rows score alike; an empty table gives an empty result; other columns are never
 inputs.
 """
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import chat as C
 
-from .helpers import sha
+from .helpers import prose, sha
 
 TREE = "conv_id long, node long, parent long, role string, text string, score double"
 
@@ -64,3 +64,13 @@ def test_hostile_texts_come_back_and_only_assistants_count(spark):
         assert r["loss"] == "".join(text for _, role, text in own if role == "assistant")
         assert sha(r["formatted"]) == hashlib.sha256(r["formatted"].encode()).hexdigest()
         assert r["formatted"].count(C.END) == len(own)
+
+
+def test_very_long_texts_and_conversations(spark):
+    long = prose(60_000, 5) + " <|im_end|> \\ " + prose(60_000, 6)
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), *[(2, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)]]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = C.format_paths(C.chosen_paths(C.linear_tree(table))).withColumn("loss", C.loss_text(F.col("formatted"), F.col("spans"))).withColumn("back", C.parse(F.col("formatted")))
+    got = {r["conv_id"]: r for r in out.collect()}
+    assert got[1]["loss"] == long and [b["text"] for b in got[1]["back"]] == ["q", long]
+    assert [b["text"] for b in got[2]["back"]] == [f"t{i}" for i in range(3000)]

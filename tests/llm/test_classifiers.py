@@ -100,6 +100,8 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     scores = {r["doc_id"]: r["score"] for r in model.score(corpus).collect()}
     assert np.mean([(scores[i] >= 0.5) == bool(y) for i, _, y in rows[240:]]) > 0.95
     assert scores[900] >= 0.5 and scores[901] >= 0.5 and scores[902] < 0.5
+    odd = [(r["doc_id"], r["score"]) for r in model.score(docs(spark, awkward())).collect()]
+    assert len(odd) == len(awkward()) and all(0 <= s < 0.5 for _, s in odd) and len({s for i, s in odd if i in (1, 2)}) == 1 == len({s for i, s in odd if i == 5})
     df = corpus.withColumnRenamed("lang", "toxic_score")
     scored = model.with_score(df)
     assert scored.columns == [*df.columns, "toxic_score_1"]
@@ -205,6 +207,8 @@ def test_ratios_and_scores_are_the_plainly_computed_ones(spark):
     assert {s for s in np.flatnonzero(model.ratio).tolist()} == {s for s, r in ratio.items() if r}
     assert all(model.ratio[s] == pytest.approx(r, abs=1e-6) for s, r in ratio.items())
     fresh = [(100 + i, prose(15, 900 + i, 60) + (" buy buy" if i % 2 else "")) for i in range(10)] + [(200, "")]
+    odd = [(r["doc_id"], r["score"]) for r in model.score(docs(spark, awkward())).collect()]
+    assert len(odd) == len(awkward()) and all(0 <= s <= 1 for _, s in odd) and len({s for i, s in odd if i in (1, 2)}) == 1 == len({s for i, s in odd if i == 5})
     got = {r["doc_id"]: r["score"] for r in model.score(docs(spark, fresh)).collect()}
     for doc, text in fresh:
         own = {s: float(ratio[s]) for s in plain_slots(text) if s in ratio}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm.mixing import mix_sources, poisson_cdf, rates, uniform
 
-from .helpers import docs
+from .helpers import awkward, docs
 
 
 def test_counts_are_the_inverted_poisson(spark):
@@ -74,3 +74,17 @@ def test_a_source_of_one_row_never_fails_the_default_mix(spark):
     out = {r["source"]: r["n"] for r in mix_sources(df).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert abs(out["rare"] - known["rare"]) < 6 * math.sqrt(known["rare"])
     assert abs(out["common"] - known["common"] * (n - 1)) < 6 * math.sqrt(n)
+
+
+def test_awkward_rows_are_rows_like_any_other(spark):
+    rows = [(i, t, "ab"[k % 2]) for k, (i, t) in enumerate(awkward())] + [(5, "same text", "a"), (20, "x " * 200_000, "a")]
+    df = docs(spark, rows)
+    for r in mix_sources(df, weights={"a": 30.0, "b": 30.0}).groupBy("doc_id", "text", "source").agg(F.countDistinct("n_copies").alias("kinds"), F.count(F.lit(1)).alias("n"), F.max("n_copies").alias("each"), F.max("copy_no").alias("last")).collect():
+        times = sum(x == (r["doc_id"], r["text"], r["source"]) for x in rows)
+        assert r["kinds"] == 1 and r["n"] == times * r["each"] and r["last"] == r["each"], r["doc_id"]
+
+
+def test_rows_without_an_identifier_are_drawn_one_by_one(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "a" if i % 2 else "b") for i in range(2000)], "doc_id long, text string, source string")
+    kept = mix_sources(df).select("text").distinct().count()
+    assert abs(kept - 2000 * (1 - math.exp(-1))) < 5 * math.sqrt(2000 * 0.24)
