@@ -476,9 +476,11 @@ def _passages(docs: DataFrame, doubles: frozenset, within: bool) -> DataFrame:
     seeds = materialise(docs.mapInArrow(_seeds(doubles, wanted), kinds).join(shared, "key"), "passage-seeds")
 
     def first_spot(sid: str, name: str) -> DataFrame:
-        return materialise(seeds.where(F.col("sid") == F.col(sid)).groupBy("key").agg(F.min("spot").alias(name)), "passage-hubs")
+        return seeds.where(F.col("sid") == F.col(sid)).groupBy("key").agg(F.min("spot").alias(name))
 
-    placed = seeds.join(first_spot("y", "ys"), "key").join(first_spot("z", "zs"), "key").where("sid <> y or spot <> ys")
+    # One join of written tables, which Spark may split where thousands of texts say a key.
+    spots = materialise(first_spot("y", "ys").join(first_spot("z", "zs"), "key"), "passage-hubs")
+    placed = seeds.join(spots, "key").where("sid <> y or spot <> ys")
     # Further places of the key in the hub's own text meet the key's last text, so that all of a run in it is covered too.
     own = F.col("sid") == F.col("y")
     x, xs, ys = F.when(own, F.col("z")).otherwise(F.col("sid")), F.when(own, F.col("zs")).otherwise(F.col("spot")), F.when(own, F.col("spot")).otherwise(F.col("ys"))
