@@ -46,6 +46,8 @@ _PIECE = 4096
 #: A piece is deflated if less than this share of its bits are ones, or zeros.
 _SKEWED = 0.25
 MEMO_WORDS = 1_200_000
+#: Shards whose starts (24 bytes each) are broadcast, at most.
+BROADCAST_SHARDS = 200_000
 
 
 class BitVector:
@@ -135,13 +137,14 @@ class WaveletMatrix:
         counts = np.bincount(ids) if n else np.zeros(0, np.int64)
         used = np.flatnonzero(counts)
         alphabet = used[np.argsort(-counts[used], kind="stable")]
-        code = np.zeros(len(counts), np.uint32)
-        code[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-        current = code[ids] if n else code
         planes = max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 0
+        kind = np.uint16 if planes <= 16 else np.uint32
+        code = np.zeros(len(counts), kind)
+        code[alphabet] = np.arange(len(alphabet), dtype=kind)
+        current = code[ids] if n else code
         body = []
         for level in reversed(range(planes)):
-            bit = (current >> np.uint32(level) & np.uint32(1)).astype(bool)
+            bit = (current & kind(1 << level)).astype(bool)
             body.append(BitVector.build(bit))
             current = np.concatenate([current[~bit], current[bit]])
         ends = np.zeros(n, bool)
@@ -316,7 +319,10 @@ def with_starts(shards: DataFrame) -> DataFrame:
     offsets = spark.createDataFrame(starts, "part int, part_start long")
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("seq")) - F.col("n")
     placed = heads.withColumn("inside", inside).join(F.broadcast(offsets), "part")  # a row a partition
-    return shards.join(placed.select("part", "seq", (F.col("part_start") + F.col("inside")).alias("shard_start")), ["part", "seq"])
+    placed = placed.select("part", "seq", (F.col("part_start") + F.col("inside")).alias("shard_start"))
+    if heads.count() <= BROADCAST_SHARDS:  # else the files are shuffled to their starts
+        placed = F.broadcast(placed)
+    return shards.join(placed, ["part", "seq"])
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
