@@ -7,26 +7,47 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 
 from .textvec import point_hashes
 
-# The tokenizer file's pattern and special strings, and Unicode's White_Space characters.
+# The tokenizer file's pattern and special strings.
 SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-_WHITE = "\t-\r \x85\xa0  -     　"
+_PATTERN = rf"{_CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
 
-_ANY = regex.compile(rf"{_CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
 # Below U+0250 the same classes are short lists of ranges, which the standard library matches several times faster.
+_WHITE = "\t-\r \x85\xa0"
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _LATIN = re.compile(rf"[{_LETTER}]+|{_CONTRACTIONS}|[{_NUMBER}]|[^{_WHITE}{_LETTER}{_NUMBER}]+")
 _BEYOND = re.compile("[^\x00-\u024f]")
 _SPLIT = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
+#: White space in every Unicode version; nothing composes, folds or matches across it.
+_GAP = re.compile("[\t-\r ]+")
+_MEMO_CHUNKS, _MEMO_LETTERS = 250_000, 40
+
+
+@cache
+def _library():
+    """(normaliser, splitter) of the tokenizers library: which code points are letters, numbers or white space, and what
+    composes or folds to what, is a matter of its Unicode version, which is not Python's."""
+    from tokenizers import Regex
+    from tokenizers import normalizers as N
+    from tokenizers.pre_tokenizers import Split
+
+    return N.Sequence([N.NFC(), N.Replace(Regex(r"\s+"), " "), N.Lowercase()]), Split(Regex(_PATTERN), "removed", invert=True)
+
+
+def _chunk_words(chunk: str) -> tuple[str, ...]:
+    normaliser, splitter = _library()
+    return tuple(w for w, _ in splitter.pre_tokenize_str(normaliser.normalize_str(chunk)))
+
+
+_known_words = lru_cache(_MEMO_CHUNKS)(_chunk_words)
 
 
 def _plain(text: str) -> list[str]:
@@ -34,8 +55,11 @@ def _plain(text: str) -> list[str]:
         low = text.lower()
         if low.isascii() or not _BEYOND.search(low):
             return _LATIN.findall(low)
-    # str.lower() writes a final sigma by context, the tokenizer by character.
-    return _ANY.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    out: list[str] = []
+    for chunk in _GAP.split(text):
+        if chunk:
+            out += (_known_words if len(chunk) <= _MEMO_LETTERS else _chunk_words)(chunk)
+    return out
 
 
 def words(text: str) -> list[str]:

@@ -223,9 +223,10 @@ def _library(path: str | None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         made = Tokenizer.from_file(where)
+        made.normalizer = normalizers.Sequence([])  # words come normalised, and twice is not always once
         made.no_truncation()
         made.no_padding()
         size = made.get_vocab_size()
