@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "chat", "substring", "bpe", "exact_dedup", "minhash", "token_shards", "avi", "mixing", "toxicity", "runs", "packing")
+MODULES = ("quality", "chat", "substring", "bpe", "exact_dedup", "minhash", "token_shards", "avi", "mixing", "toxicity", "search", "runs", "packing")
 
 
 def queries() -> dict:
