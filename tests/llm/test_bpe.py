@@ -46,6 +46,31 @@ def test_batches_are_the_librarys(library):
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_code_point_is_read_as_the_library_reads_it(library):
+    """Alone between letters, doubled, and after an apostrophe; words and ids of both operators."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}a {c}{c} '{c} " for c in points[i : i + 40]) for i in range(0, 0x3400, 40)]
+    texts += ["".join(f"{c} " for c in points[i : i + 4000]) for i in range(0x3400, len(points), 4000)]
+    model = WordBpe.load(None)
+    for i in range(0, len(texts), 200):
+        some = texts[i : i + 200]
+        expected = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert [x.tolist() for x in encode_batch(some)] == expected
+        assert [np.frombuffer(raw, "<u4").tolist() for raw, _ in model.encode_batch(some)] == expected
+
+
+def test_mixed_texts_of_all_scripts(library):
+    rng = random.Random(8)
+
+    def text():
+        return "".join(rng.choice([lambda: chr(rng.randrange(0x250, 0x3000)), lambda: chr(rng.choice([rng.randrange(0x3000, 0xD800), rng.randrange(0xE000, 0x30000)])), lambda: rng.choice([" ", "\n", "'s", "J\u030c", "\u0130", "\u03a3", "\x85", "<|endoftext|>"]), lambda: rng.choice("abcABC12.,!\xe9")])() for _ in range(rng.randrange(1, 30)))
+
+    texts = [text() for _ in range(6000)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encode_batch(texts)] == expected
+    assert [np.frombuffer(raw, "<u4").tolist() for raw, _ in WordBpe.load(None).encode_batch(texts)] == expected
+
+
 def test_batch_words_are_the_plain_ones():
     texts = TEXTS + [noisy(i) for i in range(600, 900)]
     points, starts, ends, _, first, last = pretoken.batch_words(texts)
