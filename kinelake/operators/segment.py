@@ -60,15 +60,16 @@ STARTS_AT_ONCE = 256
 def window_starts(t0: Column, t1: Column, length: float, step: float, slack: float = 1e-9) -> Column:
     """Starts from ``t0`` on, each the one before plus ``step`` (added up, not multiplied out), while a window fits before ``t1``.
 
-    Every STARTS_AT_ONCE-th start is found first, by adding alone; the starts in between are listed from each of those.
+    A segment with few windows lists them and no more. In a longer one every STARTS_AT_ONCE-th
+    start is found first, by adding alone; the starts in between are listed from each of those.
     """
     step_of = F.lit(float(step))
-    chunks = F.greatest(F.lit(0), F.floor((t1 - t0 - length) / step / STARTS_AT_ONCE).cast("int") + 1)
-    steps = F.sequence(F.lit(1), F.lit(STARTS_AT_ONCE))
-    after = F.aggregate(F.sequence(F.lit(1), F.greatest(chunks, F.lit(1))), F.array(t0), lambda acc, _: F.array_append(acc, F.aggregate(steps, F.element_at(acc, -1), lambda s, _: s + step_of)))
-    listed = F.transform(after, lambda first: F.aggregate(steps, F.array(first), lambda acc, _: F.array_append(acc, F.element_at(acc, -1) + step_of)))
-    # A chunk's list ends with the first start of the next.
-    starts = F.flatten(F.transform(listed, lambda some: F.slice(some, 1, STARTS_AT_ONCE)))
+    fit = F.greatest(F.lit(0), F.floor((t1 - t0 - length) / step).cast("int")) + 2  # one more than fit, for the slack
+    within = F.sequence(F.lit(2), F.least(F.lit(STARTS_AT_ONCE), fit))
+    whole = F.sequence(F.lit(1), F.lit(STARTS_AT_ONCE))
+    after = F.aggregate(F.sequence(F.lit(2), F.ceil(fit / STARTS_AT_ONCE).cast("int")), F.array(t0), lambda acc, _: F.array_append(acc, F.aggregate(whole, F.element_at(acc, -1), lambda s, _: s + step_of)))
+    chunks = F.when(fit > STARTS_AT_ONCE, after).otherwise(F.array(t0))
+    starts = F.flatten(F.transform(chunks, lambda first: F.aggregate(within, F.array(first), lambda acc, _: F.array_append(acc, F.element_at(acc, -1) + step_of))))
     return F.filter(starts, lambda s: s + length <= t1 + slack)
 
 

@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def held(path: str) -> str:
+    """``path``, which the open scratches delete in the end."""
+    for own in _HELD:
+        own.append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -35,9 +42,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     retried task and never a half-written table. The reader's schema is ``df``'s.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    for held in _HELD:
-        held.append(path)
+    path = held(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

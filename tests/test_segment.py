@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,27 @@ def test_starts_are_added_up(spark):
     assert any(a != i * 1.28 for i, a in enumerate(got))
 
 
+@pytest.mark.parametrize("end", [2.0, 2.56, 3.84, 5.0, 329.0, 330.24, 331.5, 657.92, 659.2, 5000.0])
+def test_starts_of_short_and_long_segments(spark, end):
+    start, expected = 0.5, []
+    while start + 2.56 <= 0.5 + end + 1e-9:
+        expected.append(start)
+        start += 1.28
+    assert spark.range(1).select(G.window_starts(F.lit(0.5), F.lit(0.5 + end), 2.56, 1.28).alias("s")).first()["s"] == expected
+
+
+def test_starts_are_quick_for_many_short_and_for_one_long_segment(spark):
+    def seconds(df):
+        began = time.perf_counter()
+        df.select(F.sum(F.size(G.window_starts(F.col("t0"), F.col("t1"), 2.56, 1.28))).alias("n")).collect()
+        return time.perf_counter() - began
+
+    short = spark.range(80_000, numPartitions=4).select(F.lit(0.0).alias("t0"), (2.56 + 1.28 * (F.col("id") % 9)).alias("t1"))
+    long = spark.range(1).select(F.lit(0.0).alias("t0"), F.lit(1.28 * 80_000).alias("t1"))
+    seconds(short)
+    assert min(seconds(short) for _ in range(3)) < 2 and min(seconds(long) for _ in range(3)) < 3
+
+
 def test_short_segments_and_thin_windows_are_left_out(spark):
     rows = [("s", i / 10, i, 1, "wrist", 1.0) for i in range(100)] + [("s", 100 + i / 10, 200 + i, 1, "wrist", 1.0) for i in range(5)]
     seg = G.segments(samples(spark, rows), 0.15, 3.0)
