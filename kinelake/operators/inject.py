@@ -13,13 +13,13 @@ import math
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import ACCEL, GYRO, MOUNT_AXIS, NAN, all_nan, along_axis, angle, any_nan, known, norm
 from ..session import ship
 from . import NODE_KEY, WINDOW_KEY
+from .hold import hold, sources
 
 # What each severity from 1 to 4 means.
 DROPPED_SHARE = (0.25, 0.50, 0.75, 1.0)
@@ -147,6 +147,56 @@ def burst_stats(rows: DataFrame, lost: Column, keys: Sequence[str] = WINDOW_KEY,
     return per.select(*keys, "loss_rate", F.when(F.col("n_bursts") > 0, F.col("n_lost") / F.col("n_bursts")).otherwise(0.0).alias("mean_burst"), "n_bursts")
 
 
+def chunked_loss(rows: DataFrame, loss: float, burst: float, u: Column, chunk: Column, keys: Sequence[str] = NODE_KEY, order: Sequence[str] = ("idx",), out: str = "lost") -> DataFrame:
+    """As ``bursty_loss`` for chains of any length: ``chunk`` rises with ``order``, and no task walks more than one chunk.
+
+    What a chunk does to the state is a map of two states: it sets it, turns it or keeps it. The maps
+    of a chain's chunks (a row each) are composed in order, which gives the state that each begins with.
+    """
+    p, r = transition_probabilities(loss, burst)
+    own = [*keys, "ge_chunk"]
+    rows = rows.withColumns({"ge_chunk": chunk, "ge_u": u})
+    w = Window.partitionBy(*own).orderBy(*order)
+    rows = rows.withColumn("ge_head", F.row_number().over(w) == 1)
+    # A chunk's first row is told apart: the chain's first row sets the state by itself.
+    resets = (F.col("ge_u") >= min(p, r)) & (F.col("ge_u") < max(p, r))
+    value, flips = F.lit(0 if p < r else 1), (F.col("ge_u") < min(p, r)).cast("int")
+    rows = rows.withColumns({"ge_reset": (~F.col("ge_head") & resets).cast("long"), "ge_flip": F.when(F.col("ge_head"), 0).otherwise(flips)})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("ge_run", F.sum("ge_reset").over(upto))
+    since = Window.partitionBy(*own, "ge_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("ge_turn", F.sum("ge_flip").over(since) % 2)
+    per = rows.groupBy(*own).agg(
+        F.max(F.when(F.col("ge_head"), F.col("ge_u"))).alias("u"),
+        F.max_by(F.struct("ge_run", "ge_turn"), F.struct(*order)).alias("last"),
+    )
+    chain = Window.partitionBy(*keys).orderBy("ge_chunk")
+    first = F.row_number().over(chain) == 1
+    head_resets, head_flips = (F.col("u") >= min(p, r)) & (F.col("u") < max(p, r)), (F.col("u") < min(p, r)).cast("int")
+    sets = first | (F.col("last.ge_run") > 0) | head_resets
+    set_to = F.when(F.col("last.ge_run") > 0, (value + F.col("last.ge_turn")) % 2).otherwise((F.when(first, (F.col("u") < loss).cast("int")).otherwise(value) + F.col("last.ge_turn")) % 2)
+    per = per.withColumns({"first": first, "sets": sets, "set_to": F.when(sets, set_to), "turns": F.when(sets, 0).otherwise((head_flips + F.col("last.ge_turn")) % 2)})
+    per = per.withColumn("run", F.sum(F.col("sets").cast("long")).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    since_set = Window.partitionBy(*keys, "run").orderBy("ge_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumn("ends", (F.first("set_to").over(since_set) + F.sum("turns").over(since_set)) % 2)
+    begins = F.when(F.col("first"), (F.col("u") < loss).cast("int")).when(head_resets, value).otherwise((F.lag("ends").over(chain) + head_flips) % 2)
+    per = per.select(*own, begins.alias("ge_begins"))
+    state = F.when(F.col("ge_run") > 0, (value + F.col("ge_turn")) % 2).otherwise((F.col("ge_begins") + F.col("ge_turn")) % 2)
+    return rows.join(per, own).withColumn(out, state).drop("ge_chunk", "ge_u", "ge_head", "ge_reset", "ge_flip", "ge_run", "ge_turn", "ge_begins")
+
+
+def chunked_burst_stats(rows: DataFrame, lost: Column, chunk: Column, keys: Sequence[str] = WINDOW_KEY, order: Sequence[str] = ("idx",)) -> DataFrame:
+    """As ``burst_stats``: bursts are counted in chunks, and one that goes on over a border counts once."""
+    own = [*keys, "ge_chunk"]
+    marked = rows.withColumns({"ge_chunk": chunk, "is_lost": lost.cast("int")})
+    before = F.lag("is_lost").over(Window.partitionBy(*own).orderBy(*order))
+    marked = marked.withColumn("begins", ((F.col("is_lost") == 1) & (F.coalesce(before, F.lit(0)) == 0)).cast("int"))
+    per = marked.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.sum("is_lost").alias("n_lost"), F.sum("begins").alias("n_begins"), F.min_by("is_lost", F.struct(*order)).alias("head"), F.max_by("is_lost", F.struct(*order)).alias("tail"))
+    goes_on = F.col("head") * F.coalesce(F.lag("tail").over(Window.partitionBy(*keys).orderBy("ge_chunk")), F.lit(0))
+    per = per.withColumn("n_begins", F.col("n_begins") - goes_on).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("n_lost").alias("n_lost"), F.sum("n_begins").cast("double").alias("n_bursts"))
+    return per.select(*keys, (F.col("n_lost") / F.col("n")).alias("loss_rate"), F.when(F.col("n_bursts") > 0, F.col("n_lost") / F.col("n_bursts")).otherwise(0.0).alias("mean_burst"), "n_bursts")
+
+
 class PacketLoss(Strategy):
     name = "packet_loss"
 
@@ -223,40 +273,12 @@ class RateDegradation(Strategy):
         return out.select(*target.columns)
 
     def realised(self, before, after, severity):
-        held = hold(before, self.period(severity))
-        per = held.groupBy(*WINDOW_KEY).agg(F.sum(F.col("fresh").cast("double")).alias("n_holds"), (F.max("t") - F.min("t")).alias("span"))
+        taken = sources(before, self.period(severity)).where("idx = source").groupBy(*WINDOW_KEY).agg(F.count(F.lit(1)).cast("double").alias("n_holds"))
+        per = before.groupBy(*WINDOW_KEY).agg((F.max("t") - F.min("t")).alias("span")).join(taken, list(WINDOW_KEY))
         hz = F.when(F.col("span") > 0, F.col("n_holds") * self.per_second / F.col("span")).otherwise(0.0)
         return per.select(*WINDOW_KEY, F.lit(self.rate_hz / DIVISOR[severity - 1]).alias("target_hz"), hz.alias("realised_hz"), "n_holds")
 
 
-def hold(frames: DataFrame, period: float) -> DataFrame:
-    """``frames`` with held_ax ... held_gz and ``fresh`` (the sample was taken over).
-
-    Whether a sample is fresh depends on when the last fresh one was: one pass over each
-    window in order, which holds one number, however long the window is.
-    """
-    ship(frames.sparkSession)
-
-    def task(batches):
-        key, last = None, 0.0
-        for batch in batches:
-            fresh = []
-            for own, t in zip(zip(*(batch.column(c).to_pylist() for c in NODE_KEY), strict=True), batch.column("t").to_pylist(), strict=True):
-                take = own != key or t - last >= period - 1e-12
-                if take:
-                    key, last = own, t
-                fresh.append(take)
-            yield batch.append_column("fresh", pa.array(fresh, pa.bool_()))
-
-    ordered = frames.repartition(*NODE_KEY).sortWithinPartitions(*NODE_KEY, "idx")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
-    rows = ordered.mapInArrow(task, f"{kinds}, fresh boolean")
-    upto = Window.partitionBy(*NODE_KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    taken = F.last(F.when(F.col("fresh"), F.struct(*ACCEL, *GYRO)), ignorenulls=True).over(upto)
-    rows = rows.withColumn("taken", taken)
-    return rows.withColumns({f"held_{c}": F.col(f"taken.{c}") for c in (*ACCEL, *GYRO)}).drop("taken")
-
-
 def rotated(names: Sequence[str], axis: int, theta_deg: float) -> dict[str, Column]:
     """The vector turned right-handedly by ``theta`` about a principal axis; NaN and NULL pass through."""
     c, s = math.cos(math.radians(theta_deg)), math.sin(math.radians(theta_deg))
@@ -390,6 +412,71 @@ def untouched(before: DataFrame, after: DataFrame, target_node: str) -> DataFram
     return a.exceptAll(b.select(*a.columns)).unionByName(b.select(*a.columns).exceptAll(a))
 
 
+def fingerprint(columns: Sequence[str] = ("idx", "t", *ACCEL, *GYRO)) -> Column:
+    """A 64-bit hash of a row that tells numbers, NaN and NULL apart."""
+    parts = []
+    for c in columns:
+        value = F.col(c).cast("double")
+        parts += [F.when(value.isNull(), 2).when(F.isnan(value), 1).otherwise(0), F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))]
+    return F.xxhash64(*parts)
+
+
+def window_sums(frames: DataFrame, target_node: str, keys: Sequence[str] = WINDOW_KEY) -> DataFrame:
+    """One row a window: the rows of the target and of the others as sums that don't depend on their order.
+
+    Two multisets of rows with one sum of fingerprints are alike, but for a chance of about one in 10^19.
+    """
+    target = F.col("node") == target_node
+    row = fingerprint()
+    hashed = F.col("hash").cast("decimal(20,0)")
+    nulls = sum((F.col(c).isNull().cast("long") for c in (*ACCEL, *GYRO)), F.lit(0))
+    named = F.xxhash64(F.lit("node"), "node")  # the others' rows are told apart by their node, too
+    rows = frames.withColumns({"target": target, "hash": F.when(target, row).otherwise(row.bitwiseXOR(named)), "vec": fingerprint(ACCEL)})
+    own = lambda c: F.when(F.col("target"), c)
+    return rows.groupBy(*keys).agg(
+        F.sum(F.when(~F.col("target"), hashed)).alias("others"),
+        F.sum(own(hashed)).alias("own"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(own(F.lit(1))).alias("n_own"),
+        F.sum(nulls).alias("n_null"),
+        F.sum(own(any_nan().cast("long"))).alias("n_nan"),
+        F.count_distinct(own(F.col("vec"))).alias("n_values"),
+        F.sum(own(F.col("t"))).alias("t_sum"),
+        *[F.sum(own(F.when(~all_nan(), F.col(c)))).alias(f"{c}_sum") for c in ACCEL],
+    )
+
+
+def invariants(before: DataFrame, after: DataFrame, per_second: float = 1.0, by: Sequence[str] = ("failure", "severity")) -> DataFrame:
+    """One row a failure and severity: what every injection must keep and do.
+
+    ``before`` and ``after`` are ``window_sums``; ``after`` has ``by``, too. n_windows; untouched: the others' rows are the
+    same in every window; n_made and n_nulls: rows and NULLs that came or went; n_nan: samples that became missing;
+    changed: the share of windows whose target rows differ; effect: lost samples, milliseconds, repeated
+    values or degrees, as the failure has it, a window; monotone: no less than the severity below.
+    """
+    sums = ("others", "own", "n_rows", "n_null", "n_nan", "n_values", "t_sum", *[f"{c}_sum" for c in ACCEL])
+    both = after.join(before.select(*WINDOW_KEY, *[F.col(c).alias(f"{c}_before") for c in sums]), list(WINDOW_KEY)).where(F.col("n_own") > 0)
+    was = lambda c: F.col(f"{c}_before")
+    turned = angle([was(f"{c}_sum") for c in ACCEL], [F.col(f"{c}_sum") for c in ACCEL])
+    effect = (
+        F.when(F.col("failure") == "clock_desync", (F.col("t_sum") - was("t_sum")) / F.col("n_own") * (1000.0 / per_second))
+        .when(F.col("failure") == "rate_degradation", (was("n_values") - F.col("n_values")).cast("double"))
+        .when(F.col("failure") == "displacement", F.nanvl(turned, F.lit(None)))
+        .otherwise((F.col("n_nan") - was("n_nan")).cast("double"))
+    )
+    per = both.withColumn("effect", effect).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        F.bool_and(F.col("others").eqNullSafe(was("others"))).alias("untouched"),
+        F.sum(F.col("n_rows") - was("n_rows")).alias("n_made"),
+        F.sum(F.col("n_null") - was("n_null")).alias("n_nulls"),
+        F.sum(F.col("n_nan") - was("n_nan")).alias("n_nan"),
+        F.avg((~F.col("own").eqNullSafe(was("own"))).cast("double")).alias("changed"),
+        F.avg("effect").alias("effect"),
+    )
+    below = F.lag("effect").over(Window.partitionBy("failure").orderBy("severity"))  # a row a severity
+    return per.withColumn("monotone", F.coalesce(F.col("effect") >= below - 1e-9, F.lit(True)))
+
+
 def missing_share(frames: DataFrame) -> DataFrame:
     """NODE_KEY and the share of missing samples."""
     return frames.groupBy(*NODE_KEY).agg(F.avg(any_nan().cast("double")).alias("nan_fraction"), F.count(known("ax")).alias("n_known"))

@@ -9,23 +9,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import MOUNT_AXIS, angle, norm, share
+from ..tables import written
 from .diagnose import detection_threshold
+from .sampling import numbered
 
 CLEAN_PREFIX, HORIZONS = 25, (1, 2, 5)
 
 
+def with_halo(rows: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` dealt by ranges (``of_range``) of (keys, order), and before each range, marked ``halo``, copies of the ``n`` rows of
+    the same key that come before it: from as many earlier ranges as it takes, where some are short.
+
+    A window function over ``keys`` and ``of_range`` that looks back at most ``n`` rows gives for the rows that
+    are no halo what one over ``keys`` gives; no key is sorted in one task. ``order`` must be total.
+    """
+    dealt = written(rows.repartitionByRange(*keys, *order).withColumn("of_range", F.spark_partition_id()), "ranges")
+    late = F.row_number().over(Window.partitionBy(*keys, "of_range").orderBy(*[F.desc(o) for o in order]))
+    row = F.struct(*order, *[c for c in rows.columns if c not in (*keys, *order)])
+    tails = dealt.withColumn("late", late).where(F.col("late") <= n).groupBy(*keys, "of_range").agg(F.sort_array(F.collect_list(F.struct((-F.col("late")).alias("place"), row.alias("row")))).alias("tail"))
+    # Each range that is there has a row at least, so n of them have n rows.
+    before = F.flatten(F.collect_list("tail").over(Window.partitionBy(*keys).orderBy("of_range").rowsBetween(-n, -1)))
+    halo = tails.withColumn("before", before).select(*keys, "of_range", F.explode(F.slice("before", F.greatest(F.lit(1), F.size("before") - n + 1), n)).alias("b"))
+    copies = halo.select(*keys, "of_range", "b.row.*").withColumn("halo", F.lit(True))
+    return dealt.withColumn("halo", F.lit(False)).unionByName(copies)
+
+
 def rolling_delta(rows: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], vector: Sequence[str] = ("gx", "gy", "gz"), out: str = "delta_deg") -> DataFrame:
     """``rows`` with the angle to the mean of the ``n`` non-null vectors before; NULL until there are ``n``, and for a null vector.
 
     Vectors that are null are set aside first, so that they neither fill nor age the baseline.
     """
     there = F.col(vector[0]).isNotNull()
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
+    w = Window.partitionBy(*keys, "of_range").orderBy(*order).rowsBetween(-n, -1)
     means = [F.avg(c).over(w) for c in vector]
-    held = rows.where(there)
+    held = with_halo(rows.where(there), n, keys, order)
     length = norm(*means)
     delta = F.when((F.count(vector[0]).over(w) == n) & (length > 1e-9), angle([F.col(c) for c in vector], means))
-    return held.withColumn(out, delta).unionByName(rows.where(~there).withColumn(out, F.lit(None).cast("double")))
+    based = held.withColumn(out, delta).where(~F.col("halo")).drop("halo", "of_range")
+    return based.unionByName(rows.where(~there).withColumn(out, F.lit(None).cast("double")))
 
 
 def over_threshold(rows: DataFrame, spread: Column, node: Column | None = None, vector: Sequence[str] = ("gx", "gy", "gz"), delta: str = "delta_deg") -> DataFrame:
@@ -45,14 +66,13 @@ def with_onset(rows: DataFrame, keys: Sequence[str], order: Sequence[str], node:
 
     Turning the mean is the same as the mean of turned samples, so no sample is touched.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
     axis = MOUNT_AXIS.get(node, 0)
     i, j = [(1, 2), (2, 0), (0, 1)][axis]
     c, s = math.cos(math.radians(theta_deg)), math.sin(math.radians(theta_deg))
     late = F.col("pos") >= prefix
     a, b = F.col(vector[i]), F.col(vector[j])
-    numbered = rows.withColumn("pos", F.row_number().over(w) - 1)
-    return numbered.withColumns({vector[i]: F.when(late, a * c - b * s).otherwise(a), vector[j]: F.when(late, a * s + b * c).otherwise(b)})
+    placed = numbered(rows, keys, order, at="pos", of="of_stream").drop("of_stream")
+    return placed.withColumns({vector[i]: F.when(late, a * c - b * s).otherwise(a), vector[j]: F.when(late, a * s + b * c).otherwise(b)})
 
 
 def recall_at(rows: DataFrame, keys: Sequence[str], n: int, prefix: int = CLEAN_PREFIX, horizons: Sequence[int] = HORIZONS, delta: str = "delta_deg") -> DataFrame:

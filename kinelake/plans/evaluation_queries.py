@@ -260,3 +260,98 @@ def eval_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum((turned > 5.0).cast("long")).alias("n_turned"), near(F.avg(turned), 4).alias("mean_realised"), near(F.avg(aligned), 6).alias("mean_alignment"),
     )
     return per
+
+
+# --- what every injection must keep and do, and whether the loss chain is calibrated --------------
+
+
+_PAIR = ("dataset", "subject", "seg", "win", "node", "idx")
+_CHANGED_SQL = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in ("t", "ax", "ay", "az", "gx", "gy", "gz"))
+_NULLS_SQL = " + ".join(f"({{0}}.{c} IS NULL)::INT" for c in ("ax", "ay", "az", "gx", "gy", "gz"))
+_NAN_SQL = "(isnan({0}.ax) OR isnan({0}.ay) OR isnan({0}.az))::INT"
+_BLANK_SQL = "isnan({0}.ax) AND isnan({0}.ay) AND isnan({0}.az)"
+_SUMS_SQL = ", ".join(f"sum(CASE WHEN b.node = '{TARGET}' AND NOT ({_BLANK_SQL.format(x)}) THEN {x}.a{c} END) AS {x}s{c}" for x in "ab" for c in "xyz")
+
+
+def _values_sql(x: str) -> str:
+    return f"count(DISTINCT CASE WHEN b.node = '{TARGET}' THEN CASE WHEN isnan({x}.ax) THEN 'n' ELSE {x}.ax::VARCHAR END || ',' || CASE WHEN isnan({x}.ay) THEN 'n' ELSE {x}.ay::VARCHAR END || ',' || CASE WHEN isnan({x}.az) THEN 'n' ELSE {x}.az::VARCHAR END END) AS {x}_values"
+
+
+@query(
+    "injector_invariants",
+    evaluation_sql(
+        paired=f"""
+  SELECT b.dataset, b.subject, b.seg, b.win, count(*) FILTER (WHERE b.node = '{TARGET}') AS n_own, bool_and(CASE WHEN b.node <> '{TARGET}' THEN NOT ({_CHANGED_SQL}) END) AS same, bool_or(b.node = '{TARGET}' AND ({_CHANGED_SQL})) AS differs,
+    sum({_NULLS_SQL.format('b')} - ({_NULLS_SQL.format('a')}))::BIGINT AS nulls, sum(CASE WHEN b.node = '{TARGET}' THEN {_NAN_SQL.format('b')} - {_NAN_SQL.format('a')} ELSE 0 END)::BIGINT AS nans,
+    avg(CASE WHEN b.node = '{TARGET}' THEN b.t - a.t END) AS shift, {_values_sql('a')}, {_values_sql('b')}, {_SUMS_SQL}
+  FROM frames b JOIN frames a ON a.seg = b.seg - b.seg % {TRIALS} AND b.seg % {TRIALS} > 0 AND {' AND '.join(f'a.{c} = b.{c}' for c in _PAIR if c != 'seg')} GROUP BY b.dataset, b.subject, b.seg, b.win""",
+        effects=f"""
+  SELECT *, [{_NAMES}][((seg % {TRIALS} - 1) // 4 + 1)::INT] AS failure, ((seg % {TRIALS} - 1) % 4 + 1)::INTEGER AS severity, sqrt(asx * asx + asy * asy + asz * asz) AS la, sqrt(bsx * bsx + bsy * bsy + bsz * bsz) AS lb FROM paired WHERE n_own > 0""",
+        measured=f"""
+  SELECT *, CASE failure WHEN 'clock_desync' THEN shift * {1000.0 / DAY_US} WHEN 'rate_degradation' THEN (a_values - b_values)::DOUBLE
+    WHEN 'displacement' THEN CASE WHEN isnan(la) OR isnan(lb) THEN NULL WHEN la < 1e-12 OR lb < 1e-12 THEN 0.0 ELSE degrees(acos(greatest(-1.0, least(1.0, (asx * bsx + asy * bsy + asz * bsz) / (la * lb))))) END ELSE nans::DOUBLE END AS effect FROM effects""",
+        last="""SELECT failure, severity, n_windows, untouched, 0::BIGINT AS n_made, n_nulls, n_nan, NEAR(changed, 6) AS changed, NEAR(effect, 4) AS effect, coalesce(effect >= lag(effect) OVER (PARTITION BY failure ORDER BY severity) - 1e-9, true) AS monotone
+FROM (SELECT failure, severity, count(*) AS n_windows, bool_and(coalesce(same, true)) AS untouched, sum(nulls)::BIGINT AS n_nulls, sum(nans)::BIGINT AS n_nan, avg(differs::INT) AS changed, avg(effect) AS effect FROM measured GROUP BY failure, severity)""",
+    ),
+)
+def injector_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every failure and severity on every window: one aggregation of fingerprints and counts, no row is compared with another."""
+    rows = segmented(spark, sf_dir)
+    frames = written(folded(G.frames(rows, G.sliding_windows(rows, WIDTH), CELL, least=5)), "invariant-frames")
+    made = strategies()
+    parts = []
+    for k, (failure, severity) in enumerate(CONDITIONS):
+        if failure:
+            after, _ = I.inject(frames.withColumn("seg", F.col("seg") * TRIALS + k), made[failure], severity, TARGET, checked=False)
+            parts.append(after.withColumns({"failure": F.lit(failure), "severity": F.lit(severity)}))
+    after = I.window_sums(unioned(parts), TARGET, ["failure", "severity", *WINDOW_KEY]).withColumn("seg", F.floor(F.col("seg") / TRIALS))
+    out = I.invariants(I.window_sums(frames, TARGET), after, per_second=DAY_US)
+    return out.withColumns({"changed": near("changed", 6), "effect": near("effect", 4)})
+
+
+#: Chains, and draws that an event gives; its number and theirs are the order of a chain.
+CHAINS, DRAWS, CHAIN_CHUNK = 20, 20, 4096
+_M = 2147483647
+
+
+def _mixed(place: Column) -> Column:
+    """A number in [0, 1) for each place, by arithmetic in whole numbers below 2**62."""
+    p = (place * 48271 + 12345) % _M
+    q = (p * p + place) % _M
+    return ((q * q + p) % _M) / F.lit(float(_M))
+
+
+_MIXED_SQL = f"SELECT *, ((q * q + p) % {_M}) / {float(_M)}::DOUBLE AS u FROM (SELECT *, (p * p + place) % {_M} AS q FROM (SELECT *, (place * 48271 + 12345) % {_M} AS p FROM (SELECT event_id % {CHAINS} AS chain, event_id * {DRAWS} + j AS place FROM events, (SELECT unnest(range({DRAWS})) AS j))))"
+_LEVELS = ", ".join(f"({s}, {loss}::DOUBLE, {burst}::DOUBLE)" for s, (loss, burst) in enumerate(I.LOSS_AND_BURST, 1))
+
+
+@query(
+    "chain_calibration",
+    f"""
+WITH u AS ({_MIXED_SQL}),
+s AS (SELECT *, loss / ((1.0 - loss) * burst) AS p_bad, 1.0 / burst AS r, row_number() OVER (PARTITION BY chain, severity ORDER BY place) AS i FROM u, (SELECT * FROM (VALUES {_LEVELS}) AS v(severity, loss, burst))),
+m AS (SELECT *, CASE WHEN i = 1 OR (u >= least(p_bad, r) AND u < greatest(p_bad, r)) THEN 1 ELSE 0 END AS reset, CASE WHEN i = 1 THEN (u < loss)::INT WHEN u >= least(p_bad, r) AND u < greatest(p_bad, r) THEN CASE WHEN p_bad < r THEN 0 ELSE 1 END END AS val,
+  CASE WHEN i > 1 AND u < least(p_bad, r) THEN 1 ELSE 0 END AS flip FROM s),
+g AS (SELECT *, sum(reset) OVER (PARTITION BY chain, severity ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp FROM m),
+l AS (SELECT *, (max(val) OVER (PARTITION BY chain, severity, grp) + sum(flip) OVER (PARTITION BY chain, severity, grp ORDER BY i ROWS UNBOUNDED PRECEDING)) % 2 AS lost FROM g),
+b AS (SELECT *, CASE WHEN lost = 1 AND coalesce(lag(lost) OVER (PARTITION BY chain, severity ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS begins FROM l),
+c AS (SELECT severity, chain, any_value(loss) AS loss, any_value(burst) AS burst, avg(lost) AS loss_rate, CASE WHEN sum(begins) > 0 THEN sum(lost) / sum(begins) ELSE 0.0 END AS mean_burst, sum(begins)::DOUBLE AS n_bursts FROM b GROUP BY severity, chain)
+SELECT severity::INTEGER AS severity, chain, NEAR(loss_rate, 6) AS loss_rate, NEAR(mean_burst, 6) AS mean_burst, n_bursts, NULL::BOOLEAN AS calibrated FROM c
+UNION ALL SELECT severity::INTEGER, NULL, NEAR(avg(loss_rate), 6), NEAR(avg(mean_burst), 6), sum(n_bursts), abs(avg(loss_rate) - any_value(loss)) < 0.02 AND abs(avg(mean_burst) / any_value(burst) - 1) < 0.15 FROM c GROUP BY severity""",
+)
+def chain_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss rate and burst length of each chain and severity, and (chain NULL) whether their means are what was asked for."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    each = events.select("event_id", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("j"))
+    draws = each.select((F.col("event_id") % CHAINS).alias("chain"), (F.col("event_id") * DRAWS + F.col("j")).alias("place")).withColumn("u", _mixed(F.col("place")))
+    chunk = F.floor(F.col("place") / (CHAIN_CHUNK * CHAINS))
+    parts = []
+    for severity, (loss, burst) in enumerate(I.LOSS_AND_BURST, 1):
+        lost = I.chunked_loss(draws, loss, burst, F.col("u"), chunk, ("chain",), ("place",))
+        per = I.chunked_burst_stats(lost, F.col("lost") == 1, chunk, ("chain",), ("place",)).withColumns({"severity": F.lit(severity), "loss": F.lit(loss), "burst": F.lit(burst)})
+        parts.append(per)
+    chains = written(unioned(parts), "chains")  # a row a chain and severity
+    pooled = chains.groupBy("severity", "loss", "burst").agg(F.avg("loss_rate").alias("loss_rate"), F.avg("mean_burst").alias("mean_burst"), F.sum("n_bursts").alias("n_bursts"))
+    within = (F.abs(F.col("loss_rate") - F.col("loss")) < 0.02) & (F.abs(F.col("mean_burst") / F.col("burst") - 1) < 0.15)
+    columns = ["severity", "chain", near("loss_rate", 6).alias("loss_rate"), near("mean_burst", 6).alias("mean_burst"), "n_bursts", "calibrated"]
+    return chains.withColumn("calibrated", F.lit(None).cast("boolean")).select(*columns).unionByName(pooled.withColumns({"chain": F.lit(None).cast("long"), "calibrated": within}).select(*columns))
