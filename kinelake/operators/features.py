@@ -17,7 +17,7 @@ LEAST_VALID = 0.20
 LEAST_SD = 1e-12
 STATS = ("mean", "std", "min", "max", "energy")
 PAIRS = (("x", "y"), ("y", "z"), ("x", "z"))
-PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy", "x_min", "x_max", "y_min", "y_max")
+PAIR_SUMS = ("n", "x_sd", "y_sd", "xy", "x_min", "x_max", "y_min", "y_max")
 NODE_ORDER = ("wrist", "chest", "ankle")
 
 
@@ -38,15 +38,10 @@ def plain_features(frames: DataFrame, keys: Sequence[str] = NODE_KEY) -> DataFra
     return frames.groupBy(*keys).agg(*[s for c, a in zip(ACCEL, AXES, strict=True) for s in axis_stats(F.col(c), f"acc_{a}")], F.count(F.lit(1)).alias("n_frames"))
 
 
-def correlation(sums: dict[str, Column]) -> Column:
-    """Pearson's r from sums over paired values; NULL for fewer than three pairs or a constant axis.
-
-    An axis is constant where its least and most value are equal: the deviation from sums is rounding noise there.
-    """
-    n = sums["n"].cast("double")
-    mx, my = sums["x"] / n, sums["y"] / n
-    sx, sy = F.sqrt(F.greatest(sums["xx"] / n - mx * mx, F.lit(0.0))), F.sqrt(F.greatest(sums["yy"] / n - my * my, F.lit(0.0)))
-    return F.when((n >= 3) & (sums["x_min"] < sums["x_max"]) & (sums["y_min"] < sums["y_max"]) & (sx >= LEAST_SD) & (sy >= LEAST_SD), (sums["xy"] / n - mx * my) / (sx * sy))
+def correlation(pair: dict[str, Column]) -> Column:
+    """Pearson's r from central moments of paired values; NULL for fewer than three pairs or a constant axis."""
+    varies = (pair["x_min"] < pair["x_max"]) & (pair["y_min"] < pair["y_max"]) & (pair["x_sd"] >= LEAST_SD) & (pair["y_sd"] >= LEAST_SD)
+    return F.when((pair["n"] >= 3) & varies, pair["xy"] / (pair["x_sd"] * pair["y_sd"]))
 
 
 def node_features(frames: DataFrame) -> DataFrame:
@@ -60,7 +55,7 @@ def node_features(frames: DataFrame) -> DataFrame:
         x, y = known(f"a{p}"), known(f"a{q}")
         both = x.isNotNull() & y.isNotNull()
         x, y = F.when(both, x), F.when(both, y)
-        aggs += [F.count(x).alias(f"{p}{q}_n"), F.sum(x).alias(f"{p}{q}_x"), F.sum(y).alias(f"{p}{q}_y"), F.sum(x * x).alias(f"{p}{q}_xx"), F.sum(y * y).alias(f"{p}{q}_yy"), F.sum(x * y).alias(f"{p}{q}_xy")]
+        aggs += [F.count(x).alias(f"{p}{q}_n"), F.stddev_pop(x).alias(f"{p}{q}_x_sd"), F.stddev_pop(y).alias(f"{p}{q}_y_sd"), F.covar_pop(x, y).alias(f"{p}{q}_xy")]
         aggs += [f(v).alias(f"{p}{q}_{name}_{side}") for name, v in (("x", x), ("y", y)) for side, f in (("min", F.min), ("max", F.max))]
     aggs += [F.avg(F.when(valid, F.col(c))).alias(f"vm_{a}") for c, a in zip(ACCEL, AXES, strict=True)]
     aggs += [F.stddev_pop(F.when(valid, F.col(c))).alias(f"vs_{a}") for c, a in zip(ACCEL, AXES, strict=True)]
@@ -102,30 +97,56 @@ def motion_energy(frames: DataFrame, keys: Sequence[str] = NODE_KEY) -> DataFram
     return per.select(*keys, F.coalesce(mean, F.lit(0.0)).alias("motion"))
 
 
+#: Decimals that a rendered value keeps before it is rounded to those that are shown: what is beyond depends on the order of a sum.
+STEADY = 10
+
+
+def steady(c: Column) -> Column:
+    """The value without the noise of summation, which could turn a tie or the sign of a zero."""
+    return F.round(c, STEADY) + F.lit(0.0)
+
+
 def fixed(c: Column, digits: int, sign: str = "") -> Column:
-    """A number with so many decimals, ties to even, and the sign of a value that rounds to zero."""
-    near = F.bround(c, digits)
-    return F.format_string(f"%{sign}.{digits}f", F.when((near == 0) & (c < 0), F.lit(-0.0)).otherwise(near))
+    """A number with so many decimals as C prints it: the double itself is rounded, not its shortest decimal form, and ties go to even.
+
+    The number is split in two parts of few bits, whose products with the power of ten are exact; the sign of what
+    is left over a half decides.
+    """
+    power = 10**digits
+    v = F.abs(c)
+    wide = v * F.lit(134217729.0)  # 2**27 + 1
+    high = wide - (wide - v)
+    a, b = high * F.lit(float(power)), (v - high) * F.lit(float(power))
+    whole = F.floor(a + b)
+    over = ((a - whole.cast("double")) - 0.5) + b
+    shown = whole + F.when(over > 0, F.lit(1)).when(over < 0, F.lit(0)).otherwise(F.pmod(whole, F.lit(2)))
+    text = F.concat(F.floor(shown / power).cast("string"), F.lit("."), F.lpad(F.pmod(shown, F.lit(power)).cast("string"), digits, "0")) if digits else shown.cast("string")
+    minus = F.when(c.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("+" if sign else ""))
+    return F.when(F.isnan(c), F.lit(f"{sign}nan")).otherwise(F.concat(minus, text))
+
+
+def _shown(name: str, digits: int, sign: str = "", scale: float = 1.0) -> Column:
+    return fixed(steady(F.col(name) * scale) if scale != 1.0 else steady(F.col(name)), digits, sign)
 
 
 def _signed(c: Column, digits: int) -> Column:
-    return fixed(c, digits, "+")
+    return fixed(steady(c), digits, "+")
 
 
 def render_node() -> Column:
     """One node's lines of a prompt; what is missing is said to be missing."""
     name = F.rpad(F.col("node"), 6, " ")
     pad = "       "
-    silent = F.format_string("%s NO DATA -- node reported no usable data (%s%% of samples missing)", name, fixed(100 * F.col("nan_fraction"), 0))
+    silent = F.format_string("%s NO DATA -- node reported no usable data (%s%% of samples missing)", name, _shown("nan_fraction", 0, scale=100))
     facing = F.when(
         F.col("magnitude_g").isNotNull(),
-        F.format_string("%s ORIENTATION (%s, %s, %s)  magnitude %s g", name, *[_signed(F.col(f"unit_{a}"), 2) for a in AXES], fixed(F.col("magnitude_g"), 2)),
+        F.format_string("%s ORIENTATION (%s, %s, %s)  magnitude %s g", name, *[_signed(F.col(f"unit_{a}"), 2) for a in AXES], _shown("magnitude_g", 2)),
     ).otherwise(F.concat(name, F.lit(" ORIENTATION unavailable")))
-    moving = F.when(F.col("motion_sd_g").isNotNull(), F.format_string(f"{pad}MOTION      %s g  (%s)", fixed(F.col("motion_sd_g"), 3), F.col("motion_level"))).otherwise(F.lit(f"{pad}MOTION      unavailable"))
-    missing = F.when(F.col("nan_fraction") > 0.01, F.format_string(f"{pad}MISSING     %s%% of samples absent", fixed(100 * F.col("nan_fraction"), 0)))
-    accel = F.concat_ws(" | ", *[F.when(F.col(f"acc_{a}_mean").isNotNull(), F.format_string("%s mean %s std %s min %s max %s", F.lit(a), _signed(F.col(f"acc_{a}_mean"), 2), fixed(F.col(f"acc_{a}_std"), 2), _signed(F.col(f"acc_{a}_min"), 2), _signed(F.col(f"acc_{a}_max"), 2))) for a in AXES])
+    moving = F.when(F.col("motion_sd_g").isNotNull(), F.format_string(f"{pad}MOTION      %s g  (%s)", _shown("motion_sd_g", 3), F.col("motion_level"))).otherwise(F.lit(f"{pad}MOTION      unavailable"))
+    missing = F.when(steady(F.col("nan_fraction")) > 0.01, F.format_string(f"{pad}MISSING     %s%% of samples absent", _shown("nan_fraction", 0, scale=100)))
+    accel = F.concat_ws(" | ", *[F.when(F.col(f"acc_{a}_mean").isNotNull(), F.format_string("%s mean %s std %s min %s max %s", F.lit(a), _signed(F.col(f"acc_{a}_mean"), 2), _shown(f"acc_{a}_std", 2), _signed(F.col(f"acc_{a}_min"), 2), _signed(F.col(f"acc_{a}_max"), 2))) for a in AXES])
     corr = F.concat_ws(" ", *[F.when(F.col(f"corr_{p}{q}").isNotNull(), F.format_string("%s %s", F.lit(p + q), _signed(F.col(f"corr_{p}{q}"), 2))) for p, q in PAIRS])
-    gyro = F.concat_ws(" | ", *[F.when(F.col(f"gyro_{a}_mean").isNotNull(), F.format_string("%s mean %s std %s", F.lit(a), _signed(F.col(f"gyro_{a}_mean"), 1), fixed(F.col(f"gyro_{a}_std"), 1))) for a in AXES])
+    gyro = F.concat_ws(" | ", *[F.when(F.col(f"gyro_{a}_mean").isNotNull(), F.format_string("%s mean %s std %s", F.lit(a), _signed(F.col(f"gyro_{a}_mean"), 1), _shown(f"gyro_{a}_std", 1))) for a in AXES])
     lines = [
         facing,
         moving,
@@ -146,7 +167,7 @@ def render(features: DataFrame) -> DataFrame:
 
 def render_statistics(unit: float = 1.0) -> Column:
     """The plain variant: five statistics an axis, one line a node."""
-    parts = [F.format_string("%s mean=%s std=%s min=%s max=%s energy=%s", F.lit(a), *[fixed(F.col(f"acc_{a}_{s}") / unit, 3) for s in STATS]) for a in AXES]
+    parts = [F.format_string("%s mean=%s std=%s min=%s max=%s energy=%s", F.lit(a), *[fixed(steady(F.col(f"acc_{a}_{s}") / unit), 3) for s in STATS]) for a in AXES]
     return F.concat(F.rpad(F.col("node"), 6, " "), F.lit(": "), F.concat_ws(" | ", *parts))
 
 
@@ -158,11 +179,11 @@ def render_oriented(unit: float) -> Column:
     direction = [F.when(length > 1e-9, m / length).otherwise(0.0) for m in mean]
     motion = (sd[0] + sd[1] + sd[2]) / 3.0
     level = F.when(motion < STILL, "still").when(motion < MODERATE, "moderate").otherwise("vigorous")
-    detail = F.concat_ws(" | ", *[F.format_string("%s mean %s std %s min %s max %s", F.lit(a), _signed(m, 2), fixed(s, 2), _signed(F.col(f"acc_{a}_min") / unit, 2), _signed(F.col(f"acc_{a}_max") / unit, 2)) for a, m, s in zip(AXES, mean, sd, strict=True)])
+    detail = F.concat_ws(" | ", *[F.format_string("%s mean %s std %s min %s max %s", F.lit(a), _signed(m, 2), fixed(steady(s), 2), _signed(F.col(f"acc_{a}_min") / unit, 2), _signed(F.col(f"acc_{a}_max") / unit, 2)) for a, m, s in zip(AXES, mean, sd, strict=True)])
     return F.concat_ws(
         "\n",
-        F.format_string("%s ORIENTATION (%s, %s, %s)  magnitude %s g", F.rpad(F.col("node"), 6, " "), *[_signed(d, 2) for d in direction], fixed(length, 2)),
-        F.format_string("       MOTION      %s g  (%s)", fixed(motion, 3), level),
+        F.format_string("%s ORIENTATION (%s, %s, %s)  magnitude %s g", F.rpad(F.col("node"), 6, " "), *[_signed(d, 2) for d in direction], fixed(steady(length), 2)),
+        F.format_string("       MOTION      %s g  (%s)", fixed(steady(motion), 3), level),
         F.concat(F.lit("       DETAIL      "), detail),
     )
 

@@ -544,7 +544,6 @@ _CORR = sql_with(
 )
 
 
-@query("axis_corr_all", _CORR)
 @query("axis_corr", _CORR)
 def axis_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over every subject: a constant axis is told by its range, exactly, on both sides."""
@@ -584,20 +583,47 @@ def motion_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(*NODE_KEY, "has_data", near("motion_sd_g", 6).alias("motion_sd_g"), "motion_level")
 
 
+def _steady(expr: str) -> str:
+    return f"(round({expr}, {Fe.STEADY}) + 0.0)"
+
+
+def _stat_sql(column: str, known_if: str, name: str) -> str:
+    return ", ".join(f"{f}({column}) FILTER (WHERE {known_if}) AS {name}_{s}" for f, s in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max")))
+
+
+def _pair_sql(p: str, q: str) -> str:
+    both = f"NOT isnan(a{p}) AND NOT isnan(a{q})"
+    return f"CASE WHEN count(*) FILTER (WHERE {both}) >= 3 AND min(a{p}) FILTER (WHERE {both}) < max(a{p}) FILTER (WHERE {both}) AND min(a{q}) FILTER (WHERE {both}) < max(a{q}) FILTER (WHERE {both}) THEN covar_pop(a{p}, a{q}) FILTER (WHERE {both}) / (stddev_pop(a{p}) FILTER (WHERE {both}) * stddev_pop(a{q}) FILTER (WHERE {both})) END AS corr_{p}{q}"
+
+
+def _format_sql(pattern: str, *values: str) -> str:
+    return f"format('{pattern}', {', '.join(_steady(v) for v in values)})"
+
+
+_AXIS_LINES = ", ".join(f"CASE WHEN acc_{a}_mean IS NOT NULL THEN {_format_sql(a + ' mean {:+.2f} std {:.2f} min {:+.2f} max {:+.2f}', *[f'acc_{a}_{s}' for s in ('mean', 'std', 'min', 'max')])} END" for a in "xyz")
+_GYRO_LINES = ", ".join(f"CASE WHEN gyro_{a}_mean IS NOT NULL THEN {_format_sql(a + ' mean {:+.1f} std {:.1f}', f'gyro_{a}_mean', f'gyro_{a}_std')} END" for a in "xyz")
+_CORR_LINES = ", ".join(f"CASE WHEN corr_{p}{q} IS NOT NULL THEN {_format_sql(p + q + ' {:+.2f}', f'corr_{p}{q}')} END" for p, q in Fe.PAIRS)
+
+
 @query(
     "render_features",
     sql_with(
-        means2=f"""
-  SELECT {KEYS}, node, avg(({_VALID})::INT) AS vf, avg(ax) FILTER (WHERE {_VALID}) AS mx, avg(ay) FILTER (WHERE {_VALID}) AS my, avg(az) FILTER (WHERE {_VALID}) AS mz FROM frames GROUP BY {KEYS}, node""",
-        last=f"""SELECT {KEYS}, node, CASE WHEN vf < 0.2 THEN rpad(node, 6, ' ') || ' NO DATA -- node reported no usable data (' || format('{{:.0f}}', 100 * (1.0 - vf)) || '% of samples missing)'
-  WHEN len > 1e-9 THEN rpad(node, 6, ' ') || format(' ORIENTATION ({{:+.2f}}, {{:+.2f}}, {{:+.2f}})  magnitude {{:.2f}} g', mx / len, my / len, mz / len, len) ELSE rpad(node, 6, ' ') || ' ORIENTATION unavailable' END AS line FROM (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS len FROM means2)""",
+        stats=f"""
+  SELECT {KEYS}, node, 1.0 - avg(({_VALID})::INT) AS nf, avg(({_VALID})::INT) AS vf, bool_or(has_gyro) AS gyro, {', '.join(f'avg(a{a}) FILTER (WHERE {_VALID}) AS m{a}, stddev_pop(a{a}) FILTER (WHERE {_VALID}) AS s{a}' for a in 'xyz')},
+    {', '.join(_stat_sql(f'a{a}', f'NOT isnan(a{a})', f'acc_{a}') for a in 'xyz')}, {', '.join(_stat_sql(f'g{a}', f'g{a} IS NOT NULL AND NOT isnan(g{a})', f'gyro_{a}') for a in 'xyz')}, {', '.join(_pair_sql(p, q) for p, q in Fe.PAIRS)} FROM frames GROUP BY {KEYS}, node""",
+        texts=f"""
+  SELECT *, rpad(node, 6, ' ') AS name, sqrt(mx * mx + my * my + mz * mz) AS len, (sx + sy + sz) / 3.0 AS motion, concat_ws(' | ', {_AXIS_LINES}) AS axes, concat_ws(' ', {_CORR_LINES}) AS corrs, concat_ws(' | ', {_GYRO_LINES}) AS rates FROM stats""",
+        last=f"""SELECT {KEYS}, node, CASE WHEN vf < 0.2 THEN name || ' NO DATA -- node reported no usable data (' || {_format_sql('{:.0f}', '100 * nf')} || '% of samples missing)' ELSE concat_ws(chr(10),
+    CASE WHEN len > 1e-9 THEN name || {_format_sql(' ORIENTATION ({:+.2f}, {:+.2f}, {:+.2f})  magnitude {:.2f} g', 'mx / len', 'my / len', 'mz / len', 'len')} ELSE name || ' ORIENTATION unavailable' END,
+    CASE WHEN motion IS NOT NULL THEN {_format_sql('       MOTION      {:.3f} g  (', 'motion')} || CASE WHEN motion < 0.08 THEN 'still' WHEN motion < 0.35 THEN 'moderate' ELSE 'vigorous' END || ')' ELSE '       MOTION      unavailable' END,
+    CASE WHEN {_steady('nf')} > 0.01 THEN {_format_sql('       MISSING     {:.0f}', '100 * nf')} || '% of samples absent' END,
+    CASE WHEN axes <> '' THEN '       ACCEL       ' || axes END, CASE WHEN corrs <> '' THEN '       CORR        ' || corrs END,
+    CASE WHEN rates <> '' THEN '       GYRO        ' || rates || ' (deg/s)' WHEN NOT gyro THEN '       GYRO        none on this node' END) END AS lines FROM texts""",
     ),
 )
 def render_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of a node's rendering; tests hold the others."""
-    f = Fe.node_features(blind(event_frames(spark, sf_dir)))
-    first = F.element_at(F.split(Fe.render_node(), "\n"), 1)
-    return f.select(*NODE_KEY, first.alias("line"))
+    """Every line of every node's rendering."""
+    return Fe.node_features(blind(event_frames(spark, sf_dir))).select(*NODE_KEY, Fe.render_node().alias("lines"))
 
 
 @query(
@@ -721,7 +747,6 @@ _COUNT = sql_with(
 )
 
 
-@query("feature_count_all", _COUNT)
 @query("feature_count", _COUNT)
 def feature_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature, correlations too."""

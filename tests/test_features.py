@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +208,28 @@ def test_exported_windows_read_back(spark, tmp_path):
     assert read_result(spark, str(tmp_path / "none.json")) is None and read_result(spark, str(tmp_path / "w.json")).first()["activity"] == "walking"
     assert overlay({"a": 1, "b": 2}, {"X": " 9 ", "Y": " "}, {"a": "X", "b": "Y"}) == {"a": "9", "b": 2}
     assert few_shot_examples(spark, {"examples": [{"activity": "lying", "letter": "A", "subject": "s", "start_sec": 1, "features": "f"}]}).count() == 1
+
+
+def test_fixed_is_what_c_prints(spark):
+    rng = random.Random(12)
+    values = [rng.uniform(-20, 20) * 10 ** rng.randrange(-4, 3) for _ in range(100_000)] + [k / 1000 for k in range(-6000, 6000)] + [k / 8 for k in range(-400, 400)] + [0.085, 0.575, 1.005, -0.004, -0.0, 0.5, 1.5, 2.5, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").repartition(8)
+    rows = df.select("i", *[Fe.fixed(F.col("v"), d, s).alias(f"f{d}{'p' if s else ''}") for d in (0, 1, 2, 3) for s in ("", "+")]).collect()
+    for r in rows:
+        v = values[r["i"]]
+        for d in (0, 1, 2, 3):
+            assert r[f"f{d}"] == f"{v:.{d}f}" and r[f"f{d}p"] == f"{v:+.{d}f}", (v, d)
+
+
+def test_noise_of_a_sum_turns_neither_ties_nor_signs(spark):
+    rows = spark.createDataFrame([(0.085, 1), (0.085 + 1e-15, 1), (0.085 - 1e-15, 1), (1e-17, 2), (-1e-17, 2), (0.0, 2)], "v double, k int")
+    got = rows.groupBy("k").agg(F.collect_set(Fe.fixed(Fe.steady(F.col("v")), 2, "+")).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == {1: ["+0.09"], 2: ["+0.00"]}
+
+
+def test_correlation_of_small_motion_on_a_large_mean(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1e-4, 60)
+    rows = window(n=60, accel=lambda node, i: (1000.0 + float(x[i]), 1000.0 + float(x[i]) * 2, -500.0 - float(x[i])))
+    f = Fe.node_features(blind(frames(spark, rows))).where("node = 'wrist'").first()
+    assert f["corr_xy"] == pytest.approx(1.0, abs=1e-6) and f["corr_xz"] == pytest.approx(-1.0, abs=1e-6)
