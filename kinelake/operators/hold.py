@@ -30,14 +30,15 @@ _KEY = list(NODE_KEY)
 _ALL = Window.unboundedPreceding
 
 
-def due_after(t: Column, least: float) -> Column:
+def due_after(t: Column, least: float | Column) -> Column:
     """The least number v with v - t >= ``least`` as doubles subtract (a sum alone may be off by a last bit)."""
+    least = least if isinstance(least, Column) else F.lit(least)
     step = F.lit(1.6e-16)
-    total = t + F.lit(least)
+    total = t + least
     below = total - F.abs(total) * step
     further = below - F.abs(below) * step
     above = total + F.abs(total) * step
-    fits = lambda v: v - t >= F.lit(least)
+    fits = lambda v: v - t >= least
     return F.when(fits(further), further).when(fits(below), below).when(fits(total), total).otherwise(above)
 
 
@@ -45,17 +46,17 @@ def _of_chunk(idx: Column) -> Column:
     return F.floor((idx - 1) / CHUNK)
 
 
-def followers(times: DataFrame, period: float) -> DataFrame:
-    """NODE_KEY, idx, next: the first later sample a period after it; NULL without one."""
+def followers(times: DataFrame) -> DataFrame:
+    """NODE_KEY, idx, next: the first later sample a ``period`` after it; NULL without one."""
     chunked = times.withColumn("chunk", _of_chunk(F.col("idx")))
     tops = chunked.groupBy(*_KEY, "chunk").agg(F.max("t").alias("top"))
     tops = tops.select(*_KEY, "chunk", F.max("top").over(Window.partitionBy(*_KEY).orderBy("chunk").rowsBetween(_ALL, -1)).alias("before"))  # a row a chunk
     inside = Window.partitionBy(*_KEY, "chunk").orderBy("idx").rowsBetween(_ALL, 0)
     high = chunked.withColumn("high", F.max("t").over(inside)).join(tops, [*_KEY, "chunk"]).withColumn("high", F.greatest("high", "before"))
     sample = F.struct(F.col("high").alias("at"), F.col("idx").alias("sample"), F.lit(None).cast("int").alias("asks"))
-    asked = F.struct(due_after(F.col("t"), period - 1e-12).alias("at"), F.lit(None).cast("int").alias("sample"), F.col("idx").alias("asks"))
-    points = high.select(*_KEY, F.explode(F.array(sample, asked)).alias("p")).select(*_KEY, "p.*")
-    points = points.withColumn("bucket", F.floor(F.col("at") / F.lit(period * CHUNK)))
+    asked = F.struct(due_after(F.col("t"), F.col("period") - 1e-12).alias("at"), F.lit(None).cast("int").alias("sample"), F.col("idx").alias("asks"))
+    points = high.select(*_KEY, "period", F.explode(F.array(sample, asked)).alias("p")).select(*_KEY, "period", "p.*")
+    points = points.withColumn("bucket", F.floor(F.col("at") / (F.col("period") * CHUNK)))
     # From late to early, a time that is asked for after the samples of that time, the first of those last.
     order = [F.desc("at"), F.col("asks").isNotNull(), F.desc("sample")]
     own = F.last("sample", ignorenulls=True).over(Window.partitionBy(*_KEY, "bucket").orderBy(*order).rowsBetween(_ALL, 0))
@@ -93,9 +94,10 @@ def _entries(chunks: DataFrame, last: int) -> DataFrame:
     return reached.select(*_KEY, _of_chunk(F.col("idx")).alias("chunk"), F.col("idx").alias("entry"))
 
 
-def sources(times: DataFrame, period: float) -> DataFrame:
-    """NODE_KEY, idx, source: the sample whose value each sample shows; ``times`` has NODE_KEY, idx and t."""
-    chunks = written(_chunks(followers(written(times.select(*_KEY, F.col("idx").cast("int").alias("idx"), "t"), "hold-times"), period)), "hold-chunks")
+def sources(times: DataFrame, period: float | Column) -> DataFrame:
+    """NODE_KEY, idx, source: the sample whose value each sample shows; ``times`` has NODE_KEY, idx and t. ``period`` is one for all, or a column that is the same in all of a window."""
+    slim = times.select(*_KEY, F.col("idx").cast("int").alias("idx"), "t", (period if isinstance(period, Column) else F.lit(period)).alias("period"))
+    chunks = written(_chunks(followers(written(slim, "hold-times"))), "hold-chunks")
     last = chunks.agg(F.max("chunk")).first()[0] or 0
     if last:
         chunks = chunks.join(_entries(chunks, int(last)), [*_KEY, "chunk"], "left")
@@ -118,7 +120,7 @@ def sources(times: DataFrame, period: float) -> DataFrame:
     return rows.select(*_KEY, "first", F.posexplode(shown).alias("at", "source")).select(*_KEY, (F.col("first") + F.col("at")).alias("idx"), "source")
 
 
-def hold(frames: DataFrame, period: float) -> DataFrame:
+def hold(frames: DataFrame, period: float | Column) -> DataFrame:
     """``frames`` with held_ax ... held_gz and ``fresh`` (the sample was taken over)."""
     rows = frames.join(sources(frames, period), [*_KEY, "idx"])
     # Samples that show one source are those of a period.

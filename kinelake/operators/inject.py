@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.samples import ACCEL, GYRO, MOUNT_AXIS, NAN, all_nan, along_axis, angle, any_nan, known, norm
+from ..functions.samples import ACCEL, GYRO, MOUNT_AXIS, NAN, all_nan, along_axis, angle, any_nan, known, mount_axis, norm
 from ..session import ship
 from . import NODE_KEY, WINDOW_KEY
 from .hold import hold, sources
@@ -113,25 +113,27 @@ class ClockDesync(Strategy):
         return pair.groupBy(*WINDOW_KEY).agg((F.avg(F.col("t") - F.col("t_before")) * (1000.0 / self.per_second)).alias("delta_ms"))
 
 
-def transition_probabilities(loss: float, burst: float) -> tuple[float, float]:
+def transition_probabilities(loss, burst):
     """(good to bad, bad to good) of the two-state chain that loses ``loss`` of all samples in bursts of ``burst``."""
     return loss / ((1.0 - loss) * burst), 1.0 / burst
 
 
-def bursty_loss(rows: DataFrame, loss: float, burst: float, u: Column, keys: Sequence[str] = NODE_KEY, order: Sequence[str] = ("idx",), out: str = "lost") -> DataFrame:
-    """``rows`` with the chain's state (1 for lost) without walking it.
+def bursty_loss(rows: DataFrame, loss: float | Column, burst: float | Column, u: Column, keys: Sequence[str] = NODE_KEY, order: Sequence[str] = ("idx",), out: str = "lost") -> DataFrame:
+    """``rows`` with the chain's state (1 for lost) without walking it; ``loss`` and ``burst`` are the same in all of a chain.
 
     Each draw maps the state: it flips it, resets it to one of the two, or leaves it.
     The state is the last reset's value changed by the parity of the flips since. The
     first row resets to the stationary distribution.
     """
+    loss, burst = (x if isinstance(x, Column) else F.lit(x) for x in (loss, burst))
     p, r = transition_probabilities(loss, burst)
+    low, high = F.least(p, r), F.greatest(p, r)
     w = Window.partitionBy(*keys).orderBy(*order)
     first = F.row_number().over(w) == 1
     rows = rows.withColumn("ge_u", u).withColumn("ge_first", first)
-    reset = F.col("ge_first") | ((F.col("ge_u") >= min(p, r)) & (F.col("ge_u") < max(p, r)))
-    value = F.when(F.col("ge_first"), (F.col("ge_u") < loss).cast("int")).otherwise(F.lit(0 if p < r else 1))
-    rows = rows.withColumn("ge_reset", reset).withColumn("ge_value", F.when(reset, value)).withColumn("ge_flip", (~reset & (F.col("ge_u") < min(p, r))).cast("int"))
+    reset = F.col("ge_first") | ((F.col("ge_u") >= low) & (F.col("ge_u") < high))
+    value = F.when(F.col("ge_first"), (F.col("ge_u") < loss).cast("int")).otherwise(F.when(p < r, 0).otherwise(1))
+    rows = rows.withColumn("ge_reset", reset).withColumn("ge_value", F.when(reset, value)).withColumn("ge_flip", (~reset & (F.col("ge_u") < low)).cast("int"))
     rows = rows.withColumn("ge_run", F.sum(F.col("ge_reset").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     since = Window.partitionBy(*keys, "ge_run").orderBy(*order)
     state = (F.first("ge_value").over(since) + F.sum("ge_flip").over(since.rowsBetween(Window.unboundedPreceding, 0))) % 2
@@ -265,12 +267,14 @@ class RateDegradation(Strategy):
     def period(self, severity: int) -> float:
         return DIVISOR[severity - 1] / self.rate_hz * self.per_second
 
-    def change(self, target, severity, seed):
-        held = hold(target, self.period(severity))
+    @staticmethod
+    def shown(held: DataFrame) -> DataFrame:
         # A held gyroscope reading never replaces an absent one, nor an absent one a reading.
         gyro = {c: F.when(F.col(c).isNotNull() & F.col(f"held_{c}").isNotNull(), F.col(f"held_{c}")).otherwise(F.col(c)) for c in GYRO}
-        out = held.withColumns({c: F.col(f"held_{c}") for c in ACCEL} | gyro)
-        return out.select(*target.columns)
+        return held.withColumns({c: F.col(f"held_{c}") for c in ACCEL} | gyro)
+
+    def change(self, target, severity, seed):
+        return self.shown(hold(target, self.period(severity))).select(*target.columns)
 
     def realised(self, before, after, severity):
         taken = sources(before, self.period(severity)).where("idx = source").groupBy(*WINDOW_KEY).agg(F.count(F.lit(1)).cast("double").alias("n_holds"))
@@ -405,6 +409,42 @@ def sweep(windows: DataFrame, failures: Sequence[str] = FAILURE_TYPES) -> DataFr
     return windows.withColumn("condition", F.explode(conditions)).select(*windows.columns, "condition.failure", "condition.severity")
 
 
+def swept(rows: DataFrame, u: Column, rate_hz: float, per_second: float = 1.0) -> DataFrame:
+    """The target node's frames, each under the failure and severity of its own columns ``failure`` and ``severity``.
+
+    The failures are expressions over these two columns, so that a sweep is one pass over the frames
+    instead of one a condition. What each does is what its ``Strategy`` does; ``u`` are the draws of packet loss.
+    A window's rows under different conditions must differ in WINDOW_KEY.
+    """
+
+    def of(values: Sequence[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("severity"))
+
+    def when(failure: str, change: Column, column: str) -> Column:
+        return F.when(F.col("failure") == failure, change).otherwise(F.col(column))
+
+    def kept(out: DataFrame) -> DataFrame:
+        return out.select(*rows.columns)
+
+    onset = F.col("start") + (1.0 - of(DROPPED_SHARE)) * (F.col("end") - F.col("start"))
+    changes = {c: when("dropout", x, c) for c, x in blanked(F.col("t") >= onset - 1e-12).items()}
+    changes["t"] = when("clock_desync", F.col("t") + of([ms / 1000.0 * per_second for ms in OFFSET_MS]), "t")
+    theta = F.radians(of(TURN_DEG))
+    axis = mount_axis(F.col("node"))
+    for names in (ACCEL, GYRO):
+        for i, c in enumerate(names):
+            # About axis k, the axis after k takes cos and -sin, the one after that sin and cos.
+            after, before = F.col(names[(i + 1) % 3]), F.col(names[(i + 2) % 3])
+            turned = F.when(axis == i, F.col(c)).when(axis == (i + 2) % 3, F.col(c) * F.cos(theta) - after * F.sin(theta)).otherwise(before * F.sin(theta) + F.col(c) * F.cos(theta))
+            changes[c] = F.when(F.col("failure") == "displacement", turned).otherwise(changes[c])
+    plain = kept(rows.where(F.col("failure").isin("dropout", "clock_desync", "displacement")).withColumns(changes))
+    chains = bursty_loss(rows.where(F.col("failure") == "packet_loss"), of([x for x, _ in LOSS_AND_BURST]), of([x for _, x in LOSS_AND_BURST]), u)
+    lossy = kept(chains.withColumns(blanked(F.col("lost") == 1)))
+    slow = RateDegradation(rate_hz, per_second)
+    held = hold(rows.where(F.col("failure") == slow.name), of([slow.period(s) for s in (1, 2, 3, 4)]))
+    return plain.unionByName(lossy).unionByName(kept(slow.shown(held)))
+
+
 def untouched(before: DataFrame, after: DataFrame, target_node: str) -> DataFrame:
     """Rows of other nodes that an injection changed: empty if all is well. NaN and NULL compare null-safely."""
     a = before.where(F.col("node") != target_node)

@@ -23,7 +23,7 @@ from ..operators import score as S
 from ..operators import segment as G
 from ..operators import signals as Si
 from ..operators.blind import blind
-from ..tables import written
+from ..tables import shared_table, written
 from .event_queries import CELL, DAY_US, STEPS, TARGET, WIDTH, segmented, sql_with
 from .rounding import near, nudged, rounded
 
@@ -58,15 +58,15 @@ def strategies() -> dict[str, I.Strategy]:
     }
 
 
-def trial_frames(target: DataFrame) -> dict[tuple[str, int], DataFrame]:
+def named_conditions() -> Column:
+    """(k, failure, severity) of the 20 conditions, as an array."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("failure"), F.lit(s).alias("severity")) for k, (f, s) in enumerate(CONDITIONS) if f])
+
+
+def trial_frames(target: DataFrame) -> DataFrame:
     """The target node's frames under each of the 20 conditions."""
-    made = strategies()
-    out = {}
-    for k, (failure, severity) in enumerate(CONDITIONS):
-        if failure:
-            own = target.withColumn("seg", F.col("seg") * TRIALS + k)
-            out[failure, severity] = made[failure].change(own, severity, 0).select(*target.columns)
-    return out
+    rows = target.withColumn("c", F.explode(named_conditions())).withColumn("seg", F.col("seg") * TRIALS + F.col("c.k")).select(*target.columns, "c.failure", "c.severity")
+    return I.swept(rows, loss_draw(), 1.0, per_second=DAY_US).select(*target.columns)
 
 
 def unioned(parts: list[DataFrame]) -> DataFrame:
@@ -76,8 +76,13 @@ def unioned(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def evaluated(spark: SparkSession, sf_dir: str, with_turns: bool = False) -> DataFrame:
-    """One row a node and trial: what was true and what the monitor said; ``with_turns`` measures how far displacements turned gravity.
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a node and trial: what was true and what the monitor said. The six queries of this module share one stored table."""
+    return shared_table(spark, f"{sf_dir}/events.parquet", "evaluation", lambda: evaluate(spark, sf_dir))
+
+
+def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``evaluated`` stores.
 
     The other nodes' signals don't depend on the condition: they are taken once and
     repeated as signals, not as samples.
@@ -86,30 +91,27 @@ def evaluated(spark: SparkSession, sf_dir: str, with_turns: bool = False) -> Dat
     frames = written(folded(G.frames(rows, G.sliding_windows(rows, WIDTH), CELL, least=5)), "evaluation-frames")
     target = frames.where(F.col("node") == TARGET)
     signals = written(Si.node_signals(blind(frames), DAY_US), "evaluation-signals")
-    changed = Si.node_signals(blind(written(unioned(list(trial_frames(target).values())), "evaluation-trials")), DAY_US)
+    changed = Si.node_signals(blind(written(trial_frames(target), "evaluation-trials")), DAY_US)
     numbers = F.sequence(F.lit(0), F.when(F.col("node") == TARGET, 0).otherwise(len(CONDITIONS) - 1))
     still = signals.withColumn("trial", F.explode(numbers)).withColumn("seg", F.col("seg") * TRIALS + F.col("trial")).drop("trial")
     every = written(Si.with_offset(still.unionByName(changed), DAY_US), "evaluation-offsets").withColumns(Si.sub_scores())
     means = C.means_of_signals(folded(signals, other=True))
     references = C.references(C.calibrate_means(means, CALIBRATION_WINDOWS))
     verdicts = D.diagnose(every, references).select(*NODE_KEY, "start", "end", "diagnosis", "flagged", "state", "min_sub_score")
-    return S.tally(verdicts, truth_of(signals, target if with_turns else None))
+    return S.tally(verdicts, truth_of(signals, target))
 
 
-def truth_of(signals: DataFrame, target: DataFrame | None) -> DataFrame:
-    """Trials with a failure: what was injected, and the effects that scoring groups by (turns where the target's frames are given)."""
-    named = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("failure"), F.lit(s).alias("severity")) for k, (f, s) in enumerate(CONDITIONS) if f])
-    windows = signals.select(*WINDOW_KEY, "start", "end").distinct().withColumn("c", F.explode(named))
+def truth_of(signals: DataFrame, target: DataFrame) -> DataFrame:
+    """Trials with a failure: what was injected, and the effects that scoring groups by."""
+    windows = signals.select(*WINDOW_KEY, "start", "end").distinct().withColumn("c", F.explode(named_conditions()))
     dropped = F.element_at(F.array(*[F.lit(x) for x in I.DROPPED_SHARE]), F.col("c.severity"))
     onset = F.when(F.col("c.failure") == "dropout", F.col("start") + (1.0 - dropped) * (F.col("end") - F.col("start")))
     trials = windows.withColumn("seg", F.col("seg") * TRIALS + F.col("c.k")).withColumn("onset", onset)
-    names = ["onset"]
-    if target is not None:
-        turn = I.Displacement()
-        before = {(k, s): target.withColumn("seg", F.col("seg") * TRIALS + k) for k, (f, s) in enumerate(CONDITIONS) if f == turn.name}
-        effects = unioned([turn.realised(own, turn.change(own, s, 0), s) for (_, s), own in before.items()])
-        trials = trials.join(effects, list(WINDOW_KEY), "left")
-        names += ["realised_angle_deg", "gravity_axis_alignment"]
+    turn = I.Displacement()
+    before = {(k, s): target.withColumn("seg", F.col("seg") * TRIALS + k) for k, (f, s) in enumerate(CONDITIONS) if f == turn.name}
+    effects = unioned([turn.realised(own, turn.change(own, s, 0), s) for (_, s), own in before.items()])
+    trials = trials.join(effects, list(WINDOW_KEY), "left")
+    names = ["onset", "realised_angle_deg", "gravity_axis_alignment"]
     realised = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names])), lambda _, v: v.isNotNull())
     clock = F.when(F.col("dataset") == "fold0", "measured").otherwise("derived")
     return trials.select(*WINDOW_KEY, F.lit(TARGET).alias("target_node"), "c.failure", "c.severity", realised.alias("realised"), clock.alias("clock_source"))
@@ -253,7 +255,7 @@ FROM rows r JOIN effects e ON e.dataset = r.dataset AND e.subject = r.subject AN
     ),
 )
 def eval_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluated(spark, sf_dir, with_turns=True).where("is_target and true_failure = 'displacement'")
+    rows = evaluated(spark, sf_dir).where("is_target and true_failure = 'displacement'")
     turned, aligned = F.nanvl("realised_magnitude", F.lit(None)), F.nanvl("alignment", F.lit(None))
     per = rows.groupBy("severity").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("flagged").cast("long")).alias("detected"), F.sum((F.col("predicted_diagnosis") == "displacement").cast("long")).alias("diagnosed"),

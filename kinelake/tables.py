@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_table(spark: SparkSession, source: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, stored once an application and state of ``source`` (names, sizes and times of its files)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(source)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = store.listFiles(where, True)
+    state = hashlib.sha256(spark.sparkContext.applicationId.encode())
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    state.update("\n".join(sorted(seen)).encode())
+    path = f"{shared_dir(spark)}/{label}-{state.hexdigest()[:32]}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        with scratch(spark):
+            make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, if it is there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
