@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import confidence as C
 from ..functions.responses import EXTRACTORS, answer_text
 from . import WINDOW_KEY
+from .answers import score_once
 from .blind import require_blind
 from .diagnose import diagnose
 from .features import fill_prompt, legend, node_features, render
@@ -171,9 +172,10 @@ def context(frames: DataFrame, references: DataFrame, template: str, labels: Seq
     return joined.select(*WINDOW_KEY, fill_prompt(template, legend=legend(labels), few_shot=few_shot, query=query).alias("prompt"), "health_states", "trust_weights")
 
 
-def run(frames: DataFrame, references: DataFrame, template: str, labels: Sequence[str], scorer: Callable[[list[str]], list[str]], style: str = "openai", provider: str = "offline", model: str = "offline", few_shot: str = "") -> DataFrame:
-    """One call a window: prediction, confidence, and what the monitor thought."""
+def run(frames: DataFrame, references: DataFrame, template: str, labels: Sequence[str], scorer: Callable[[list[str]], list[str]], style: str = "openai", provider: str = "offline", model: str = "offline", few_shot: str = "", store: str | None = None) -> DataFrame:
+    """One call a window: prediction, confidence, and what the monitor thought. With a ``store`` answers are kept there and no prompt is asked again."""
     letters = [chr(65 + i) for i in range(len(labels))]
-    called = call(context(frames, references, template, labels, few_shot), scorer)
+    asked = context(frames, references, template, labels, few_shot)
+    called = score_once(asked, store, scorer, style, model).drop("repeat") if store else call(asked, scorer)
     out = readouts(called, style, letters, provider, model)
     return out.withColumn("flags", F.create_map(*[x for k, v in FLAGS.items() for x in (F.lit(k), F.lit(v))]))

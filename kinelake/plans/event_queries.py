@@ -6,6 +6,7 @@ steps in ``STEPS``, each a named common table expression on top of others.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.samples import all_nan, any_nan, known
 from ..operators import NODE_KEY, WINDOW_KEY
+from ..operators import agent as Ag
+from ..operators import answers as An
 from ..operators import calibrate as C
 from ..operators import diagnose as D
 from ..operators import effects as X
@@ -25,7 +28,7 @@ from ..operators import segment as G
 from ..operators import signals as Si
 from ..operators import temporal as T
 from ..operators.blind import blind
-from ..tables import written
+from ..tables import held, shared_dir, written
 from .rounding import near, near_sql, nudged, rounded
 from ..sources.events import HOUR_US, SECOND_US, event_samples
 
@@ -626,6 +629,49 @@ def render_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fe.node_features(blind(event_frames(spark, sf_dir))).select(*NODE_KEY, Fe.render_node().alias("lines"))
 
 
+_LABELS = ("lying", "sitting", "walking", "running")
+_LETTERS = [chr(65 + i) for i in range(len(_LABELS))]
+_TEMPLATE = "Activities:\n{legend}\n\n{query}\nAnswer:"
+
+
+def digest_scorer(prompts: list[str]) -> list[str]:
+    """A model without a network: each letter's log-probability is read off the prompt's digest, the last digit names no letter."""
+    import hashlib
+    import json
+
+    out = []
+    for p in prompts:
+        digits = hashlib.md5(p.encode()).hexdigest()
+        found = [{"token": f" {x}", "logprob": -ord(digits[i]) / 10} for i, x in enumerate(_LETTERS)] + [{"token": "The", "logprob": -ord(digits[-1]) / 10}]
+        out.append(json.dumps({"choices": [{"logprobs": {"content": [{"top_logprobs": found}]}}]}))
+    return out
+
+
+_RENDER_SQL = QUERIES["render_features"][1]
+_P_SQL = ", ".join(f"exp(l{i} - top) / total AS p{i}" for i in range(len(_LETTERS)))
+
+
+@query(
+    "score_windows",
+    f"""
+WITH lines AS ({_RENDER_SQL}),
+texts AS (SELECT {KEYS}, string_agg(lines, chr(10) ORDER BY list_position(['wrist', 'chest', 'ankle'], node)) AS text FROM lines GROUP BY {KEYS}),
+prompts AS (SELECT *, md5('Activities:' || chr(10) || '{Fe.legend(_LABELS)}' || chr(10) || chr(10) || text || chr(10) || 'Answer:') AS digest FROM texts),
+logs AS (SELECT *, {', '.join(f"-ascii(substr(digest, {i + 1}, 1)) / 10.0::DOUBLE AS l{i}" for i in range(len(_LETTERS)))} FROM prompts),
+tops AS (SELECT *, greatest({', '.join(f'l{i}' for i in range(len(_LETTERS)))}) AS top FROM logs),
+totals AS (SELECT *, {' + '.join(f'exp(l{i} - top)' for i in range(len(_LETTERS)))} AS total FROM tops),
+shares AS (SELECT *, {_P_SQL}, list_sort([{', '.join(f'l{i}' for i in range(len(_LETTERS)))}], 'DESC') AS ordered FROM totals)
+SELECT {KEYS}, digest AS prompt_md5, CASE {' '.join(f"WHEN l{i} = top THEN '{x}'" for i, x in enumerate(_LETTERS))} END AS predicted, NEAR(1 / total, 6) AS max_p, NEAR(ordered[1] - ordered[2], 6) AS log_margin, NEAR(-({' + '.join(f'p{i} * ln(p{i})' for i in range(len(_LETTERS)))}), 6) AS entropy, 'logprob' AS confidence_method FROM shares""",
+)
+def score_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain from frames to a label: render, prompt, answers (kept as they come), distribution, confidence."""
+    text = Fe.render(Fe.node_features(blind(event_frames(spark, sf_dir))))
+    prompts = text.select(*WINDOW_KEY, Fe.fill_prompt(_TEMPLATE, legend=Fe.legend(_LABELS), query=F.col("text")).alias("prompt"))
+    store = held(f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}")
+    rows = Ag.readouts(An.score_once(prompts, store, digest_scorer, "openai", "digest"), "openai", _LETTERS, "offline", "digest")
+    return rows.select(*WINDOW_KEY, F.md5("prompt").alias("prompt_md5"), "predicted", *[near(c, 6).alias(c) for c in ("max_p", "log_margin", "entropy")], "confidence_method")
+
+
 @query(
     "rank_median_window",
     sql_with(
