@@ -34,7 +34,7 @@ def node_payload(frames: DataFrame, relative: bool = True) -> DataFrame:
 def waveforms(frames: DataFrame) -> DataFrame:
     """WINDOW_KEY and a JSON text a window; nulls are written out."""
     per = node_payload(frames)
-    nodes = per.groupBy(*WINDOW_KEY).agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("label").alias("label"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("node", F.to_json("payload", {"ignoreNullFields": "false"}))))).alias("nodes"))
+    nodes = per.groupBy(*WINDOW_KEY).agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("label").alias("label"), F.map_from_entries(F.collect_list(F.struct("node", "payload"))).alias("nodes"))
     body = F.struct("dataset", "subject", F.col("label").alias("activity"), F.round("start", 4).alias("start_sec"), F.round("end", 4).alias("end_sec"), "nodes")
     return nodes.select(*WINDOW_KEY, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
@@ -47,6 +47,20 @@ def pairs(clean: DataFrame, injected: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.join(before, list(WINDOW_KEY)).join(after, list(WINDOW_KEY))
 
 
+def pair_documents(paired: DataFrame, levels: Sequence[str] = ("dataset", "subject", "activity")) -> DataFrame:
+    """``pairs`` rows (and ``activity``) as documents for ``sources.documents``: the columns of ``levels``, file and json.
+
+    A pair's file is named by its window, failure and severity.
+    """
+    name = F.format_string("%s_%s_%s_%d_%d_%s_sev%d.json", F.col("dataset"), F.col("subject").cast("string"), F.col("activity"), F.col("seg"), F.col("win"), F.col("failure"), F.col("severity"))
+    nodes = F.map_from_entries(F.transform("clean", lambda r: F.struct(r["node"], r["payload"])))
+    body = F.struct(
+        "dataset", F.col("subject").cast("string").alias("subject"), "activity", "seg", "win", F.round("start", 4).alias("start_sec"), F.round("end", 4).alias("end_sec"),
+        "failure", "severity", "target_node", "realised", nodes.alias("clean"), F.col("injected.payload").alias("injected"),
+    )
+    return paired.select(*[F.col(x).cast("string").alias(x) for x in levels], name.alias("file"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def slim_verdicts(verdicts: DataFrame) -> DataFrame:
     """The columns of a verdict that an export carries."""
     return verdicts.select(*NODE_KEY, "diagnosis", "rule", "state", "trust_weight", F.round("min_sub_score", 4).alias("min_sub_score"), F.transform_values("evidence", lambda k, v: F.round(v, 5)).alias("evidence"))

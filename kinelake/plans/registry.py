@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, event_queries, log_queries, table_queries
+from . import evaluation_queries, event_queries, export_queries, log_queries, table_queries
 
-_MODULES = (event_queries, table_queries, evaluation_queries, log_queries)
+_MODULES = (event_queries, table_queries, evaluation_queries, log_queries, export_queries)
 
 
 def queries() -> dict:

@@ -40,6 +40,14 @@ def waveform_frames(rows: DataFrame) -> DataFrame:
     return each.select("dataset", "subject", "seg", "win", "start", "end", "label", "node", (F.col("pos") + 1).alias("idx"), (F.col("start") + F.col("rel")).alias("t"), *accel, *gyro, F.col("n.has_gyro").alias("has_gyro"))
 
 
+_PAIR = f"dataset string, subject string, activity string, seg long, win long, start_sec double, end_sec double, failure string, severity int, target_node string, realised map<string,double>, clean map<string,{_NODE}>, injected {_NODE}"
+
+
+def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Exported pairs of a folder, a row a document, by Spark's reader; only files that the manifest's write left are there."""
+    return spark.read.schema(_PAIR).option("multiLine", "true").option("pathGlobFilter", "*_sev*.json").json(folder)
+
+
 def read_yaml(spark: SparkSession, path: str) -> dict:
     """A small YAML file by Spark's reader (settings, few-shot examples); needs the yaml package."""
     try:

@@ -182,7 +182,7 @@ def test_exports(spark, tmp_path):
     rows = window(n=3, accel=lambda node, i: (NAN, NAN, NAN) if i == 1 else (0.123456789, 1.0, 2.0))
     df = frames(spark, rows).withColumn("label", F.lit("walking"))
     made = json.loads(E.waveforms(df).first()["json"])
-    node = json.loads(made["nodes"]["chest"])
+    node = made["nodes"]["chest"]
     assert node["gyro_dps"] is None and node["accel_g"]["x"] == [0.12346, None, 0.12346] and node["t"] == [0.0, 0.01, 0.02]
     tree = json.loads(E.manifest(spark.createDataFrame([("d", "s1", "w", "f2"), ("d", "s1", "w", "f1"), ("d", "s2", "r", "f3")], "dataset string, subject string, activity string, file string")).first()["json"])
     assert tree == {"d": {"s1": {"w": ["f1", "f2"]}, "s2": {"r": ["f3"]}}}
