@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,12 @@ def verify_labels(counts: DataFrame, dimension: DataFrame, thin_below: int = 500
     return both.select("activity_id", "name", n.cast("long").alias("n"), tier.alias("tier"), finding.alias("finding"))
 
 
+def verify_observed(spark: SparkSession, activities: Mapping[int, int], dimension: DataFrame, thin_below: int = 500, undocumented_from: int = 1000) -> DataFrame:
+    """``verify_labels`` from counts that were taken while the samples were stored (``profile.stored_samples``)."""
+    counts = spark.createDataFrame([(int(k), int(n)) for k, n in activities.items()], "activity_id int, n long")
+    return verify_labels(counts, dimension, thin_below, undocumented_from)
+
+
 def missing_activities(observed: DataFrame, dimension: DataFrame) -> DataFrame:
     """Mapped activities that never occur: an anti join."""
     return dimension.where("role = 'mapped'").join(observed.select("activity_id").distinct(), "activity_id", "left_anti")

@@ -31,11 +31,11 @@ def means_of_signals(signals: DataFrame) -> DataFrame:
 
 def calibrate(frames: DataFrame, max_windows: int | None = 60) -> DataFrame:
     """(dataset, node): unit reference, and mean, 95th percentile (exact) and maximum of the angles against it."""
-    return calibrate_means(window_means(frames), max_windows)
+    return calibrate_means(written(window_means(frames), "window-means"), max_windows)  # a row a window and node, read twice
 
 
 def calibrate_means(means: DataFrame, max_windows: int | None = 60) -> DataFrame:
-    """As ``calibrate``, from the mean vectors of windows."""
+    """As ``calibrate``, from the mean vectors of windows, a stored table or one that is cheap to read twice."""
     if max_windows is not None:
         means = first_windows(means, max_windows, "dataset")
     centre = means.groupBy("dataset", "node").agg(*[F.avg(m).alias(c) for m, c in zip(("mx", "my", "mz"), ("cx", "cy", "cz"), strict=True)])
@@ -43,7 +43,7 @@ def calibrate_means(means: DataFrame, max_windows: int | None = 60) -> DataFrame
     ref = centre.where(length > 1e-9).select("dataset", "node", *[(F.col(c) / length).alias(r) for c, r in zip(("cx", "cy", "cz"), ("ref_x", "ref_y", "ref_z"), strict=True)])
     own = [F.col(m) for m in ("mx", "my", "mz")]
     turned = means.where(norm(*own) > 1e-9).join(F.broadcast(ref), ["dataset", "node"]).withColumn("angle", angle(own, [F.col(r) for r in ("ref_x", "ref_y", "ref_z")]))
-    turned = written(turned.select("dataset", "node", "angle"), "calibration-angles")
+    turned = turned.select("dataset", "node", "angle")
     spread = turned.groupBy("dataset", "node").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("angle").alias("mean_angle"), F.max("angle").alias("max_angle"))
     spread = spread.join(percentile_of(turned, ("dataset", "node"), "angle", 0.95).withColumnRenamed("percentile", "p95"), ["dataset", "node"], "left")
     return ref.join(spread, ["dataset", "node"], "left").select("dataset", "node", "ref_x", "ref_y", "ref_z", "n_windows", "mean_angle", "p95", "max_angle")
