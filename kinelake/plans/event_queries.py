@@ -717,6 +717,12 @@ def window_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.window_counts(G.sliding_windows(segmented(spark, sf_dir), WIDTH), ("dataset", "subject"))
 
 
+@query("first_windows", sql_with(last='SELECT dataset, subject, seg, win, "start" FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY seg, win) AS place FROM windows) WHERE place <= 2'))
+def first_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two windows of each subject in stream order."""
+    return Sa.first_n(G.sliding_windows(segmented(spark, sf_dir), WIDTH), 2, ["subject"], ["seg", "win"]).select(*WINDOW_KEY, "start")
+
+
 @query(
     "paired_effect",
     sql_with(

@@ -16,10 +16,10 @@ from ..operators import sampling as Sa
 from ..operators import segment as G
 from ..operators.blind import blind
 from ..sources.documents import read_manifest, write_documents
-from ..sources.results import read_pairs
+from ..sources.results import WINDOW_JSON, read_pairs, waveform_frames
 from ..tables import held, shared_dir, written
 from .evaluation_queries import CONDITIONS, evaluation_sql, folded, strategies, unioned
-from .event_queries import _VALID, CELL, TARGET, WIDTH, segmented
+from .event_queries import _VALID, CELL, TARGET, WIDTH, event_frames, segmented, sql_with
 from .rounding import near, nudged
 
 TRIALS = 32
@@ -74,3 +74,19 @@ QUERIES["export_pairs_back"] = (
 FROM nodes n JOIN frames f ON f.node = '{TARGET}' AND f.dataset = n.dataset AND f.subject = n.subject AND f.win = n.win AND f.seg % {TRIALS} > 0 AND f.seg - f.seg % {TRIALS} = n.seg GROUP BY n.activity, f.seg, n.subject, n.seg, n.win""",
     )),
 )
+
+
+def waveforms_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window as its JSON document and as frames again: samples, dropped ones and absent gyroscopes, a node."""
+    frames = event_frames(spark, sf_dir).withColumn("label", F.lit("activity"))
+    texts = E.waveforms(frames.withColumn("subject", F.col("subject").cast("string")))
+    back = waveform_frames(texts.select("seg", "win", F.from_json("json", WINDOW_JSON).alias("w")).select("seg", "win", "w.*"))
+    return back.groupBy("dataset", "subject", "seg", "win", "node").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.isnan("ax")).alias("n_lost"), F.count("gx").alias("n_gyro"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), near(F.sum(F.nanvl("ax", F.lit(None))), 4).alias("sum_x"), F.first("has_gyro").alias("has_gyro"),
+    )
+
+
+QUERIES["waveforms_back"] = (
+    waveforms_back,
+    nudged(sql_with(last="SELECT dataset, subject::VARCHAR AS subject, seg, win, node, count(*) AS n, count(*) FILTER (WHERE isnan(ax)) AS n_lost, count(gx) AS n_gyro, min(t) AS first_t, max(t) AS last_t, NEAR(sum(CASE WHEN NOT isnan(ax) THEN ax END), 4) AS sum_x, any_value(has_gyro) AS has_gyro FROM frames GROUP BY dataset, subject, seg, win, node")),
+)

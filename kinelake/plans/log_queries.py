@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sampling import numbered
 from ..sources import logs as L
+from ..sources.raw import DatasetReplay
 from ..tables import held, shared_dir
 from .rounding import near, near_sql, nudged
 
@@ -75,3 +77,37 @@ def read_mhealth_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["read_pamap2_back"] = (read_pamap2_back, _sql("pamap2"))
 QUERIES["read_mhealth_back"] = (read_mhealth_back, _sql("mhealth"))
+
+
+#: Rows of a stretch with one activity, and of one without a gap; the stretches' activities, of which two have a label.
+_ACTIVITY_ROWS, _GAP_ROWS, _STRETCHES = 700, 450, (4, 0, 5, 24)
+
+
+def replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a replayed dataset: events on a 100 Hz clock, with gaps, dropped samples, and activities without a label."""
+    rows = log_rows(spark, sf_dir, "pamap2").withColumnRenamed("t", "ts")
+    placed = numbered(rows, ["subject"], ["ts", "event_id"]).withColumn("i", F.col("at"))
+    activity = F.element_at(F.array(*[F.lit(float(a)) for a in _STRETCHES]), (F.floor(F.col("i") / _ACTIVITY_ROWS) % len(_STRETCHES) + 1).cast("int"))
+    cells = F.concat(F.array(F.col("i") / F.lit(100.0) + F.floor(F.col("i") / _GAP_ROWS) * F.lit(0.5), activity), F.slice("cells", 3, L.LAYOUTS["pamap2"].width - 2))
+    path = held(f"{shared_dir(spark)}/logs-replay-{uuid.uuid4().hex}")
+    L.write_logs(placed.select("subject", "i", cells.alias("cells")), "pamap2", path, ["i"])
+    windows, _ = DatasetReplay(spark, "pamap2", path).windows()
+    return windows.select("dataset", "subject", "seg", "win", "start", "end", "label", "n_samples")
+
+
+QUERIES["replay_windows"] = (
+    replay_windows,
+    f"""
+WITH RECURSIVE placed AS (SELECT *, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) - 1 AS i FROM events),
+logged AS (SELECT 'subject' || ({_FIRST['pamap2']} + user_id % 3) AS subject, i / 100.0::DOUBLE + (i // {_GAP_ROWS}) * 0.5::DOUBLE AS t, {list(_STRETCHES)}[(i // {_ACTIVITY_ROWS}) % {len(_STRETCHES)} + 1] AS activity, event_id FROM placed),
+usable AS (SELECT * FROM logged WHERE activity IN (4, 5) AND event_id % 11 <> 0),
+marked AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 0.1 OR activity <> lag(activity) OVER w THEN 1 ELSE 0 END AS brk FROM usable WINDOW w AS (PARTITION BY subject ORDER BY t)),
+segmented AS (SELECT *, sum(brk) OVER (PARTITION BY subject ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS seg FROM marked),
+bounds AS (SELECT subject, seg, min(t) AS t0, max(t) AS t1, any_value(activity) AS activity FROM segmented GROUP BY subject, seg),
+found AS (
+  SELECT subject, seg, activity, t1, 0::BIGINT AS win, t0 AS "start" FROM bounds WHERE t1 - t0 >= 2.56 AND t0 + 2.56 <= t1 + 1e-9
+  UNION ALL SELECT subject, seg, activity, t1, win + 1, "start" + 1.28::DOUBLE FROM found WHERE ("start" + 1.28::DOUBLE) + 2.56 <= t1 + 1e-9
+)
+SELECT 'pamap2' AS dataset, f.subject, f.seg, f.win, f."start", f."start" + 2.56::DOUBLE AS "end", CASE f.activity WHEN 4 THEN 'walking' ELSE 'running' END AS label, count(*) AS n_samples
+FROM found f JOIN segmented s ON s.subject = f.subject AND s.seg = f.seg AND s.t >= f."start" AND s.t < f."start" + 2.56::DOUBLE GROUP BY f.subject, f.seg, f.win, f."start", f.activity HAVING count(*) >= 154""",
+)

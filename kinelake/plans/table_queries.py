@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence as Co
 from ..labels import missing_activities, verify_labels
+from ..operators import agent as Ag
 from ..operators import effects as X
 from ..operators import features as Fe
 from ..operators import sampling as Sa
@@ -138,6 +139,35 @@ r AS (SELECT vec_id, label, pa, pb, pc, CASE WHEN pa >= pb AND pa >= pc THEN 'A'
 """
 
 
+def response_bodies() -> dict[str, Column]:
+    """The candidates as each service style answers with them, as JSON."""
+    pairs = candidates()
+    as_map = F.map_from_entries(pairs)
+    log_p = F.transform(pairs, lambda c: F.struct(c["token"].alias("token"), c["logprob"].alias("logProbability")))
+    named = F.transform(pairs, lambda c: F.struct(c["token"].alias("tok_str"), c["logprob"].alias("logprob")))
+    return {
+        "llamacpp": F.to_json(F.struct(F.array(F.struct(named.alias("probs"))).alias("completion_probabilities"))),
+        "vllm": F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.lit(None).cast("map<string,double>"), as_map).alias("top_logprobs")).alias("logprobs"))).alias("choices"))),
+        "ollama_native": F.to_json(F.struct(F.array(F.struct(pairs.alias("top_logprobs"))).alias("logprobs"))),
+        "gemini": F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(log_p.alias("candidates"))).alias("topCandidates")).alias("logprobsResult"))).alias("candidates"))),
+        "openai": F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(pairs.alias("top_logprobs"))).alias("content")).alias("logprobs"))).alias("choices"))),
+    }
+
+
+@query(
+    "extract_styles",
+    _READOUT_SQL + "SELECT style, vec_id, predicted, NEAR(max_p, 6) AS max_p, NEAR(log_margin, 6) AS log_margin, 'logprob' AS confidence_method FROM r, (SELECT unnest(['llamacpp', 'vllm', 'ollama_native', 'gemini', 'openai']) AS style)",
+)
+def extract_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every service's response to one distribution: five formats, one answer."""
+    out = None
+    for style, body in response_bodies().items():
+        rows = Ag.readouts(read(spark, sf_dir, "embeddings").select("vec_id", body.alias("response")), style, LABELS, "p", "m")
+        part = rows.select(F.lit(style).alias("style"), "vec_id", "predicted", near("max_p", 6).alias("max_p"), near("log_margin", 6).alias("log_margin"), "confidence_method")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("softmax_confidence", _READOUT_SQL + "SELECT vec_id, predicted, NEAR(max_p, 6) AS max_p, NEAR(log_margin, 6) AS log_margin, NEAR(entropy, 6) AS entropy, NEAR(pa, 6) AS p_a, NEAR(pb, 6) AS p_b, NEAR(pc, 6) AS p_c, 0.0::DOUBLE AS p_d FROM r")
 def softmax_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readouts(spark, sf_dir)

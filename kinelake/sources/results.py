@@ -12,7 +12,8 @@ from ..functions.samples import ACCEL, AXES, GYRO, NAN
 
 _XYZ = "struct<x:array<double>,y:array<double>,z:array<double>>"
 _NODE = f"struct<has_gyro:boolean,t:array<double>,accel_g:{_XYZ},gyro_dps:{_XYZ}>"
-_WINDOW = f"dataset string, subject string, activity string, start_sec double, end_sec double, nodes map<string,{_NODE}>"
+#: Schema of an exported window's document.
+WINDOW_JSON = f"dataset string, subject string, activity string, start_sec double, end_sec double, nodes map<string,{_NODE}>"
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame | None:
@@ -27,7 +28,7 @@ def read_result(spark: SparkSession, path: str) -> DataFrame | None:
 
 def read_waveforms(spark: SparkSession, path: str) -> DataFrame:
     """Exported windows as frames: a null element is a dropped sample (NaN), a null gyroscope an absent one."""
-    rows = spark.read.schema(_WINDOW).option("multiLine", "true").json(path)
+    rows = spark.read.schema(WINDOW_JSON).option("multiLine", "true").json(path)
     return waveform_frames(rows.select("*", F.lit(1).alias("seg"), F.lit(0).cast("long").alias("win")))
 
 
