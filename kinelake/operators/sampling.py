@@ -48,15 +48,49 @@ def middle_excerpt(rows: DataFrame, by: Sequence[str], order: Sequence[str], len
     return placed.where((offset >= 0) & (offset < taken) & (F.pmod(offset, stride) == 0)).drop("at", "of")
 
 
+#: Leading bits of a lot that are counted at once, and rows of one bucket that are told apart by sorting them.
+DIGIT_BITS, FEW = 16, 4096
+
+
+def smallest(rows: DataFrame, k: int, by: Sequence[str], lot: str, tie: Sequence[str]) -> DataFrame:
+    """The ``k`` rows of each group with the least (``lot``, ``tie``), a total order; ``lot`` is a whole number.
+
+    No group is sorted: rows are counted by the leading bits of their lots, which shows the bucket that the k-th
+    is in; its rows are counted by the next bits, until they are few. One filter then keeps what is below, and of
+    that bucket's rows as many as are missing. ``rows`` is read once a round; for lots that are hashes there is one.
+    """
+    by = list(by)
+    digit = lambda shift: F.shiftright(F.col(lot).cast("long"), shift)  # noqa: E731  keeps the order, sign included
+    bound = None
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        inside = rows.withColumn("need", F.lit(k)) if bound is None else rows.withColumn("prefix", digit(shift + DIGIT_BITS)).join(bound.select(*by, F.col("prefix"), "need"), [*by, "prefix"])
+        counts = inside.groupBy(*by, digit(shift).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+        order = Window.partitionBy(*by).orderBy("prefix")  # a row a bucket that holds any
+        counts = counts.withColumn("below", F.sum("n").over(order) - F.col("n"))
+        found = counts.where((F.col("below") < F.col("need")) & (F.col("below") + F.col("n") >= F.col("need")))
+        bound = written(found.select(*by, "prefix", (F.col("need") - F.col("below")).alias("need"), "n"), "lot-bounds")
+        if (bound.agg(F.max("n")).first()[0] or 0) <= FEW:
+            break
+    # A group with fewer than k rows has no bound and is kept whole.
+    placed = rows.withColumn("lot_prefix", digit(shift)).join(bound.select(*by, F.col("prefix").alias("bound"), "need"), by, "left")
+    low = placed.where(F.col("bound").isNull() | (F.col("lot_prefix") < F.col("bound")))
+    here = placed.where(F.col("lot_prefix") == F.col("bound")).withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(lot, *tie))).where(F.col("at") <= F.col("need"))
+    return low.select(*rows.columns).unionByName(here.select(*rows.columns))
+
+
 def round_robin(rows: DataFrame, n_total: int, classes: Sequence[str], seed: int, label: str = "label", subject: str = "subject", identity: Sequence[str] = ("seg", "win"), draw_by: Column | None = None) -> DataFrame:
     """n_total // classes rows a class, one of each subject in turn, each subject's own in drawn order; all in a drawn order in the end."""
     per_class = max(1, n_total // len(classes))
     lot = draw_by if draw_by is not None else drawn(seed, subject, *identity)
-    kept = rows.where(F.col(label).isin(list(classes))).withColumn("lot", lot)
-    turn = F.row_number().over(Window.partitionBy(label, subject).orderBy("lot", *identity))
-    turns = kept.withColumn("turn", turn).where(F.col("turn") <= per_class)
-    place = F.row_number().over(Window.partitionBy(label).orderBy("turn", subject))
-    return turns.withColumn("place", place).where(F.col("place") <= per_class).drop("lot", "turn", "place")
+    kept = smallest(rows.where(F.col(label).isin(list(classes))).withColumn("lot", lot.cast("long")), per_class, [label, subject], "lot", identity)
+    turns = written(kept.withColumn("turn", F.row_number().over(Window.partitionBy(label, subject).orderBy("lot", *identity))), "turns")  # per_class rows a group at most
+    # Whole turns are taken while they fit; of the next one, the first subjects.
+    sizes = turns.groupBy(label, "turn").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("room", F.lit(per_class) - (F.sum("n").over(Window.partitionBy(label).orderBy("turn")) - F.col("n"))).where(F.col("room") > 0)
+    placed = turns.join(sizes, [label, "turn"])
+    whole = placed.where(F.col("n") <= F.col("room")).select(*turns.columns)
+    part = placed.where(F.col("n") > F.col("room")).withColumn("place", F.row_number().over(Window.partitionBy(label, "turn").orderBy(subject))).where(F.col("place") <= F.col("room")).select(*turns.columns)
+    return whole.unionByName(part).drop("lot", "turn")
 
 
 def middle_of_run(rows: DataFrame, n_total: int, classes: Sequence[str], label: str = "label", order: Sequence[str] = ("subject", "seg", "win")) -> DataFrame:
@@ -75,8 +109,8 @@ class SubjectOverlapError(ValueError):
 
 def few_shot(rows: DataFrame, k: int, classes: Sequence[str], seed: int, label: str = "label", identity: Sequence[str] = ("subject", "seg", "win"), draw_by: Column | None = None) -> DataFrame:
     """``k`` examples a class by lot."""
-    kept = rows.where(F.col(label).isin(list(classes))).withColumn("lot", draw_by if draw_by is not None else drawn(seed, *identity))
-    return kept.withColumn("at", F.row_number().over(Window.partitionBy(label).orderBy("lot", *identity))).where(F.col("at") <= k).drop("lot", "at")
+    kept = rows.where(F.col(label).isin(list(classes))).withColumn("lot", (draw_by if draw_by is not None else drawn(seed, *identity)).cast("long"))
+    return smallest(kept, k, [label], "lot", identity).drop("lot")
 
 
 def require_disjoint(examples: DataFrame, evaluation: DataFrame, subject: str = "subject") -> None:
