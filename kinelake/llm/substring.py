@@ -3,8 +3,8 @@
 1. Every text becomes its sequence of word hashes; equal sequences are one node,
    so copies take part once. Winnowing picks seed places: the least 4-word hash of
    each 12 successive ones. A place gives a key with each of the next two seed
-   places (the pair survives edits around and between them), and, more sparsely,
-   a key of 28 words, which ties long exact passages to texts that share as much.
+   places (the pair survives edits around and between them), and of each 7 successive
+   places one has a key of 22 words, which ties exact passages to texts that share as much.
 2. Keys join through a star: each place of a key meets the key's first place
    (its hub), and a further place in the hub's text the key's last text; as many
    matches as places, however many texts share a passage. Keys of two seeds are
@@ -17,10 +17,13 @@
    common subsequence, the ends extended while they score, over small shifts too)
    on the 64-word blocks around them; only those blocks are moved.
 
-An exact passage of 28 words holds two neighbouring seed places in both texts, and
-one of 47 words a 28-word key; its hub then shares at least those. Fuzzy passages
-need two seeds in order, unharmed and with at most one other between them: tests
-measure the share found at 10 and 15 % of changed words. Keys are 64-bit hashes;
+An exact passage of 28 words holds a 22-word key, in both texts at the same place. A key's
+texts are compared with its hub, not with each other, so a passage is certain to be found
+where no other text shares 22 words of it, or where the hub shares all of it. Where many
+texts say one phrase of 22 words or more, and two of them a few words more around
+it, those two meet only through a key that goes beyond the phrase: tests
+measure how often they do. Fuzzy passages need two seeds in order, unharmed and with at
+most one other between them: tests measure the share found at 10 and 15 % of changed words. Keys are 64-bit hashes;
 matches by chance are thrown out in the alignment. Equal texts are told by a
 128-bit cryptographic digest of their words.
 
@@ -53,7 +56,10 @@ from .textvec import doc_words, mix, runs, text_digests, word_spans
 SEED, WINDOW = 4, 12
 #: A seed makes a key with so many of those that follow it.
 PARTNERS = 2
-LONG, LONG_WINDOW = 28, 20
+#: Words of a long key, and successive places of which one makes a key: any 28 words hold one whole.
+LONG, LONG_EACH = 22, 7
+#: A long key said again within so many words of its last place counts once; fragments with no more between them are one.
+LONG_WINDOW = 20
 #: A key's place and the distance to its second seed in one number; 0 is a long key.
 DISTANCE_BITS = 12
 MIN_WORDS = 28
@@ -152,8 +158,8 @@ def paired_places(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def long_places(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, key) of the 28-word keys: no key of a text is lost, and one a window or so stays in a run."""
-    text, at, _ = seed_places(words, first, 6, LONG_WINDOW)
+    """(text, place, key) of the long keys: no key of a text is lost, and one a window or so stays in a run."""
+    text, at, _ = seed_places(words, first, 6, LONG_EACH)
     whole = at + LONG <= np.diff(first)[text]
     text, at = text[whole], at[whole]
     key = mix(runs(words, LONG)[first[text] + at] + np.uint64(LONG)) if len(at) else np.zeros(0, np.uint64)
@@ -162,7 +168,7 @@ def long_places(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def keyed_places(words: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Of one text: (places, distances, keys) of its pairs of seeds and (places, keys) of its 28-word keys."""
+    """Of one text: (places, distances, keys) of its pairs of seeds and (places, keys) of its long keys."""
     first = np.array([0, len(words)])
     return paired_places(words, first)[1:], long_places(words, first)[1:]
 
