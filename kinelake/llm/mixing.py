@@ -62,14 +62,14 @@ def poisson_cdf(rate: Column) -> Column:
     return F.struct(low.alias("low"), cdf.alias("cdf"))
 
 
-def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, max_rate: float) -> DataFrame:
+def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, max_rate: float | None = None) -> DataFrame:
     """(source, rate): the mean number of copies that brings each source to its share of as many rows as there are.
 
     Without ``weights`` the target share is n ** temperature, the usual
     temperature mix, whose rates grow with the table (by its square root, where a
-    source is one row) and are never refused. Rates from ``weights`` above
-    ``max_rate`` are refused, not clipped: a target that repeats one document
-    more often is an error in the weights.
+    source is one row). Where a ``max_rate`` is given, rates from ``weights`` above it
+    are refused, not clipped: a target that repeats one document more often is
+    then taken for an error in the weights.
     """
     counts = docs.groupBy(F.col(source_col).cast("string").alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
@@ -81,12 +81,12 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, te
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
     rate = F.round(F.col("w") * F.col("all_n") / (F.col("all_w") * F.col("n")), 9)
     known = counts.where("w > 0").crossJoin(F.broadcast(total)).withColumn("rate", rate)  # total: one row
-    if weights is None:
+    if weights is None or max_rate is None:
         return known.select("mix_source", "rate")
     return known.select("mix_source", F.when(F.col("rate") <= max_rate, F.col("rate")).otherwise(F.raise_error(F.lit("a rate is above max_rate"))).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = SEED, max_rate: float = 500.0) -> DataFrame:
+def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = SEED, max_rate: float | None = None) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, globally shuffled, plus copy_no, n_copies and shuffle_key."""
     own = docs.columns
     origin, table_name, n, no, place = (free_name(x, own) for x in ("mix_source", "mix_cdf", "n_copies", "copy_no", "shuffle_key"))

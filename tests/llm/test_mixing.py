@@ -53,6 +53,13 @@ def test_wild_rates_are_refused(spark):
     df = docs(spark, [(i, "t", "rare" if i == 0 else "common") for i in range(2000)])
     with pytest.raises(Exception, match="max_rate"):
         mix_sources(df, weights={"rare": 1.0}, max_rate=10.0).count()
+    assert mix_sources(df, weights={"rare": 1.0}).count() > 0
+
+
+def test_rates_above_any_bound_are_right_by_default(spark):
+    df = docs(spark, [(i, f"t{i}", "many") for i in range(2000)] + [(5000, "only", "rare")])
+    n = mix_sources(df, weights={"rare": 1.0}).count()
+    assert abs(n - 2001) < 6 * 2001**0.5
 
 
 @pytest.mark.parametrize("rate", [499.5, 500.5, 744.0, 2000.0, 31_000.0])
