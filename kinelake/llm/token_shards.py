@@ -18,7 +18,8 @@ starts need one token count a partition on the driver.
 
 Defined cases: null text counts as empty and holds the end id only; a null doc_id
 sorts first; a very long text is one document in one shard; repeated rows are
-documents of their own, next to each other; an empty table gives no shards; other
+documents of their own, next to each other, and many rows with one identifier or none are
+spread by their texts; ids may have 32 bits; an empty table gives no shards; other
 columns are ignored.
 """
 
@@ -46,6 +47,8 @@ _PIECE = 4096
 #: A piece is deflated if less than this share of its bits are ones, or zeros.
 _SKEWED = 0.25
 MEMO_WORDS = 1_200_000
+#: Ids below this are counted in a table.
+_TABLE = 1 << 22
 #: Shards whose starts (24 bytes each) are broadcast, at most.
 BROADCAST_SHARDS = 200_000
 
@@ -134,14 +137,19 @@ class WaveletMatrix:
         n = len(ids)
         if n and int(ids.max()) >> levels:
             raise ValueError("an id needs more bit-planes")
-        counts = np.bincount(ids) if n else np.zeros(0, np.int64)
-        used = np.flatnonzero(counts)
-        alphabet = used[np.argsort(-counts[used], kind="stable")]
+        if n and int(ids.max()) >= _TABLE:  # a table by id would be too large
+            used, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        else:
+            place, counts = ids, np.bincount(ids) if n else np.zeros(0, np.int64)
+            used = np.arange(len(counts))
+        by_count = np.argsort(-counts, kind="stable")
+        by_count = by_count[: np.count_nonzero(counts)]
+        alphabet = used[by_count]
         planes = max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 0
         kind = np.uint16 if planes <= 16 else np.uint32
         code = np.zeros(len(counts), kind)
-        code[alphabet] = np.arange(len(alphabet), dtype=kind)
-        current = code[ids] if n else code
+        code[by_count] = np.arange(len(by_count), dtype=kind)
+        current = code[place] if n else code
         body = []
         for level in reversed(range(planes)):
             bit = (current & kind(1 << level)).astype(bool)
@@ -275,11 +283,12 @@ def encode_batch(texts: list[str], path: str | None = None) -> list[np.ndarray]:
 _SHARD = "part int, seq int, file binary"
 
 
-def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, levels: int = 16) -> DataFrame:
+def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, levels: int = 32) -> DataFrame:
     """The table of shards (part, seq, file), in ascending doc_id by (part, seq)."""
     small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    # Rows that share an identifier, or have none, are parted by their texts.
+    rows = rows.withColumn("own", F.xxhash64("text")).repartitionByRange("doc_id", "own").sortWithinPartitions("doc_id", "own", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def task(batches):
         part, seq, ids, docs_here, lengths, held = 0, 0, [], [], [], 0

@@ -190,3 +190,23 @@ def test_files_are_smaller_than_plain_ids():
     ids = np.minimum(rng.zipf(1.3, 200_000), 49_000).astype(np.uint32)
     data = WaveletMatrix.build(ids, 16, [len(ids)], [1])
     assert len(data) < 1.6 * len(ids) and WaveletMatrix(data).all().tolist() == ids.tolist()
+
+
+@pytest.mark.parametrize("most", [70_000, 1 << 31])
+def test_shards_of_large_vocabularies(most):
+    ids = np.random.default_rng(3).integers(0, most, 3000).astype(np.uint32)
+    ids[::7] = most - 1
+    shard = WaveletMatrix(WaveletMatrix.build(ids, 32, [1000, 2000], [4, 9]))
+    assert (shard.all() == ids).all() and shard.documents() == ([4, 9], pytest.approx([1000, 2000]))
+    assert shard.rank(most - 1, 3000) == int((ids == most - 1).sum()) and shard.access(14) == most - 1 and shard.select(most - 1, 2) == 14
+
+
+def test_many_rows_without_an_identifier_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = write_shards(docs(spark, [(None, prose(30, i)) for i in range(400)] + [(7, prose(30, 900 + i)) for i in range(400)]), shard_tokens=1 << 20)
+        assert shards.select("part").distinct().count() > 2
+        rows = read_shards(shards).collect()
+        assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])] == [None] * 400 + [7] * 400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
