@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.operators import WINDOW_KEY
 from kinelake.operators import inject as I
 from kinelake.tables import shared_table
 
@@ -45,7 +44,3 @@ def test_a_shared_table_is_made_once_for_each_state_of_its_source(spark, tmp_pat
     assert a == [[0, 2, 4, 6, 8]] * 3 and len(made) == 1
     spark.range(7).write.mode("overwrite").parquet(source)
     assert shared_table(spark, source, "probe", make).count() == 7 and len(made) == 2
-
-
-def test_window_key_is_what_conditions_are_told_apart_by():
-    assert set(WINDOW_KEY) <= set(I.NODE_KEY)
