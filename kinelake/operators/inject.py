@@ -445,6 +445,12 @@ def swept(rows: DataFrame, u: Column, rate_hz: float, per_second: float = 1.0) -
     return plain.unionByName(lossy).unionByName(kept(slow.shown(held)))
 
 
+def inject_swept(frames: DataFrame, target_node: str, u: Column, rate_hz: float, per_second: float = 1.0) -> DataFrame:
+    """``inject`` for frames that are there once a condition (columns as in ``swept``): the target's rows swept, the others' as they are."""
+    own = F.col("node") == target_node
+    return frames.where(~own).unionByName(swept(frames.where(own), u, rate_hz, per_second))
+
+
 def untouched(before: DataFrame, after: DataFrame, target_node: str) -> DataFrame:
     """Rows of other nodes that an injection changed: empty if all is well. NaN and NULL compare null-safely."""
     a = before.where(F.col("node") != target_node)
@@ -501,7 +507,7 @@ def invariants(before: DataFrame, after: DataFrame, per_second: float = 1.0, by:
     effect = (
         F.when(F.col("failure") == "clock_desync", (F.col("t_sum") - was("t_sum")) / F.col("n_own") * (1000.0 / per_second))
         .when(F.col("failure") == "rate_degradation", (was("n_values") - F.col("n_values")).cast("double"))
-        .when(F.col("failure") == "displacement", F.nanvl(turned, F.lit(None)))
+        .when(F.col("failure") == "displacement", F.nanvl(F.coalesce(turned, F.lit(0.0)), F.lit(None)))  # a window without a direction has not turned
         .otherwise((F.col("n_nan") - was("n_nan")).cast("double"))
     )
     per = both.withColumn("effect", effect).groupBy(*by).agg(

@@ -96,3 +96,19 @@ def test_invariants_see_each_kind_of_harm(spark):
     lost = sums_of(spark, lambda c: c.withColumn("ax", last("ax", "ankle", F.lit(NAN))))
     assert lost["n_nan"] == 1 and lost["n_nulls"] == 0 and lost["effect"] == 0.5
     assert sums_of(spark, lambda c: c.where("node <> 'wrist' or idx > 1"))["n_made"] == -2
+
+
+def test_the_invariants_plan_does_not_grow_with_the_conditions(spark, sf_dir):
+    from kinelake.plans import evaluation_queries as V
+
+    plan = V.injector_invariants(spark, sf_dir)._jdf.queryExecution().analyzed()
+    assert plan.collectLeaves().size() <= 12 < len(V.CONDITIONS)
+
+
+def test_a_window_without_a_direction_counts_as_not_turned(spark):
+    blank = lambda node, i: (NAN, NAN, NAN) if node == "ankle" else (0.0, 0.9, 0.2)
+    clean = frames(spark, [*window(win=0, n=20), *window(win=1, start=0.5, n=20, accel=blank)])
+    after, _ = I.inject(clean, "displacement", 4, "ankle")
+    key = ["failure", "severity", *I.WINDOW_KEY]
+    effects = [I.invariants(I.window_sums(a, "ankle"), I.window_sums(b.withColumns({"failure": F.lit("displacement"), "severity": F.lit(4)}), "ankle", key)).first()["effect"] for a, b in ((clean, after), (clean.where("win = 0"), after.where("win = 0")))]
+    assert effects[0] == pytest.approx(effects[1] / 2) and effects[1] > 0
