@@ -37,12 +37,16 @@ def trust_of(state: Column) -> Column:
     return out
 
 
+def own_threshold(phi: Column) -> Column:
+    """Half of what the smallest turn would show at ``phi``, never under the floor."""
+    return F.greatest(F.lit(ANGLE_FLOOR_DEG), ANGLE_FRACTION * observable_angle(SMALLEST_TURN_DEG, phi))
+
+
 def detection_threshold(node: Column, gravity: tuple[Column, ...], spread: Column) -> tuple[Column, Column, Column]:
     """(threshold in degrees, alignment, phi): half of what the smallest turn would show here, never under the floor or the natural spread."""
     alignment = F.abs(along_axis(node, gravity) / norm(*gravity))
     phi = F.degrees(F.acos(clip(alignment, -1.0, 1.0)))
-    own = F.greatest(F.lit(ANGLE_FLOOR_DEG), ANGLE_FRACTION * observable_angle(SMALLEST_TURN_DEG, phi))
-    return F.greatest(own, F.coalesce(spread, F.lit(0.0))), alignment, phi
+    return F.greatest(own_threshold(phi), F.coalesce(spread, F.lit(0.0))), alignment, phi
 
 
 def with_displacement(signals: DataFrame, references: DataFrame) -> DataFrame:
@@ -51,21 +55,24 @@ def with_displacement(signals: DataFrame, references: DataFrame) -> DataFrame:
     g = tuple(F.col(f"gravity_{a}") for a in "xyz")
     ref = tuple(F.col(f"ref_{a}") for a in "xyz")
     there = g[0].isNotNull() & ref[0].isNotNull()
-    turned = angle(g, ref)
-    threshold, alignment, phi = detection_threshold(F.col("node"), g, F.col("p95"))
-    bare, _, _ = detection_threshold(F.col("node"), g, F.lit(None).cast("double"))
+    # In steps, each over columns of the one before: written out, the threshold repeats the alignment hundreds of times.
+    rows = rows.withColumns({"turned": angle(g, ref), "alignment": F.abs(along_axis(F.col("node"), g) / norm(*g))})
+    rows = rows.withColumn("phi", F.degrees(F.acos(clip(F.col("alignment"), -1.0, 1.0))))
+    rows = rows.withColumn("bare", own_threshold(F.col("phi")))
+    rows = rows.withColumn("threshold", F.greatest("bare", F.coalesce("p95", F.lit(0.0))))
+    alignment = F.col("alignment")
     return rows.withColumns(
         {
-            "angle_deg": F.when(there, turned),
+            "angle_deg": F.when(there, F.col("turned")),
             "estimated_alignment": F.when(there, alignment),
-            "estimated_phi_deg": F.when(there, phi),
-            "threshold_deg": F.when(there, threshold),
-            "swamped": F.when(there, F.coalesce(F.col("p95") > bare, F.lit(False))),
-            "exceeded": F.when(there, turned > threshold),
+            "estimated_phi_deg": F.when(there, F.col("phi")),
+            "threshold_deg": F.when(there, F.col("threshold")),
+            "swamped": F.when(there, F.coalesce(F.col("p95") > F.col("bare"), F.lit(False))),
+            "exceeded": F.when(there, F.col("turned") > F.col("threshold")),
             "observability": F.when(there, F.when(alignment > 0.9, "low").when(alignment > 0.6, "medium").otherwise("high")),
             "no_reference_reason": F.when(~there, F.when(g[0].isNull(), "no valid samples").otherwise("no reference for this dataset and node")),
         }
-    ).drop("ref_x", "ref_y", "ref_z", "p95")
+    ).drop("ref_x", "ref_y", "ref_z", "p95", "turned", "alignment", "phi", "bare", "threshold")
 
 
 def aggregated(scores: list[Column]) -> tuple[Column, Column]:

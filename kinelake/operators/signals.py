@@ -1,8 +1,9 @@
 """Observable signals of one node in one window, and their sub-scores.
 
 One pass: window functions over (window, node) mark repeats, runs and gaps, and
-one aggregation by the same key gathers them, so frames are shuffled once. Only
-observations are read (see ``blind``).
+one aggregation by the same key gathers them, so frames are shuffled once. Distinct
+values are counted by their first places: a distinct aggregate would keep every
+other sum once a value instead of once a node. Only observations are read (see ``blind``).
 """
 
 from __future__ import annotations
@@ -23,21 +24,22 @@ SUB_SCORES = ("completeness", "staleness", "temporal", "sanity", "synchrony")
 
 
 def marked(frames: DataFrame) -> DataFrame:
-    """Per sample: missing, whether it equals the valid sample before it, and the islands that runs are counted on."""
+    """Per sample: missing, whether it equals the valid sample before it or is the first with its value, and the run (of repeats, of missing ones) up to it.
+
+    All but ``fresh`` looks along one order, so that a node's samples are sorted for it once.
+    """
     order = Window.partitionBy(*NODE_KEY).orderBy("idx")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    valid = ~F.col("miss")
     rows = frames.withColumn("miss", any_nan())
-    rows = rows.withColumn("vec", F.when(~F.col("miss"), F.struct(*ACCEL)))
+    rows = rows.withColumn("vec", F.when(valid, F.struct(*[(F.col(c) + F.lit(0.0)).alias(c) for c in ACCEL])))
+    rows = rows.withColumn("fresh", valid & (F.row_number().over(Window.partitionBy(*NODE_KEY, "vec").orderBy("idx")) == 1))
     rows = rows.withColumn("dupe", F.coalesce(F.col("vec") == F.last("vec", ignorenulls=True).over(before), F.lit(False)))
-    valid = ~F.col("miss")
-    rows = rows.withColumn("repeat_island", F.sum((valid & ~F.col("dupe")).cast("int")).over(upto))
-    rows = rows.withColumn("miss_island", F.sum(valid.cast("int")).over(upto))
-    rows = rows.withColumn("dt", F.col("t") - F.lag("t").over(order))
-    in_repeat = Window.partitionBy(*NODE_KEY, "repeat_island")
-    in_miss = Window.partitionBy(*NODE_KEY, "miss_island")
-    rows = rows.withColumn("repeat_run", F.when(valid, F.sum(valid.cast("int")).over(in_repeat)))
-    return rows.withColumn("miss_run", F.sum(F.col("miss").cast("int")).over(in_miss))
+    rows = rows.withColumns({"dt": F.col("t") - F.lag("t").over(order), "place": F.row_number().over(order), "n_valid": F.sum(valid.cast("int")).over(upto)})
+    began = F.last(F.when(valid & ~F.col("dupe"), F.col("n_valid")), ignorenulls=True).over(upto)
+    seen = F.coalesce(F.last(F.when(valid, F.col("place")), ignorenulls=True).over(upto), F.lit(0))
+    return rows.withColumns({"repeat_run": F.when(valid, F.col("n_valid") - began + 1), "miss_run": F.col("place") - seen})
 
 
 def node_signals(frames: DataFrame, per_second: float = 1.0, rate_hz: float | None = None) -> DataFrame:
@@ -62,7 +64,7 @@ def node_signals(frames: DataFrame, per_second: float = 1.0, rate_hz: float | No
         F.max("miss_run").cast("long").alias("nan_run_max"),
         F.max_by("miss", "idx").alias("nan_terminal"),
         (F.max("idx") - F.coalesce(F.max(F.when(valid, F.col("idx"))), F.lit(0))).cast("long").alias("nan_trailing_run"),
-        F.countDistinct("vec").alias("unique_values"),
+        F.sum(F.col("fresh").cast("long")).alias("unique_values"),
         F.coalesce(F.max("repeat_run"), F.lit(0)).cast("long").alias("max_repeat_run"),
         F.sum(F.col("dupe").cast("long")).alias("n_dupes"),
         F.coalesce(F.min(F.col("dt") > 0), F.lit(True)).alias("timestamp_monotonic"),
