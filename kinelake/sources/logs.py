@@ -16,7 +16,7 @@ the lines of all ranges in a first pass and hands each range the number of lines
 it, one number a range; without that the source takes a file as one range, which knows
 its own numbers. Options: ``splitBytes`` (64 MB), ``leastSplits`` of a file (1), ``inG``, ``subjects``.
 
-Writing: each task writes the files of its subjects under names of its own, and tells what
+Writing: each task writes the files (or parts, ``subject1-part00002.dat``) of its subjects under names of its own, and tells what
 it wrote in its commit message; once all tasks have committed, the files get their names
 and the messages become the manifest. A task that fails leaves no file and no manifest.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -60,9 +61,13 @@ class Layout:
     rate_hz: float
     gyro_in_degrees: bool
 
-    def subject_of(self, file: str) -> str | None:
-        found = re.fullmatch(re.escape(self.file).replace(r"\{\}", r"(subject\d+)"), file.rsplit("/", 1)[-1])
-        return found.group(1) if found else None
+    def part_of(self, file: str) -> tuple[str, int] | None:
+        """(subject, part) of a file's name; a file that is not in parts is part 0."""
+        found = re.fullmatch(re.escape(self.file).replace(r"\{\}", r"(subject\d+)(?:-part(\d+))?"), file.rsplit("/", 1)[-1])
+        return (found.group(1), int(found.group(2) or 0)) if found else None
+
+    def name_of(self, subject: str, part: int, parts: int) -> str:
+        return self.file.format(subject if parts == 1 else f"{subject}-part{part:05d}")
 
     def columns(self) -> list[tuple[str, int, str]]:
         """(column, place in the line, kind) of every node's axes, in the order of ``raw``'s readers."""
@@ -98,6 +103,7 @@ class Range(InputPartition):
     start: int
     end: int
     first_row: int = 0
+    base: int = 0  # bytes of the subject's parts before this one
 
 
 def _open_store(path: str):
@@ -158,23 +164,31 @@ class LogReader(DataSourceReader):
         self.counting = options.get("countLines", "false").lower() == "true"
 
     def files(self) -> list[tuple[str, str, int]]:
-        """(path in its store, subject, bytes), by subject."""
+        """(path in its store, subject, bytes), by subject and part."""
         from pyarrow import fs
 
         store, folder = _open_store(self.options["path"])
-        found = [(x.path, self.layout.subject_of(x.path), x.size) for x in store.get_file_info(fs.FileSelector(folder)) if x.is_file]
-        return sorted((x for x in found if x[1] and (self.wanted is None or x[1] in self.wanted)), key=lambda x: (len(x[1]), x[1]))
+        found = [(x.path, self.layout.part_of(x.path), x.size) for x in store.get_file_info(fs.FileSelector(folder)) if x.is_file]
+        found = sorted((x for x in found if x[1] and (self.wanted is None or x[1][0] in self.wanted)), key=lambda x: (len(x[1][0]), x[1]))
+        return [(path, part[0], size) for path, part, size in found]
 
     def partitions(self) -> Sequence[InputPartition]:
         before = json.loads(self.options.get("rowsBefore", "{}"))
         most, least = int(self.options.get("splitBytes", SPLIT_BYTES)), int(self.options.get("leastSplits", 1))
-        out = []
-        for file, subject, size in self.files():
-            step = max(1, min(most, -(-size // least)))
+        out, files = [], self.files()
+        whole = Counter()
+        for _, subject, size in files:
+            whole[subject] += size
+        base = Counter()
+        for file, subject, size in files:
+            step = max(1, min(most, -(-whole[subject] // least)))
             if self.layout.clock is None and not self.counting and subject not in before:
+                if size < whole[subject]:
+                    raise raw.SourceError(f"{subject} is in parts, whose lines are numbered by read_logs")
                 step = max(1, size)
-            rows = before.get(subject, {})
-            out += [Range(file, subject, a, min(a + step, size), int(rows.get(str(a), 0))) for a in range(0, size, step)]
+            rows, at = before.get(subject, {}), base[subject]
+            out += [Range(file, subject, a, min(a + step, size), int(rows.get(str(at + a), 0)), at) for a in range(0, size, step)]
+            base[subject] += size
         return out or [Range("", "", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -184,7 +198,7 @@ class LogReader(DataSourceReader):
         with store.open_input_file(partition.file) as stream:
             if self.counting:
                 n = sum(len(lines) for _, lines in lines_of(stream, partition.start, partition.end))
-                yield pa.RecordBatch.from_arrays([pa.array([partition.subject]), pa.array([partition.start], pa.int64()), pa.array([n], pa.int64())], ["subject", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([partition.subject]), pa.array([partition.base + partition.start], pa.int64()), pa.array([n], pa.int64())], ["subject", "start", "n"])
                 return
             row = partition.first_row
             for at, lines in lines_of(stream, partition.start, partition.end):
@@ -195,7 +209,7 @@ class LogReader(DataSourceReader):
         layout = self.layout
         cells, there = parsed(layout, lines, partition.file)
         size = np.array([len(line) for line in lines], np.int64)
-        begins = (at + np.cumsum(size) - size)[there]
+        begins = (partition.base + at + np.cumsum(size) - size)[there]
         clock = cells[:, layout.clock] if layout.clock is not None else (row + np.flatnonzero(there)) / layout.rate_hz
         columns: list[pa.Array] = [pa.array(clock), pa.array(begins), pa.array(cells[:, layout.label].astype(np.int32))]
         if layout.clock is not None:
@@ -222,10 +236,11 @@ class Written(WriterCommitMessage):
 
 
 class LogWriter(DataSourceArrowWriter):
-    """Rows of (subject, cells array<double>), each subject in one task and in order."""
+    """Rows of (subject, cells array<double>), each subject in one task and in order; with the option ``parts``: in successive tasks, a part each."""
 
     def __init__(self, layout: Layout, options: dict[str, str]):
         self.layout, self.path = layout, options["path"]
+        self.in_parts = options.get("parts", "false").lower() == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, folder = _open_store(self.path)
@@ -258,14 +273,18 @@ class LogWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         store, folder = _open_store(self.path)
-        files = sorted(f for m in messages if m is not None for f in m.files)
-        twice = {a[0] for a, b in zip(files, files[1:], strict=False) if a[0] == b[0]}
-        if twice:
+        # Messages are in the order of tasks, and so are a subject's parts.
+        files = sorted((f for m in messages if m is not None for f in m.files), key=lambda f: f[0])
+        parts = Counter(f[0] for f in files)
+        twice = sorted(subject for subject, n in parts.items() if n > 1)
+        if twice and not self.in_parts:
             self.abort(messages)
-            raise raw.SourceError(f"rows of {sorted(twice)[:5]} came from several tasks")
+            raise raw.SourceError(f"rows of {twice[:5]} came from several tasks")
         manifest = []
+        seen = Counter()
         for subject, name, rows, size in files:
-            final = self.layout.file.format(subject)
+            final = self.layout.name_of(subject, seen[subject], parts[subject])
+            seen[subject] += 1
             store.move(name, f"{folder}/{final}")
             manifest.append({"subject": subject, "file": final, "rows": rows, "bytes": size})
         with store.open_output_stream(f"{folder}/.{MANIFEST}") as stream:
@@ -297,7 +316,7 @@ class Logs(DataSource):
 
     def _options(self) -> dict[str, str]:
         """Names of options without regard to case."""
-        return {k: self.options[k] for k in ("path", "splitBytes", "leastSplits", "inG", "countLines", "rowsBefore", "subjects") if k in self.options}
+        return {k: self.options[k] for k in ("path", "splitBytes", "leastSplits", "inG", "countLines", "rowsBefore", "subjects", "parts") if k in self.options}
 
 
 class Pamap2Logs(Logs):
@@ -337,9 +356,13 @@ def read_logs(spark: SparkSession, dataset: str, path: str, subjects: Sequence[s
 
 
 def write_logs(rows: DataFrame, dataset: str, path: str, order: Sequence[str]) -> None:
-    """Write ``rows`` (subject, cells and the columns of ``order``) as the dataset's log files, one a subject, and their manifest."""
+    """Write ``rows`` (subject, cells and the columns of ``order``) as the dataset's log files and their manifest.
+
+    Rows are dealt by ranges of subject and order: a subject that several ranges have becomes a file a range, in parts
+    that the readers take as one file, so that no task has all of a subject.
+    """
     register(rows.sparkSession)
-    rows.repartition("subject").sortWithinPartitions("subject", *order).select("subject", "cells").write.format(dataset).mode("append").save(path)
+    rows.repartitionByRange("subject", *order).sortWithinPartitions("subject", *order).select("subject", "cells").write.format(dataset).option("parts", "true").mode("append").save(path)
 
 
 def manifest(path: str) -> dict | None:

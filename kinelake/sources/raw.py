@@ -82,11 +82,12 @@ def read_pamap2(spark: SparkSession, path: str, in_g: bool = True) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(file, row, value): every line with its place in its file, from 0."""
+    """(file, row, value): every line with its place in its file, from 0; the parts of a file count as one."""
     meta = F.col("_metadata")
     lines = spark.read.option("pathGlobFilter", pattern).text(path).select(meta["file_name"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("id"), "value")
     splits = lines.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
+    whole = F.regexp_replace("file", r"-part\d+", "")
+    before = F.sum("n").over(Window.partitionBy(whole).orderBy("file", "split")) - F.col("n")
     offsets = splits.select("file", "split", "first", before.alias("before"))  # a row a split
     return lines.join(offsets, ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("row"), "value")
 

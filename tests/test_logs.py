@@ -85,3 +85,24 @@ def test_a_failed_task_leaves_no_file_and_no_manifest(spark, tmp_path):
         L.write_logs(rows, "pamap2", str(tmp_path / "out"), ["i"])
     assert L.manifest(str(tmp_path / "out")) is None
     assert not [p for p in (tmp_path / "out").iterdir()]
+
+
+@pytest.mark.parametrize("dataset", ["pamap2", "mhealth"])
+def test_no_task_writes_all_of_a_long_log(spark, tmp_path, dataset):
+    from pyspark.sql import functions as F
+
+    width, n = L.LAYOUTS[dataset].width, 2000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(n).select(F.lit("subject7").alias("subject"), F.col("id").alias("i"), F.array(*[F.col("id").cast("double")] * width).alias("cells"))
+        L.write_logs(rows.repartition(5), dataset, str(tmp_path / "out"), ["i"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    listed = L.manifest(str(tmp_path / "out"))["files"]
+    assert len(listed) == 4 and sum(f["rows"] for f in listed) == n and max(f["rows"] for f in listed) < n / 2
+    got = L.read_logs(spark, dataset, str(tmp_path / "out"), leastSplits=7).orderBy("ord").collect()
+    assert [r["activity"] for r in got] == list(range(n)) and {r["subject"] for r in got} == {"subject7"}
+    rate = 1 if dataset == "pamap2" else L.LAYOUTS[dataset].rate_hz
+    assert [r["t"] for r in got] == [i / rate for i in range(n)]
+    again = (L.raw.read_pamap2 if dataset == "pamap2" else L.raw.read_mhealth)(spark, str(tmp_path / "out")).orderBy("t").collect()
+    assert [r["t"] for r in again] == [i / rate for i in range(n)] and [r["activity"] for r in again] == list(range(n))
