@@ -92,12 +92,14 @@ def frames(segmented: DataFrame, windows: DataFrame, cell: float, least: int = 1
     An equi-join on (stream, segment, time cell): a window is written once for each
     cell that it covers and each sample once, so nothing is compared across a segment.
     ``least`` counts samples, or distinct ``unit`` values where several rows are one sample.
+    A window's samples are counted in the order that numbers them, so that they are sorted once.
     """
     covered = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))).alias("cell")
     spread = windows.select(*keys, "seg", "win", "start", "end", "label", covered)
     samples = segmented.withColumn("cell", F.floor(F.col("t") / cell))
     joined = samples.join(spread, [*keys, "seg", "cell"]).where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))).drop("cell", "activity")
-    in_window = Window.partitionBy(*WINDOW_KEY) if keys == STREAM else Window.partitionBy(*keys, "seg", "win")
+    by_window = Window.partitionBy(*WINDOW_KEY) if keys == STREAM else Window.partitionBy(*keys, "seg", "win")
+    in_window = by_window.orderBy("node", "t", "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     held = F.size(F.collect_set(F.struct(*unit)).over(in_window)) if unit else F.count(F.lit(1)).over(in_window)
     joined = joined.withColumn("held", held).where(F.col("held") >= least).drop("held")
     place = Window.partitionBy(*keys, "seg", "win", "node").orderBy("t", "ord")

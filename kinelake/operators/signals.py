@@ -26,20 +26,22 @@ SUB_SCORES = ("completeness", "staleness", "temporal", "sanity", "synchrony")
 def marked(frames: DataFrame) -> DataFrame:
     """Per sample: missing, whether it equals the valid sample before it or is the first with its value, and the run (of repeats, of missing ones) up to it.
 
-    All but ``fresh`` looks along one order, so that a node's samples are sorted for it once.
+    All but ``fresh`` looks along one order, so that a node's samples are sorted for it once. ``fresh``
+    comes last: Spark moves the window with more keys to the end, and what followed would be sorted anew.
     """
     order = Window.partitionBy(*NODE_KEY).orderBy("idx")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     valid = ~F.col("miss")
     rows = frames.withColumn("miss", any_nan())
-    rows = rows.withColumn("vec", F.when(valid, F.struct(*[(F.col(c) + F.lit(0.0)).alias(c) for c in ACCEL])))
-    rows = rows.withColumn("fresh", valid & (F.row_number().over(Window.partitionBy(*NODE_KEY, "vec").orderBy("idx")) == 1))
-    rows = rows.withColumn("dupe", F.coalesce(F.col("vec") == F.last("vec", ignorenulls=True).over(before), F.lit(False)))
+    vec = F.when(valid, F.struct(*[(F.col(c) + F.lit(0.0)).alias(c) for c in ACCEL]))
+    rows = rows.withColumn("dupe", F.coalesce(vec == F.last(vec, ignorenulls=True).over(before), F.lit(False)))
     rows = rows.withColumns({"dt": F.col("t") - F.lag("t").over(order), "place": F.row_number().over(order), "n_valid": F.sum(valid.cast("int")).over(upto)})
     began = F.last(F.when(valid & ~F.col("dupe"), F.col("n_valid")), ignorenulls=True).over(upto)
     seen = F.coalesce(F.last(F.when(valid, F.col("place")), ignorenulls=True).over(upto), F.lit(0))
-    return rows.withColumns({"repeat_run": F.when(valid, F.col("n_valid") - began + 1), "miss_run": F.col("place") - seen})
+    rows = rows.withColumns({"repeat_run": F.when(valid, F.col("n_valid") - began + 1), "miss_run": F.col("place") - seen}).drop("place", "n_valid")
+    same = Window.partitionBy(*NODE_KEY, "miss", *ACCEL).orderBy("idx")  # as a key, a zero has no sign
+    return rows.withColumn("fresh", valid & (F.row_number().over(same) == 1))
 
 
 def node_signals(frames: DataFrame, per_second: float = 1.0, rate_hz: float | None = None) -> DataFrame:

@@ -153,3 +153,23 @@ def test_unclipped_cosines_stay_in_range(spark):
     assert spark.range(1).select(angle(v, v).alias("a")).first()["a"] == pytest.approx(0.0, abs=1e-5)
     got = spark.range(1).select(clip(F.lit(NAN), 0.0, 1.0).alias("n"), clip(F.lit(None).cast("double"), 0.0, 1.0).alias("z")).first()
     assert math.isnan(got["n"]) and got["z"] is None
+
+
+def sorts_of(df):
+    """The sorts by window of a plan, outermost first."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Sort [")[1] for line in plan.splitlines() if "- Sort [" in line and "win#" in line.split("Sort [")[1]]
+
+
+def test_samples_of_a_window_are_sorted_three_times_in_all(spark, sf_dir):
+    from kinelake.plans.event_queries import event_signals
+
+    by_window, *samples = sorts_of(event_signals(spark, sf_dir))
+    assert "node#" not in by_window  # of signals, for the offset
+    assert len(samples) == 3, samples  # by place in time, by number, by value
+
+
+def test_values_are_counted_once_each_whatever_lies_between(spark):
+    values = [0.5, 0.5, -0.0, 0.5, 0.0, NAN, 0.25, NAN, 0.5, 0.25]
+    got = Si.node_signals(frames(spark, window(nodes=("ankle",), n=10, accel=lambda node, i: (values[i], 1.0, 0.0)))).first()
+    assert (got["unique_values"], got["n_valid"], got["max_repeat_run"], got["nan_run_max"], got["repeat_fraction"]) == (3, 8, 2, 1, 1 / 7)
