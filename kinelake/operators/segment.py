@@ -7,6 +7,9 @@ A subject's stream is never sorted in one task: samples are dealt by (stream,
 time bucket), breaks are found inside buckets, and one small row a bucket carries
 the last sample and the number of breaks on to the next, so that a stream with a
 third of all samples costs as many tasks as it has buckets.
+
+A task holds what it sorts. How much that is depends on the number of partitions, which
+``parts`` fixes where the caller knows how many samples there are; without it, it is Spark's choice.
 """
 
 from __future__ import annotations
@@ -28,12 +31,20 @@ def breaks_before(prev_t: Column, prev_activity: Column, t: Column, activity: Co
     return (apart | (activity != prev_activity)) if by_activity else apart
 
 
-def segments(samples: DataFrame, gap: float, bucket: float, keys: Sequence[str] = STREAM, by_activity: bool = True) -> DataFrame:
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``rows`` in ``parts`` partitions by ``keys``; as they are where ``parts`` is None.
+
+    The dataset isn't hashed: where it is a constant, Spark leaves it out of the windows' keys, and would deal the rows again for those.
+    """
+    return rows if parts is None else rows.repartition(parts, *[k for k in keys if k != "dataset"])
+
+
+def segments(samples: DataFrame, gap: float, bucket: float, keys: Sequence[str] = STREAM, by_activity: bool = True, parts: int | None = None) -> DataFrame:
     """``samples`` with ``seg``, counted from 1 in each stream. Ties in time are ordered by ``ord``.
 
     ``bucket`` is the span of time that one task sorts; it changes nothing in the result.
     """
-    rows = samples.withColumn("bucket", F.floor(F.col("t") / bucket))
+    rows = dealt(samples.withColumn("bucket", F.floor(F.col("t") / bucket)), parts, *keys, "bucket")
     inside = Window.partitionBy(*keys, "bucket").orderBy("t", "ord")
     rows = rows.withColumn("brk", F.coalesce(breaks_before(F.lag("t").over(inside), F.lag("activity").over(inside), F.col("t"), F.col("activity"), gap, by_activity), F.lit(False)).cast("long"))
     edge = F.struct("t", "ord", "activity")
@@ -86,20 +97,22 @@ def least_samples(length_sec: float, rate_hz: float, coverage: float = 0.6) -> i
     return half_even(half_even(length_sec * rate_hz) * coverage)
 
 
-def frames(segmented: DataFrame, windows: DataFrame, cell: float, least: int = 1, keys: Sequence[str] = STREAM, unit: Sequence[str] = ()) -> DataFrame:
+def frames(segmented: DataFrame, windows: DataFrame, cell: float, least: int = 1, keys: Sequence[str] = STREAM, unit: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """The samples of every window (start <= t < end), as ``frames`` rows, of windows with at least ``least`` samples.
 
     An equi-join on (stream, segment, time cell): a window is written once for each
     cell that it covers and each sample once, so nothing is compared across a segment.
     ``least`` counts samples, or distinct ``unit`` values where several rows are one sample.
     A window's samples are counted in the order that numbers them, so that they are sorted once.
+    Signals that follow need no other partitions: ``parts`` bounds what their tasks sort as well.
     """
     covered = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))).alias("cell")
     spread = windows.select(*keys, "seg", "win", "start", "end", "label", covered)
     samples = segmented.withColumn("cell", F.floor(F.col("t") / cell))
     joined = samples.join(spread, [*keys, "seg", "cell"]).where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))).drop("cell", "activity")
-    by_window = Window.partitionBy(*WINDOW_KEY) if keys == STREAM else Window.partitionBy(*keys, "seg", "win")
-    in_window = by_window.orderBy("node", "t", "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    window = WINDOW_KEY if keys == STREAM else (*keys, "seg", "win")
+    joined = dealt(joined, parts, *window)
+    in_window = Window.partitionBy(*window).orderBy("node", "t", "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     held = F.size(F.collect_set(F.struct(*unit)).over(in_window)) if unit else F.count(F.lit(1)).over(in_window)
     joined = joined.withColumn("held", held).where(F.col("held") >= least).drop("held")
     place = Window.partitionBy(*keys, "seg", "win", "node").orderBy("t", "ord")

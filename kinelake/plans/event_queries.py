@@ -28,7 +28,7 @@ from ..operators import segment as G
 from ..operators import signals as Si
 from ..operators import temporal as T
 from ..operators.blind import blind
-from ..tables import held, shared_dir, written
+from ..tables import held, parts_of, shared_dir, written
 from .rounding import near, near_sql, nudged, rounded
 from ..sources.events import HOUR_US, SECOND_US, event_samples
 
@@ -38,6 +38,8 @@ CELL = 24 * HOUR_US
 TARGET = "ankle"
 #: How fast the stream is taken to be: a "second" of a sensor is a day here.
 DAY_US = 24 * HOUR_US
+#: Samples that a task sorts. Each is in two windows, and three sorts of one stage hold it.
+SAMPLES_A_PART = 250_000
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -166,12 +168,16 @@ KEYS = "dataset, subject, seg, win"
 
 
 def segmented(spark: SparkSession, sf_dir: str, by_activity: bool = False) -> DataFrame:
-    return G.segments(event_samples(spark, sf_dir), GAP, BUCKET, by_activity=by_activity)
+    return G.segments(event_samples(spark, sf_dir), GAP, BUCKET, by_activity=by_activity, parts=event_parts(spark, sf_dir))
+
+
+def event_parts(spark: SparkSession, sf_dir: str) -> int:
+    return parts_of(spark, f"{sf_dir}/events.parquet", SAMPLES_A_PART)
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segmented(spark, sf_dir)
-    return G.frames(rows, G.sliding_windows(rows, WIDTH), CELL, least=5)
+    return G.frames(rows, G.sliding_windows(rows, WIDTH), CELL, least=5, parts=event_parts(spark, sf_dir))
 
 
 def event_signals(spark: SparkSession, sf_dir: str, frames: DataFrame | None = None) -> DataFrame:

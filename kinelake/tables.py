@@ -68,6 +68,11 @@ def shared_table(spark: SparkSession, source: str, label: str, make: Callable[[]
     return spark.read.parquet(path)
 
 
+def parts_of(spark: SparkSession, source: str, rows: int) -> int:
+    """Into how many partitions the Parquet table ``source`` goes with at most ``rows`` rows each; at least one a core. Rows are counted by the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(source).count() // rows))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, if it is there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -140,3 +140,19 @@ def test_the_sender_posts_json_and_gives_refusals_back():
         assert status == 429 and headers["Retry-After"] == "3"
     finally:
         server.shutdown()
+
+
+def test_what_a_task_sorts_of_windows_depends_on_the_samples_alone(spark, sf_dir, monkeypatch):
+    from kinelake.plans import event_queries as Q
+
+    columns = ("n_frames", "n_missing", "unique_values", "max_repeat_run", "first_t", "cross_node_offset_ms")
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    got = {}
+    for parts in (4, 9):  # 4 cores, 4 partitions of a shuffle
+        monkeypatch.setattr(Q, "SAMPLES_A_PART", -(-n // parts), raising=False)
+        signals = Q.event_signals(spark, sf_dir)
+        assert signals.rdd.getNumPartitions() == parts
+        plan = signals._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange hashpartitioning" in line and "win#" in line and "REPARTITION_BY_NUM" not in line for line in plan.splitlines())
+        got[parts] = sorted(signals.select("subject", "seg", "win", "node", *columns).collect())
+    assert got[4] == got[9] and got[4]
