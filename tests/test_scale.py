@@ -156,3 +156,20 @@ def test_what_a_task_sorts_of_windows_depends_on_the_samples_alone(spark, sf_dir
         assert not any("Exchange hashpartitioning" in line and "win#" in line and "REPARTITION_BY_NUM" not in line for line in plan.splitlines())
         got[parts] = sorted(signals.select("subject", "seg", "win", "node", *columns).collect())
     assert got[4] == got[9] and got[4]
+
+
+@pytest.mark.parametrize("name", ["detection_prf"])
+def test_a_whole_query_sorts_windows_in_partitions_by_the_samples(spark, sf_dir, monkeypatch, name):
+    from kinelake.plans import event_queries as Q
+
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    made, frames = [], G.frames
+
+    def seen(*args, **kwargs):
+        made.append(frames(*args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(G, "frames", seen)
+    monkeypatch.setattr(Q, "SAMPLES_A_PART", -(-n // 9), raising=False)  # a shuffle has 4 partitions
+    assert Q.QUERIES[name][0](spark, sf_dir).count()
+    assert made and {f.rdd.getNumPartitions() for f in made} == {9}
