@@ -158,7 +158,7 @@ def test_what_a_task_sorts_of_windows_depends_on_the_samples_alone(spark, sf_dir
     assert got[4] == got[9] and got[4]
 
 
-@pytest.mark.parametrize("name", ["detection_prf", "diagnosis_confusion", "diagnose_ladder", "network_rollup", "displacement_by_activity"])
+@pytest.mark.parametrize("name", ["detection_prf", "diagnosis_confusion", "diagnose_ladder", "network_rollup", "displacement_by_activity", "evidence_of_verdicts"])
 def test_a_whole_query_sorts_windows_in_partitions_by_the_samples(spark, sf_dir, monkeypatch, name):
     from kinelake.plans import event_queries as Q
 
