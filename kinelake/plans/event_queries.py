@@ -588,7 +588,7 @@ _MOTION = {
     ),
 )
 def motion_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Fe.node_features(blind(event_frames(spark, sf_dir)))
+    f = Fe.node_features(blind(event_frames(spark, sf_dir)), as_summed=True)
     return f.select(*NODE_KEY, "has_data", near("motion_sd_g", 6).alias("motion_sd_g"), "motion_level")
 
 
@@ -632,7 +632,7 @@ _CORR_LINES = ", ".join(f"CASE WHEN corr_{p}{q} IS NOT NULL THEN {_format_sql(p
 )
 def render_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every node's rendering."""
-    return Fe.node_features(blind(event_frames(spark, sf_dir))).select(*NODE_KEY, Fe.render_node().alias("lines"))
+    return Fe.node_features(blind(event_frames(spark, sf_dir)), as_summed=True).select(*NODE_KEY, Fe.render_node().alias("lines"))
 
 
 _LABELS = ("lying", "sitting", "walking", "running")
@@ -671,7 +671,7 @@ SELECT {KEYS}, digest AS prompt_md5, CASE {' '.join(f"WHEN l{i} = top THEN '{x}'
 )
 def score_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain from frames to a label: render, prompt, answers (kept as they come), distribution, confidence."""
-    text = Fe.render(Fe.node_features(blind(event_frames(spark, sf_dir))))
+    text = Fe.render(Fe.node_features(blind(event_frames(spark, sf_dir)), as_summed=True))
     prompts = text.select(*WINDOW_KEY, Fe.fill_prompt(_TEMPLATE, legend=Fe.legend(_LABELS), query=F.col("text")).alias("prompt"))
     store = held(f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}")
     rows = Ag.readouts(An.score_once(prompts, store, digest_scorer, "openai", "digest"), "openai", _LETTERS, "offline", "digest")

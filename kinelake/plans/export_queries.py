@@ -31,7 +31,7 @@ def exported_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segmented(spark, sf_dir)
     frames = written(folded(G.frames(rows, G.sliding_windows(rows, WIDTH), CELL, least=5)), "export-frames")
     targets = frames.where(F.col("node") == TARGET).select(*WINDOW_KEY).distinct()
-    motion = Fe.node_features(blind(frames.where("node = 'wrist'"))).where("motion_level is not null").select(*WINDOW_KEY, F.col("motion_level").alias("activity"), near("motion_sd_g", 6).alias("motion"))
+    motion = Fe.node_features(blind(frames.where("node = 'wrist'")), as_summed=True).where("motion_level is not null").select(*WINDOW_KEY, F.col("motion_level").alias("activity"), near("motion_sd_g", 6).alias("motion"))
     picked = written(Sa.rank_median(motion.join(targets, list(WINDOW_KEY)), ["activity"], "motion", ["subject", "seg", "win"]).drop("motion"), "export-picks")
     own = written(frames.join(picked.drop("activity"), list(WINDOW_KEY), "left_semi"), "export-windows")
     made, parts = strategies(), []

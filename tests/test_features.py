@@ -251,6 +251,21 @@ def test_a_motion_on_the_edge_of_a_band_is_not_below_it(spark):
     assert 0 < len(below) < len(pairs) and levels == {"moderate"}
 
 
+def test_a_pairs_level_by_its_doubles_hangs_on_no_order(spark):
+    def deviation(a, b):
+        return ((b - (a + (b - a) / 2)) * (b - a) / 2) ** 0.5
+
+    # As above, with a third sample that is lost, between, before or after the two.
+    pairs = [((a, b, c), (a + 0.32, b + 0.04, c + 0.12)) for a in (0.0, 0.1, 0.7, 2.3) for b in (0.03, 0.17, 0.9) for c in (0.01, 0.23, 1.1)]
+    below = [sum(deviation(x, y) for x, y in zip(*p, strict=True)) / 3.0 < Fe.STILL for p in pairs]
+    found = set()
+    for order in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (2, 1, 0)):
+        rows = [r for w, p in enumerate(pairs) for r in window(nodes=("wrist",), n=3, win=w, start=float(w), accel=lambda _, i, p=p, order=order: (*p, (NAN, 0.5, 9.0))[order[i]])]
+        levels = Fe.node_features(blind(frames(spark, rows)), as_summed=True).orderBy("win").collect()
+        found.add(tuple(r["motion_level"] == "still" for r in levels))
+    assert found == {tuple(below)} and 0 < sum(below) < len(below)
+
+
 def test_a_formatted_number_names_its_argument_once(spark):
     plan = spark.range(1).select(Fe.fixed(F.col("id") / F.lit(7.0), 2, "+").alias("s"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("cast(id") == 1
